@@ -11,6 +11,8 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from leafmill.functions.memo import Memo
+
 WORD = re.compile(r"[^\W_]+")
 #: The same class for the JVM's regex engine.
 WORD_SQL = r"[\p{L}\p{N}]+"
@@ -39,20 +41,17 @@ def token_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(TOKEN_SQL)), F.lit(0))
 
 
-class WordHash(dict):
-    """64-bit hash of each word, the same on every machine; remembers up to ``bound`` words."""
+def hash64(word: str) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(word)
 
-    def __init__(self, bound: int = 1_000_000) -> None:
-        super().__init__()
-        self.bound = bound
 
-    def __missing__(self, word: str) -> int:
-        import xxhash
+class WordHash(Memo):
+    """64-bit hash of each word, the same on every machine."""
 
-        if len(self) >= self.bound:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
+    def __init__(self, f=hash64, bound: int = 1_000_000) -> None:
+        super().__init__(f, bound)
 
     def of(self, tokens: list[str]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
