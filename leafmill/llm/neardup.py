@@ -9,31 +9,34 @@ verified by the exact Jaccard similarity of its word shingles.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.functions.memo import Memo
 from leafmill.functions.words import WordHash, mix64, window_hashes, words
 from leafmill.session import materialise
 
 UNIVERSE = 1 << 16
 
 
-@lru_cache(maxsize=2)
-def permutations(size: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def _permutations(key: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
     """``sigma`` over the buckets, and ``pi`` as a view whose row p holds pi[p], pi[p+1], ..."""
+    size, seed = key
     rng = np.random.default_rng(seed)
     sigma = rng.permutation(UNIVERSE)
     pi = rng.permutation(UNIVERSE).astype(np.uint16)
     return sigma, np.lib.stride_tricks.sliding_window_view(np.concatenate([pi, pi[: size - 1]]), size)
 
 
+PERMUTATIONS = Memo(_permutations, 2)
+
+
 def signature(shingles: np.ndarray, size: int, seed: int = 11) -> np.ndarray:
     """``size`` coordinates of a set of 64-bit shingle hashes."""
-    sigma, shifted = permutations(size, seed)
+    sigma, shifted = PERMUTATIONS[size, seed]
     at = sigma[np.unique(shingles >> np.uint64(48)).astype(np.int64)]
     best = np.full(size, UNIVERSE - 1, dtype=np.uint16)
     for i in range(0, len(at), 4096):
@@ -153,12 +156,12 @@ def _verify(shingle: int, threshold: float):
         return frozenset(zip(*(w[i:] for i in range(shingle))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cached = lru_cache(maxsize=256)(grams)
+        cached = Memo(grams, 256)
         for batch in batches:
             a, b, sim = [], [], []
             cols = (batch[c].to_pylist() for c in ("ma", "mb", "ta", "tb"))
             for ma, mb, ta, tb in zip(*cols):
-                x, y = cached(ta), cached(tb)
+                x, y = cached[ta], cached[tb]
                 both = len(x & y)
                 j = both / max(1, len(x) + len(y) - both)
                 if j >= threshold:
