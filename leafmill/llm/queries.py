@@ -5,13 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import neardup
+from leafmill.llm import neardup, scans
 from leafmill.plans.queries import Registry
 from leafmill.session import table
 
 REGISTRY = Registry()
 query = REGISTRY.query
 
+
+
+# ------------------------------------------------------------------ 1: noise in text from scanned pages
+@query("p1_found")
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.found_debris(table(spark, d, "chunks")).toDF("chunk_id", "field", "kind")
+
+
+@query("p1_repaired")
+def p1_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """Every chunk with its text and start phrase as continuous paragraphs."""
+    out = scans.repair_pages(table(spark, d, "chunks"), "chunk_id", "doc_name", ["text", "start_phrase"])
+    return out.select(F.col("key").alias("chunk_id"), "field", F.array_join("kinds", ",").alias("kinds"), "text").distinct()
+
+
+# --------------------------------------------------------------- 2: near-duplicate records with small edits
 P2 = {"shingle": 4, "threshold": 0.6, "min_words": 30}
 
 P2_PAIRS_SQL = r"""

@@ -160,61 +160,70 @@ def _score(bound: float):
             t, w = batch["t"].to_pylist(), batch["w"].to_pylist()
             cost = [misread_cost(x, y, bound) for x, y in zip(t, w)]
             keep = [i for i, c in enumerate(cost) if c < bound]
-            yield pa.record_batch({"t": pa.array([t[i] for i in keep], pa.string()), "w": pa.array([w[i] for i in keep], pa.string()), "cost": pa.array([cost[i] for i in keep], pa.float64())})
+            ratio = batch["ratio"].to_pylist()
+            yield pa.record_batch({"t": pa.array([t[i] for i in keep], pa.string()), "w": pa.array([w[i] for i in keep], pa.string()), "ratio": pa.array([ratio[i] for i in keep], pa.float64()), "cost": pa.array([cost[i] for i in keep], pa.float64())})
 
     return run
 
 
-def repairs(counts: DataFrame, min_count: int = 5, dominance: float = 10.0, bound: float = 0.9, support: float = 0.3) -> DataFrame:
+def fragments(counts: DataFrame, min_count: int = 5, dominance: float = 10.0) -> tuple[DataFrame, DataFrame]:
+    """Neighbouring words that together are a word of the lexicon, which occurs ``dominance`` times as often,
+    with the share of each one's occurrences that stand in such pairs; and every word's greatest share."""
+    uni = counts.where("b IS NULL").select("a", "n")
+    bi = counts.where("b IS NOT NULL AND a <> '#' AND b <> '#'")
+    whole = uni.where(F.col("n") >= min_count).select(F.col("a").alias("ab"), F.col("n").alias("nab"))
+    pair = bi.withColumn("ab", F.concat("a", "b")).join(whole, "ab").where((F.col("nab") >= dominance * F.col("n")) & F.col("ab").rlike(r"^\p{L}{3,}$"))
+    first = pair.groupBy("a").agg(F.sum("n").alias("m")).join(uni, "a").select("a", (F.col("m") / F.col("n")).alias("fa"))
+    second = pair.groupBy("b").agg(F.sum("n").alias("m")).join(uni.withColumnRenamed("a", "b"), "b").select("b", (F.col("m") / F.col("n")).alias("fb"))
+    share = first.select(F.col("a").alias("w"), F.col("fa").alias("f")).union(second.select("b", "fb")).groupBy("w").agg(F.max("f").alias("f"))
+    return pair.join(first, "a").join(second, "b").select("a", "b", "fa", "fb"), share
+
+
+def repairs(counts: DataFrame, parts: DataFrame, min_count: int = 5, bound: float = 0.9) -> DataFrame:
     """``t, w``: misread words and what they stand for.
 
-    ``w`` occurs at least ``min_count`` times and ``dominance`` times as often as ``t``, differs from it by
-    look-alikes only, and is known in at least ``support`` of the contexts of ``t``.
+    ``w`` occurs at least ``min_count`` times, differs from ``t`` by look-alikes only, and neither is mostly a
+    fragment of other words. A word with digits or ligatures among its letters needs no more than a rarer
+    spelling; any other must be 10 times rarer and fit half of its contexts (known neighbour pairs of ``w``),
+    or 200 times rarer and fit three tenths; words of up to three letters must be 300 times rarer.
     """
     uni = counts.where("b IS NULL AND a <> '#' AND NOT contains(a, '-') AND length(a) BETWEEN 2 AND 40").select(F.col("a").alias("w"), "n")
+    uni = materialise(uni.join(parts.where("f >= 0.5"), "w", "left_anti"))
     index = uni.where((F.col("n") >= min_count) & F.col("w").rlike(r"^\p{L}{2,}$")).mapInArrow(_variants, "v string, w string, n long")
     query = uni.mapInArrow(_variants, "v string, w string, n long").toDF("v", "t", "nt")
-    near = query.join(index, "v").where((F.col("n") >= dominance * F.col("nt")) & (F.col("t") != F.col("w")) & (F.abs(F.length("t") - F.length("w")) <= 2)).select("t", "w").distinct()
-    scored = near.mapInArrow(_score(bound), "t string, w string, cost double")
+    marked = F.col("t").rlike(r"[0-9\x{FB00}-\x{FB06}]")
+    near = query.join(index, "v").where((F.col("n") >= F.when(marked, 2.0).otherwise(10.0) * F.col("nt")) & (F.col("t") != F.col("w")) & (F.abs(F.length("t") - F.length("w")) <= 2)).select("t", "w", (F.col("n") / F.col("nt")).alias("ratio")).distinct()
+    scored = near.mapInArrow(_score(bound), "t string, w string, ratio double, cost double")
     bi = counts.where("b IS NOT NULL")
     known = bi.select(F.col("a").alias("ka"), F.col("b").alias("kb")).withColumn("known", F.lit(1))
-    before = scored.join(bi, F.col("t") == F.col("b")).select("t", "w", "cost", F.col("a").alias("ka"), F.col("w").alias("kb"), "n")
-    after = scored.join(bi, F.col("t") == F.col("a")).select("t", "w", "cost", F.col("w").alias("ka"), F.col("b").alias("kb"), "n")
-    seen = before.union(after).join(known, ["ka", "kb"], "left").groupBy("t", "w", "cost").agg((F.sum(F.col("n") * F.coalesce("known", F.lit(0))) / F.sum("n")).alias("share"))
-    cand = scored.join(seen.select("t", "w", "share"), ["t", "w"], "left")
-    marked = F.col("t").rlike(r"[0-9\x{FB00}-\x{FB06}]")
-    ok = cand.where(F.coalesce("share", F.lit(0.0)) >= F.when(marked | F.col("share").isNull(), 0.0).otherwise(support))
-    best = F.max_by("w", F.struct(F.round(F.coalesce("share", F.lit(0.0)) - F.col("cost"), 6), "w"))
+    before = scored.join(bi, F.col("t") == F.col("b")).select("t", "w", F.col("a").alias("ka"), F.col("w").alias("kb"), "n")
+    after = scored.join(bi, F.col("t") == F.col("a")).select("t", "w", F.col("w").alias("ka"), F.col("b").alias("kb"), "n")
+    seen = before.union(after).join(known, ["ka", "kb"], "left").groupBy("t", "w").agg((F.sum(F.col("n") * F.coalesce("known", F.lit(0))) / F.sum("n")).alias("share"))
+    cand = scored.join(seen, ["t", "w"], "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
+    rare, short = F.col("ratio") >= 200, F.length("t") <= 3
+    ok = cand.where(marked | F.when(short, (F.col("ratio") >= 300) & (F.col("share") >= 0.3)).otherwise((F.col("share") >= 0.5) | rare & (F.col("share") >= 0.3)))
+    best = F.max_by("w", F.struct(F.round(F.col("share") - F.col("cost"), 6), "w"))
     return ok.groupBy("t").agg(best.alias("w"))
 
 
-def torn_words(counts: DataFrame, min_count: int = 5, dominance: float = 10.0, share: float = 0.5) -> DataFrame:
-    """``a, b``: neighbouring fragments that are one word of the lexicon.
-
-    The whole word occurs ``dominance`` times as often as the pair, and at least one of the two occurs mostly
-    (``share``) as a fragment next to its rest.
-    """
-    uni = counts.where("b IS NULL").select("a", "n")
-    bi = counts.where("b IS NOT NULL AND a <> '#' AND b <> '#'")
-    whole = uni.where(F.col("n") >= min_count).select(F.col("a").alias("ab"), F.col("n").alias("nab"))
-    pair = bi.withColumn("ab", F.concat("a", "b")).join(whole, "ab").where((F.col("nab") >= dominance * F.col("n")) & F.col("ab").rlike(r"^\p{L}{3,}$"))
-    first = pair.groupBy("a").agg(F.sum("n").alias("m")).join(uni, "a").select("a", (F.col("m") / F.col("n")).alias("fa"))
-    second = pair.groupBy("b").agg(F.sum("n").alias("m")).join(uni.withColumnRenamed("a", "b"), "b").select("b", (F.col("m") / F.col("n")).alias("fb"))
-    return pair.join(first, "a").join(second, "b").where((F.col("fa") >= share) | (F.col("fb") >= share)).select("a", "b")
-
-
 def page_model(records: DataFrame, fields: list[str], min_count: int = 5) -> DataFrame:
     """``key, value``: everything that the repair of a text looks up. Keys: ``w:`` known word and its count,
-    ``c:`` compound and its count, ``r:`` misread word, ``t:`` torn pair."""
+    ``c:`` compound and its count, ``r:`` misread word, ``t:`` torn pair (which of the two, a or b, is mostly a fragment),
+    ``n:`` / ``m:`` word after / before which numbers are usual."""
     counts = materialise(corpus_counts(records, fields))
-    fixes = materialise(repairs(counts, min_count).select("t", "w"))
+    pairs, parts = fragments(counts, min_count)
+    parts = materialise(parts)
+    fixes = materialise(repairs(counts, parts, min_count))
     uni = counts.where("b IS NULL AND a <> '#'")
-    known = uni.where(~F.contains("a", F.lit("-")) & (F.col("n") >= min_count)).join(fixes.withColumnRenamed("t", "a"), "a", "left_anti")
+    whole = uni.where(~F.contains("a", F.lit("-")) & (F.col("n") >= min_count)).select(F.col("a").alias("w"), "n")
+    known = whole.join(fixes.select(F.col("t").alias("w")), "w", "left_anti").join(parts.where("f >= 0.5"), "w", "left_anti")
     rows = [
-        known.select(F.concat(F.lit("w:"), "a"), F.col("n").cast("string")),
+        known.select(F.concat(F.lit("w:"), "w"), F.col("n").cast("string")),
         uni.where(F.contains("a", F.lit("-"))).select(F.concat(F.lit("c:"), "a"), F.col("n").cast("string")),
         fixes.select(F.concat(F.lit("r:"), "t"), "w"),
-        torn_words(counts, min_count).select(F.concat(F.lit("t:"), "a", F.lit(" "), "b"), F.lit("")),
+        counts.where("b = '#' AND a <> '#'").join(uni.select("a", F.col("n").alias("all")), "a").where("n >= 0.02 * all").select(F.concat(F.lit("n:"), "a"), F.lit("")),
+        counts.where("a = '#' AND b <> '#'").join(uni.select(F.col("a").alias("b"), F.col("n").alias("all")), "b").where("n >= 0.02 * all").select(F.concat(F.lit("m:"), "b"), F.lit("")),
+        pairs.where("fa >= 0.5 OR fb >= 0.5").select(F.concat(F.lit("t:"), "a", F.lit(" "), "b"), F.concat(F.when(F.col("fa") >= 0.5, "a").otherwise(""), F.when(F.col("fb") >= 0.5, "b").otherwise(""))),
     ]
     out = rows[0]
     for r in rows[1:]:
@@ -230,6 +239,8 @@ _STYLED_LINE = re.compile(rf"^[ \t]*{_STYLED}[ \t]*$", re.M)
 _BARE_LINE = re.compile(r"^[ \t]*\d{1,4}[ \t]*$", re.M)
 _PAGE_OF = re.compile(r"(?:^|(?<=\s))(?:[Pp]age \d{1,4} of \d{1,4}|\[\d{1,4}\]|F-\d{1,4}|- \d{1,4} -)(?=\s|$)")
 _BROKEN = re.compile(rf"([A-Za-z][\w'’]*)([{re.escape(HYPHENS)}])[ \t]*(?:\n\s*|[ \t]+)([A-Za-z]\w*)")
+_BREAK = re.compile(rf"[{re.escape(HYPHENS)}](?<=[A-Za-z].)[ \t\n](?=\s*[A-Za-z])")
+_INLINE = re.compile(r"(?<![\w-])([A-Za-z]{2,}) +(?=(\d{1,3}) +([A-Za-z]{2,})(?![\w-]))")
 _LIGATURE = re.compile("[ﬀ-ﬆ]")
 _NUMERIC = re.compile(r"(?<![A-Za-z0-9-])(?=[\dlIO|.,]*\d)(?=[\d.,]*[lIO|])[\dlIO|]+(?:[.,][\dlIO|]+)*(?![A-Za-z0-9-])")
 _DIGITS = str.maketrans("lI|O", "1110")
@@ -250,7 +261,7 @@ def _header_of(name: str) -> re.Pattern:
 
 
 _HEADER = Memo(_header_of)
-_MAYBE_REPORT = re.compile("|".join(re.escape(r.lower()) for r in ("annual report", "quarterly report", "current report", "sustainability statement", "sustainability report", "risk disclosure", "interim report", "r e p o r t", "s t a t e m e n t", "d i s c l o s u r e")))
+_REPORT_SIGNS = ["annual report", "quarterly report", "current report", "sustainability statement", "sustainability report", "risk disclosure", "interim report", "r e p o r t", "s t a t e m e n t", "d i s c l o s u r e"]
 
 
 def _company(doc_name: str) -> str:
@@ -278,8 +289,10 @@ class Repair:
     def __init__(self, model: dict[str, str]) -> None:
         self.model = model
         self.fixes = {k[2:]: v for k, v in model.items() if k.startswith("r:")}
-        self.torn = {k[2:] for k in model if k.startswith("t:")}
-        self.heads = {k.split(" ")[0] for k in self.torn}
+        self.wrong = frozenset(self.fixes)
+        self.torn = frozenset(k[2:] for k in model if k.startswith("t:"))
+        parts = (k[2:].split(" ") + [v] for k, v in model.items() if k.startswith("t:"))
+        self.fragments = frozenset(x for a, b, which in parts for x, side in ((a, "a"), (b, "b")) if side in which)
 
     def count(self, kind: str, word: str) -> int:
         return int(self.model.get(f"{kind}:{word}", 0))
@@ -289,7 +302,7 @@ class Repair:
         """The text without running headers and page numbers, and which of them it held."""
         kinds, cuts = set(), []
         name, low = _COMPANY[doc_name or ""], text.lower()
-        if (name and (name.lower() in low or " ".join(name.lower().split(" ")[0]) in low)) or _MAYBE_REPORT.search(low):
+        if (name and (name.lower() in low or " ".join(name.lower().split(" ")[0]) in low)) or any(x in low for x in _REPORT_SIGNS):
             for m in _HEADER[name or "\0"].finditer(text):
                 kinds.add("header")
                 a, b = m.span()
@@ -305,13 +318,14 @@ class Repair:
             cuts.append(m.span())
         if "\n" in text:
             for m in _BARE_LINE.finditer(text):
-                if any(a <= m.start() < b for a, b in cuts):
-                    continue
-                before, after = text[: m.start()].rstrip(), text[m.end() :].lstrip()
-                above, below = before.rpartition("\n")[2], after.partition("\n")[0]
-                if (not above or _prose(above)) and (not below or _prose(below) or above and _prose(above) and not re.fullmatch(r"[\s\d.,()%—n/a-]*", below) and above.rstrip()[-1:] != "." and below[:1].islower()) and (above or below):
+                if not any(a <= m.start() < b for a, b in cuts) and self.is_page_number(text, m):
                     kinds.add("page_number")
                     cuts.append(m.span())
+        else:
+            for m in _INLINE.finditer(text):
+                if not any(a <= m.start(2) < b for a, b in cuts) and not self.takes_number(m[1], m[3]) and self.count("w", m[1].lower()) and self.count("w", m[3].lower()):
+                    kinds.add("page_number")
+                    cuts.append(m.span(2))
         if not cuts:
             return text, kinds
         out, at = [], 0
@@ -321,6 +335,25 @@ class Repair:
             at = max(at, b)
         return "".join([*out, text[at:]]), kinds
 
+    def takes_number(self, before: str, after: str) -> bool:
+        """Whether a number is usual after the one word or before the other."""
+        return f"n:{before.lower()}" in self.model or f"m:{after.lower()}" in self.model
+
+    def is_page_number(self, text: str, m: re.Match) -> bool:
+        """Whether a number alone on its line is a page's: it stands between lines of running text or whole
+        table rows (cells on lines of their own have short neighbours) and isn't the sentence's own number."""
+        above = text[max(0, m.start() - 400) : m.start()].rstrip().rpartition("\n")[2]
+        below = text[m.end() : m.end() + 400].lstrip().partition("\n")[0]
+        if not (above or below):
+            return False
+        ends = not above or above[-1:] in ".;:" or "   " in above
+        if not ends:
+            a, b = words(above)[-1:], words(below)[:1]
+            if self.takes_number("".join(a), "".join(b)):
+                return False
+        flowing = bool(above) and _prose(above) and not ends and below[:1].islower()
+        return (not above or _prose(above)) and (not below or _prose(below) or flowing)
+
     # ---- words
     def is_broken(self, a: str, mark: str, b: str) -> bool:
         """Whether a mark between two word parts cuts one word (and isn't the hyphen of its spelling)."""
@@ -344,20 +377,20 @@ class Repair:
                 return m[1] + m[3]
             return m[0] if m[2] in "=~" else f"{m[1]}-{m[3]}" if self.count("c", f"{m[1]}-{m[3]}".lower()) else m[0]
 
-        if any(h in text for h in HYPHENS):
+        if _BREAK.search(text):
             text = _BROKEN.sub(join, text)
-        if _LIGATURE.search(text):
+        if not text.isascii() and _LIGATURE.search(text):
             kinds.add("misread")
             text = _LIGATURE.sub(lambda m: {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}[m[0]], text)
         here = set(words(text))
-        wrong = here & self.fixes.keys()
+        wrong = here & self.wrong
         if wrong:
             kinds.add("misread")
             text = re.sub(r"(?<![^\W_])(?:" + "|".join(map(re.escape, sorted(wrong, key=len, reverse=True))) + r")(?![^\W_])", lambda m: _cased(self.fixes.get(m[0].lower(), m[0]), m[0]), text, flags=re.I)
-        if _NUMERIC.search(text):
+        if (any(x in here for x in "lio|") or any(not (x.isalpha() or x.isdigit()) for x in here)) and _NUMERIC.search(text):
             kinds.add("misread")
             text = _NUMERIC.sub(lambda m: m[0].translate(_DIGITS), text)
-        if here & self.heads:
+        if here & self.fragments:
 
             def glue(m: re.Match) -> str:
                 if f"{m[1]} {m[2]}".lower() in self.torn:
@@ -391,7 +424,7 @@ def lookups(text: str | None) -> set[str]:
     if not text:
         return set()
     w = words(text)
-    out = {f"{kind}:{x}" for x in w for kind in "wr"} | {f"t:{x} {y}" for x, y in zip(w, w[1:])}
+    out = {f"{kind}:{x}" for x in w for kind in "wrnm"} | {f"t:{x} {y}" for x, y in zip(w, w[1:])}
     for m in _BROKEN.finditer(text):
         for x in (m[1] + m[3], m[1], m[3]):
             out |= {f"w:{x.lower()}", f"r:{x.lower()}"}
