@@ -200,17 +200,16 @@ def members(records: DataFrame, key: str, text: str = "text") -> DataFrame:
     return records.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("id"), F.md5(text).alias("md5")).distinct()
 
 
-def near_duplicate_pairs(records: DataFrame, key: str = "chunk_id", text: str = "text", expand_copies: int = 64, **how) -> DataFrame:
-    """``a, b`` (a < b): every pair of keys whose texts are similar.
+def expand(checked: DataFrame, of: DataFrame, expand_copies: int = 64) -> DataFrame:
+    """``a, b`` (a < b): pairs of keys from pairs of texts (``ma, mb``; a text paired with itself has copies that
+    count) and the texts' keys (``id, md5``).
 
-    Exact copies of one text are paired with each other too. Where one text has more than
-    ``expand_copies`` keys, its first key stands for it in pairs with other texts and is paired with each
-    copy; nothing is lost, as copies are equal, and the output stays linear in them.
+    Where one text has more than ``expand_copies`` keys, its first key stands for it in pairs with other texts
+    and is paired with each copy; nothing is lost, as copies are equal, and the output stays linear in them.
     """
-    checked = materialise(similar_classes(records, text, **how))
-    of = members(records, key, text)
+    checked = materialise(checked)
     wanted = checked.select(F.explode(F.array("ma", "mb")).alias("md5")).distinct()
-    of = of.join(wanted, "md5", "left_semi")
+    of = materialise(of.join(wanted, "md5", "left_semi").select("id", "md5"))
     stats = of.groupBy("md5").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     of = of.join(stats, "md5")
     shown = of.where((F.col("n") <= expand_copies) | (F.col("id") == F.col("first"))).select("md5", "id")
@@ -222,6 +221,12 @@ def near_duplicate_pairs(records: DataFrame, key: str = "chunk_id", text: str =
     return cross.select("x", "y").union(star).union(inner).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def near_duplicate_pairs(records: DataFrame, key: str = "chunk_id", text: str = "text", expand_copies: int = 64, **how) -> DataFrame:
+    """``a, b`` (a < b): every pair of keys whose texts are similar; exact copies of one text are paired with
+    each other too (see ``expand`` for texts with very many keys)."""
+    return expand(similar_classes(records, text, **how), members(records, key, text), expand_copies)
+
+
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """``id, root``: the least id connected with each id of ``a, b`` edges, by alternating large-star and
     small-star rounds; each round is written to the shared folder. Ids without an edge aren't listed."""

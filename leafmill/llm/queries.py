@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import neardup, scans
+from leafmill.llm import encoding, leaks, mixing, neardup, scans, spans, splitting
 from leafmill.plans.queries import Registry
 from leafmill.session import table
 
@@ -32,7 +32,7 @@ P2 = {"shingle": 4, "threshold": 0.6, "min_words": 30}
 
 P2_PAIRS_SQL = r"""
 WITH w AS (SELECT DISTINCT chunk_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM chunks),
-g AS (SELECT chunk_id, list_distinct(list_transform(range(1, len(ws) - 2), i -> array_to_string(ws[i:i+3], ' '))) AS gs FROM w WHERE len(ws) >= 30),
+g AS (SELECT chunk_id, list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i+3], ' '))) AS gs FROM w WHERE len(ws) >= 30),
 e AS (SELECT chunk_id, len(gs) AS n, unnest(gs) AS s FROM g),
 p AS (SELECT x.chunk_id AS a, y.chunk_id AS b, x.n AS na, y.n AS nb, count(*) AS k
       FROM e x JOIN e y ON x.s = y.s AND x.chunk_id < y.chunk_id GROUP BY ALL),
@@ -55,3 +55,103 @@ SELECT a AS chunk_id, min(b) AS group_id, count(*) AS group_size FROM reach GROU
 def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     out = neardup.near_duplicate_groups(table(spark, d, "chunks"), **P2)
     return out.select(F.col("id").alias("chunk_id"), "group_id", "group_size")
+
+
+# ------------------------------------------------------------- 3: long exact spans shared between records
+@query(
+    "p3_found",
+    """
+WITH e AS (SELECT DISTINCT evidence_id, evidence_text AS t FROM evidence_report WHERE length(evidence_text) >= 150),
+g AS (SELECT DISTINCT evidence_id, unnest(list_transform(range(1, length(t) - 148), lambda i: substr(t, i, 150))) AS s FROM e)
+SELECT DISTINCT x.evidence_id AS evidence_id_a, y.evidence_id AS evidence_id_b FROM g x JOIN g y ON x.s = y.s AND x.evidence_id < y.evidence_id""",
+)
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_pairs(table(spark, d, "evidence_report"), "evidence_id", "evidence_text").toDF("evidence_id_a", "evidence_id_b")
+
+
+@query("p3_shared")
+def p3_shared(spark: SparkSession, d: str) -> DataFrame:
+    """Each evidence with its recurring spans, beside the stored scores of its latest delivery."""
+    rows = table(spark, d, "evidence_report")
+    out = spans.shared_share(rows, "evidence_id", "evidence_text")
+    stored = rows.groupBy(F.col("evidence_id").alias("id")).agg(F.max_by(F.struct("lcs_ratio", "line_coverage"), F.struct("matched_at", "lcs_ratio", "line_coverage")).alias("s"))
+    shown = F.array_join(F.transform("spans", lambda x: F.concat_ws("-", x["start"], x["end"])), ",")
+    return out.join(stored, "id", "left").select(F.col("id").alias("evidence_id"), "chars", shown.alias("spans"), "shared_chars", "shared", "s.lcs_ratio", "s.line_coverage")
+
+
+# ------------------------------------------------ 4: splitting oversized items at natural boundaries
+@query(
+    "p4_found",
+    r"""
+WITH w AS (SELECT DISTINCT chunk_id, text FROM chunks WHERE len(regexp_extract_all(text, '[^ \t\r\n]+')) > 800),
+m AS (SELECT chunk_id,
+  list_max(list_transform(regexp_split_to_array(text, '\r?\n[ \t]*(?:\r?\n[ \t]*)+'), lambda x: len(regexp_extract_all(x, '[^ \t\r\n]+')))) AS p,
+  list_max(list_transform(regexp_split_to_array(text, '\r?\n'), lambda x: len(regexp_extract_all(x, '[^ \t\r\n]+')))) AS l FROM w)
+SELECT chunk_id, CASE WHEN p <= 800 THEN 'paragraph' WHEN l <= 800 THEN 'line' ELSE 'word' END AS boundary FROM m""",
+)
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    out = splitting.split_oversized(table(spark, d, "chunks"))
+    return out.where("piece = 0").select(F.col("id").alias("chunk_id"), "boundary")
+
+
+@query("p4_pieces")
+def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.split_oversized(table(spark, d, "chunks")).withColumnRenamed("id", "chunk_id")
+
+
+# ------------------------------------------------- 6: evaluation texts leaking into training text
+@query(
+    "p6_found",
+    r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items),
+ds AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k+11], ' '))) AS s FROM d WHERE len(w) >= 12),
+i12 AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k+11], ' '))) AS s FROM i WHERE len(w) >= 12)
+SELECT DISTINCT doc_id, item_id FROM ds JOIN i12 USING (s)""",
+)
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    out = leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), min_tile=12)
+    return out.where("longest >= 12").select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+@query("p6_leaks")
+def p6_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Leaks by tiles of five words: items covered by 0.8 or more however reordered, or with a run of 12 words."""
+    out = leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), min_tile=5)
+    return out.where("coverage >= 0.8 OR longest >= 12").withColumnsRenamed({"doc": "doc_id", "item": "item_id"})
+
+
+# ------------------------------------------------------------ 7: mixing sources to target weights
+@query(
+    "p7_found",
+    r"""
+WITH d AS (SELECT nullif(lower(regexp_replace(source, '^\s+|\s+$', '', 'g')), '') AS source, len(regexp_extract_all(coalesce(text, ''), '[^ \t\r\n]+')) AS n FROM documents),
+s AS (SELECT source, sum(n) AS n FROM d WHERE source IS NOT NULL GROUP BY source),
+t AS (SELECT lower(regexp_replace(source, '^\s+|\s+$', '', 'g')) AS source, target_share, max_repeats FROM mix_targets)
+SELECT t.source FROM t LEFT JOIN s USING (source) WHERE coalesce(s.n, 0) * max_repeats < target_share * (SELECT sum(n) FROM s)""",
+)
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture_plan(table(spark, d, "documents"), table(spark, d, "mix_targets")).where("NOT reachable").select("source")
+
+
+@query("p7_report")
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    """Shares really reached, sizes in tokens of a public tokenizer."""
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
+@query("p7_mixture")
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The mixture: one row for each use of a document."""
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0].withColumnRenamed("id", "doc_id")
+
+
+# ---------------------------------------------------- 8: garbled text from wrong character encoding
+@query("p8_found")
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.garbled_documents(table(spark, d, "documents")).select(F.col("doc").alias("doc_id"))
+
+
+@query("p8_restored")
+def p8_restored(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.restore(table(spark, d, "documents")).withColumnRenamed("doc", "doc_id")
