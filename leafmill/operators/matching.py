@@ -4,39 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.functions.memo import Memo
-from leafmill.functions.rolling import rolling_hashes
 from leafmill.functions.text import line_coverage, match_key, multiset_coverage, numbers
-from leafmill.functions.words import mix64
 
 
-def longest_common(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the longest common run of two code arrays, by bisection over the length: equal windows are
-    found by their running hashes."""
-    low, high = 0, min(len(a), len(b))
-    while low < high:
-        n = (low + high + 1) // 2
-        if len(np.intersect1d(rolling_hashes(a, n), rolling_hashes(b, n))):
-            low = n
-        else:
-            high = n - 1
-    return low
-
-
-def _codes(key: str) -> np.ndarray:
-    return mix64(np.frombuffer(key.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64) + np.uint64(1))
+def longest_common(a: str, b: str) -> int:
+    """Length of the longest common substring: a window over ``a`` that grows while ``b`` holds it and never shrinks,
+    so that ``b`` is searched at most once for each character of ``a``."""
+    best = at = 0
+    while at + best < len(a):
+        while at + best < len(a) and a[at : at + best + 1] in b:
+            best += 1
+        at += 1
+    return best
 
 
 def _lcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b = batch["ek"].to_pylist(), batch["ck"].to_pylist()
-        codes = Memo(_codes, 512)
-        ratio = [longest_common(codes[x], codes[y]) / len(x) if x and y else 0.0 for x, y in zip(a, b)]
+        ratio = [longest_common(x, y) / len(x) if x and y else 0.0 for x, y in zip(a, b)]
         yield pa.record_batch({"evidence_id": batch["evidence_id"], "chunk_id": batch["chunk_id"], "lcs_ratio": pa.array(ratio, pa.float64())})
 
 
@@ -53,7 +42,9 @@ def match_scores(evidence: DataFrame, chunks: DataFrame) -> DataFrame:
     pairs = e.join(c, "doc")
     held, holds = F.contains("ck", "ek"), F.contains("ek", "ck")
     whole = pairs.where(held | holds).select("evidence_id", "chunk_id", F.when(held, "evidence_contained_in_chunk").otherwise("chunk_contained_in_evidence").alias("match_type"), F.when(held, 1.0).otherwise(F.length("ck") / F.length("ek")).alias("score"), F.lit(1.0).alias("line_coverage"), F.lit(1.0).alias("number_coverage"), F.when(held, 1.0).otherwise(F.length("ck") / F.length("ek")).alias("lcs_ratio"))
-    rest = pairs.where(~(held | holds))
+    # the search for common runs is heavy for its bytes: spread it by number of pairs, not by size
+    spread = max(evidence.sparkSession.sparkContext.defaultParallelism, int(evidence.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rest = pairs.where(~(held | holds)).repartition(spread, "evidence_id", "chunk_id")
     run = rest.select("evidence_id", "chunk_id", "ek", "ck").mapInArrow(_lcs, f"evidence_id {evidence.schema['evidence_id'].dataType.simpleString()}, chunk_id string, lcs_ratio double")
     cover = rest.select("evidence_id", "chunk_id", line_coverage(F.col("et"), F.col("ct")).alias("line_coverage"), multiset_coverage(numbers(F.col("et")), numbers(F.col("ct"))).alias("number_coverage"))
     score = F.greatest(0.75 * F.col("line_coverage") + 0.25 * F.col("number_coverage"), 0.65 * F.col("lcs_ratio") + 0.35 * F.col("number_coverage"))
