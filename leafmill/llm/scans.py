@@ -40,6 +40,8 @@ CONFUSIONS = [
 HYPHENS = "-¬­‐‑=~"
 #: Names of periodic reports as they run along the top of pages.
 REPORT_TITLES = ["Annual Report on Form 10-K", "Annual Report", "Quarterly Report on Form 10-Q", "Quarterly Report", "Current Report on Form 8-K", "Current Report", "Sustainability Statement", "Sustainability Report", "Risk Disclosure", "Interim Report"]
+#: Words before which a hyphen stands for a part named later (``short- and long-term``).
+SUSPENDING = {"and", "or", "to", "nor", "und", "oder", "bis", "et", "ou", "y", "o", "e"}
 # -----------------------------------------------------------------------------
 
 _COST: dict[str, list[tuple[str, float]]] = {}
@@ -359,6 +361,8 @@ class Repair:
         """Whether a mark between two word parts cuts one word (and isn't the hyphen of its spelling)."""
         a, b = a.lower(), b.lower()
         whole = a + b
+        if b in SUSPENDING and mark == "-" and not self.count("w", whole):
+            return False
         whole = self.fixes.get(whole, whole)
         joined, compound = self.count("w", whole), self.count("c", f"{a}-{b}")
         if joined or compound:
