@@ -77,7 +77,7 @@ def category(value: Column, rules: list[tuple[str, str]], default: str | None =
 
 def top_m(field: Column, file_name: Column) -> Column:
     """The field, else the number after ``_top_m_`` in a file name."""
-    return F.coalesce(F.expr("1").cast("int") * field.cast("int"), F.nullif(F.regexp_extract(file_name, r"_top_m_(\d+)", 1), F.lit("")).cast("int"))
+    return F.coalesce(field.try_cast("int"), F.nullif(F.regexp_extract(file_name, r"_top_m_(\d+)", 1), F.lit("")).try_cast("int"))
 
 
 NUMBER = r"\(?-?\$?\d[\d,]*(?:\.\d+)?%?\)?"
@@ -110,7 +110,7 @@ def line_coverage(evidence: Column, chunk: Column) -> Column:
 
 def physical_index(value: Column) -> Column:
     """Number in ``<physical_index_N>``, or of a plain number; null otherwise."""
-    return F.coalesce(F.nullif(F.regexp_extract(value, r"physical_index_(\d+)", 1), F.lit("")), F.nullif(F.regexp_extract(value, r"^\s*(\d+)\s*$", 1), F.lit(""))).cast("int")
+    return F.coalesce(F.nullif(F.regexp_extract(value, r"physical_index_(\d+)", 1), F.lit("")), F.nullif(F.regexp_extract(value, r"^\s*(\d+)\s*$", 1), F.lit(""))).try_cast("int")
 
 
 def fenced_json(reply: Column) -> Column:
@@ -121,8 +121,8 @@ def fenced_json(reply: Column) -> Column:
 
 def parse_pages(pages: Column) -> Column:
     """``5-7,12`` as a sorted array of distinct page numbers; null if a part isn't one or runs backwards."""
-    parts = F.transform(F.split(F.regexp_replace(pages, r"\s", ""), ","), lambda p: F.struct(F.regexp_extract(p, r"^(\d+)", 1).cast("int").alias("a"), F.coalesce(F.nullif(F.regexp_extract(p, r"-(\d+)$", 1), F.lit("")), F.regexp_extract(p, r"^(\d+)", 1)).cast("int").alias("b"), p.rlike(r"^\d+(?:-\d+)?$").alias("ok")))
-    good = F.forall(parts, lambda p: p["ok"] & (p["a"] <= p["b"]))
+    parts = F.transform(F.split(F.regexp_replace(pages, r"\s", ""), ","), lambda p: F.struct(F.regexp_extract(p, r"^(\d+)", 1).try_cast("int").alias("a"), F.coalesce(F.nullif(F.regexp_extract(p, r"-(\d+)$", 1), F.lit("")), F.regexp_extract(p, r"^(\d+)", 1)).try_cast("int").alias("b"), p.rlike(r"^\d+(?:-\d+)?$").alias("ok")))
+    good = F.forall(parts, lambda p: p["ok"] & F.coalesce(p["a"] <= p["b"], F.lit(False)))
     return F.when(good, F.array_sort(F.array_distinct(F.flatten(F.transform(parts, lambda p: F.sequence(p["a"], p["b"]))))))
 
 

@@ -26,6 +26,8 @@ def with_paths(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
         up = level.select("doc_id", F.col("node_id").alias("parent_id"), F.col("depth").alias("_d"), F.col("path").alias("_p"))
         level = materialise(rest.join(up, ["doc_id", "parent_id"]).withColumns({"depth": F.col("_d") + 1, "path": F.concat("_p", F.array("node_id"))}).drop("_d", "_p"))
         if level.isEmpty():
+            if out.count() < base.count():
+                raise RuntimeError("trees: some nodes hang on a cycle")
             return out.drop("_known")
         out = out.unionByName(level)
     raise RuntimeError(f"trees deeper than {max_depth} levels, or a cycle")

@@ -16,6 +16,8 @@ class Workspace:
     """Documents under a folder; metadata are read without touching bodies."""
 
     META = "doc_id string, type string, doc_name string, doc_description string, page_count int, line_count int"
+    PAGES = "doc_id string, page int, text string"
+    NODES = "doc_id string, node_id string, parent_id string, ord long, structure string, title string, start_index int, end_index int"
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
@@ -38,9 +40,9 @@ class Workspace:
 
     def _add(self, meta: DataFrame, pages: DataFrame, nodes: DataFrame) -> None:
         # bodies first: a document is known once all of it is there
-        pages.write.mode("append").parquet(self.page_path)
-        nodes.write.mode("append").parquet(self.node_path)
-        meta.write.mode("append").parquet(self.meta_path)
+        for rows, schema, path in ((pages, self.PAGES, self.page_path), (nodes, self.NODES, self.node_path), (meta, self.META, self.meta_path)):
+            fields = [f.split(" ") for f in schema.split(", ")]
+            rows.select(*(F.col(name).cast(kind).alias(name) for name, kind in fields)).write.mode("append").parquet(path)
 
     def meta(self) -> DataFrame:
         return self.spark.read.parquet(self.meta_path)
