@@ -29,13 +29,14 @@ def _lcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"evidence_id": batch["evidence_id"], "chunk_id": batch["chunk_id"], "lcs_ratio": pa.array(ratio, pa.float64())})
 
 
-def match_scores(evidence: DataFrame, chunks: DataFrame) -> DataFrame:
+def match_scores(evidence: DataFrame, chunks: DataFrame, every: bool = True) -> DataFrame:
     """``evidence_id, chunk_id, match_type, score, line_coverage, number_coverage, lcs_ratio`` for every evidence
     (``evidence_id, doc, text``) and chunk (``chunk_id, doc, text``) of one document.
 
     Contained in the chunk: 1. Chunk within the evidence: share of its length. Otherwise the greater of
     .75 line + .25 number coverage and .65 longest common run + .35 number coverage. Empty evidence matches nothing;
-    the longest run is sought only where containment fails.
+    the longest run is sought only where containment fails. With ``every`` off it isn't sought for evidence that some
+    chunk contains whole either (run 0 there): it could no longer lead.
     """
     e = evidence.select("evidence_id", "doc", F.coalesce("text", F.lit("")).alias("et")).withColumn("ek", match_key(F.col("et"))).where("ek <> ''")
     c = chunks.select("chunk_id", "doc", F.coalesce("text", F.lit("")).alias("ct")).withColumn("ck", match_key(F.col("ct"))).where("ck <> ''")
@@ -45,10 +46,11 @@ def match_scores(evidence: DataFrame, chunks: DataFrame) -> DataFrame:
     # the search for common runs is heavy for its bytes: spread it by number of pairs, not by size
     spread = max(evidence.sparkSession.sparkContext.defaultParallelism, int(evidence.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rest = pairs.where(~(held | holds)).repartition(spread, "evidence_id", "chunk_id")
-    run = rest.select("evidence_id", "chunk_id", "ek", "ck").mapInArrow(_lcs, f"evidence_id {evidence.schema['evidence_id'].dataType.simpleString()}, chunk_id string, lcs_ratio double")
+    sought = rest if every else rest.join(whole.where("score = 1.0").select("evidence_id").distinct(), "evidence_id", "left_anti").repartition(spread, "evidence_id", "chunk_id")
+    run = sought.select("evidence_id", "chunk_id", "ek", "ck").mapInArrow(_lcs, f"evidence_id {evidence.schema['evidence_id'].dataType.simpleString()}, chunk_id string, lcs_ratio double")
     cover = rest.select("evidence_id", "chunk_id", line_coverage(F.col("et"), F.col("ct")).alias("line_coverage"), multiset_coverage(numbers(F.col("et")), numbers(F.col("ct"))).alias("number_coverage"))
     score = F.greatest(0.75 * F.col("line_coverage") + 0.25 * F.col("number_coverage"), 0.65 * F.col("lcs_ratio") + 0.35 * F.col("number_coverage"))
-    part = cover.join(run, ["evidence_id", "chunk_id"]).select("evidence_id", "chunk_id", F.lit("partial_line_number_match").alias("match_type"), score.alias("score"), "line_coverage", "number_coverage", "lcs_ratio")
+    part = cover.join(run, ["evidence_id", "chunk_id"], "left").withColumn("lcs_ratio", F.coalesce("lcs_ratio", F.lit(0.0))).select("evidence_id", "chunk_id", F.lit("partial_line_number_match").alias("match_type"), score.alias("score"), "line_coverage", "number_coverage", "lcs_ratio")
     return whole.unionByName(part)
 
 

@@ -89,15 +89,18 @@ def unit(vector: Column) -> Column:
 
 
 def dense_top_k(rows: DataFrame, queries: DataFrame, k: int = 5, normalise: bool = True, query_block: int = 1024, row_block: int = 8192, exclude_self: bool = False) -> DataFrame:
-    """``query_id, rank, id, score``: the k rows (``id long, vector``) of greatest inner product with each query
-    (``query_id long, vector``), exactly; ties by id. Null vectors take no part; a dimension that differs raises.
+    """``query_id, rank, id, score``: the k rows (``id, vector``) of greatest inner product with each query
+    (``query_id, vector``), exactly; ties by id. Null vectors take no part; a dimension that differs raises.
     """
 
+    kinds = queries.schema["query_id"].dataType.simpleString(), rows.schema["id"].dataType.simpleString()
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 q, r = batch["q"][i].values, batch["r"][i].values
-                qi, ri = np.asarray(q.field("query_id")), np.asarray(r.field("id"))
+                qi, ri = q.field("query_id").to_numpy(zero_copy_only=False), r.field("id").to_numpy(zero_copy_only=False)
+                place = np.argsort(np.argsort(ri, kind="stable"), kind="stable")
                 a = np.asarray(q.field("vector").flatten(), dtype=np.float64).reshape(len(qi), -1)
                 b = np.asarray(r.field("vector").flatten(), dtype=np.float64).reshape(len(ri), -1)
                 if a.shape[1] != b.shape[1]:
@@ -105,18 +108,37 @@ def dense_top_k(rows: DataFrame, queries: DataFrame, k: int = 5, normalise: bool
                 s = np.round(a @ b.T, 9)
                 if exclude_self:
                     s[qi[:, None] == ri[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(ri, s.shape), -s), axis=1)[:, : min(k, len(ri))]
+                order = np.lexsort((np.broadcast_to(place, s.shape), -s), axis=1)[:, : min(k, len(ri))]
                 top = np.take_along_axis(s, order, axis=1)
-                keep = np.isfinite(top)
-                yield pa.record_batch({"query_id": pa.array(np.repeat(qi, order.shape[1])[keep.ravel()]), "id": pa.array(ri[order].ravel()[keep.ravel()]), "score": pa.array(top.ravel()[keep.ravel()])})
+                keep = np.isfinite(top).ravel()
+                yield pa.record_batch({"query_id": pa.array(np.repeat(qi, order.shape[1])[keep], q.field("query_id").type), "id": pa.array(ri[order].ravel()[keep], r.field("id").type), "score": pa.array(top.ravel()[keep])})
 
-    v = unit(F.col("vector")) if normalise else F.col("vector")
+    v = unit(F.col("vector")) if normalise else F.transform("vector", lambda x: x.cast("double"))
     q = packed(queries.select("query_id", v.alias("vector")).where("vector IS NOT NULL"), "query_id", ["query_id", "vector"], query_block, "q")
     r = packed(rows.select("id", v.alias("vector")).where("vector IS NOT NULL"), "id", ["id", "vector"], row_block, "r")
-    scored = block_pairs(q, r).select("q", "r").mapInArrow(score, "query_id long, id long, score double")
+    scored = block_pairs(q, r).select("q", "r").mapInArrow(score, f"query_id {kinds[0]}, id {kinds[1]}, score double")
     return best_k(scored, "query_id", F.col("score"), k, F.col("id")).select("query_id", "rank", "id", "score")
 
 
+def pair_scores(pairs: DataFrame, left: str, right: str) -> DataFrame:
+    """``pairs`` without its two vector columns, with ``score``: their inner product to nine decimals, -1 where one is
+    null. Batches of pairs are multiplied as matrices."""
+    kept = [f for f in pairs.schema if f.name not in (left, right)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = batch[left], batch[right]
+            both = np.asarray(a.is_valid()) & np.asarray(b.is_valid())
+            s = np.full(batch.num_rows, -1.0)
+            if both.any():
+                x, y = (np.asarray(c.filter(pa.array(both)).flatten(), dtype=np.float64).reshape(int(both.sum()), -1) for c in (a, b))
+                s[both] = np.round(np.einsum("ij,ij->i", x, y), 9)
+            yield pa.RecordBatch.from_arrays([*(batch[f.name] for f in kept), pa.array(s)], names=[*(f.name for f in kept), "score"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    return pairs.mapInArrow(run, f"{schema}, score double")
+
+
 def dot(a: Column, b: Column) -> Column:
     """Inner product of two arrays, in the JVM."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -130,22 +152,23 @@ def beam(nodes: DataFrame, queries: DataFrame, k: int = 5, m: int = 10, max_dept
     parent); ``queries``: ``query_id, vector``. At each level the children of the frontier are pooled, the m best of
     the pool stay, leaves among them become candidates, the others the next frontier; candidates rank by their
     own score, best first, the earlier found before the later. All queries go down together, a level at a time.
-    A node without children is a leaf. Null vectors score as -1.
+    A node without children is a leaf. Null vectors score as -1; a query or document
+    without one takes no part in the choice of the document.
     """
-    score = F.round(F.coalesce(dot(F.col("vector"), F.col("qv")), F.lit(-1.0)), 9)
     parents = nodes.where(F.col("parent_id").isNotNull()).select("doc_id", F.col("parent_id").alias("node_id")).distinct().withColumn("inner", F.lit(True))
     tree = materialise(nodes.join(parents, ["doc_id", "node_id"], "left").withColumn("inner", F.coalesce("inner", F.lit(False))))
     asked = queries.select("query_id", F.col("vector").alias("qv"))
-    roots = tree.where("parent_id IS NULL").select("doc_id", F.col("node_id").alias("root"), F.col("vector"), F.col("ord").alias("root_ord"))
-    first = asked.join(F.broadcast(roots) if roots.count() <= 20_000 else roots, F.lit(True))
-    w = Window.partitionBy("query_id").orderBy(score.desc(), "doc_id")
-    frontier = materialise(first.withColumn("r", F.row_number().over(w)).where("r = 1").select("query_id", "qv", "doc_id", F.col("root").alias("node_id"), F.lit(0).alias("place")))
+    roots = tree.where("parent_id IS NULL").select(F.col("doc_id").alias("id"), "vector", "node_id")
+    best = dense_top_k(roots.select("id", "vector"), queries.select("query_id", "vector"), 1, normalise=False)
+    top = roots.groupBy(F.col("id").alias("doc_id")).agg(F.min("node_id").alias("node_id"))
+    frontier = materialise(best.select("query_id", F.col("id").alias("doc_id")).join(top, "doc_id").join(asked, "query_id").select("query_id", "qv", "doc_id", "node_id", F.lit(0).alias("place")))
     children = tree.where("parent_id IS NOT NULL").select("doc_id", F.col("parent_id").alias("up"), F.col("node_id").alias("child"), "ord", "chunk_id", "vector", "inner")
     found = None
     for level in range(max_depth):
-        pool = frontier.join(children, (frontier["doc_id"] == children["doc_id"]) & (frontier["node_id"] == children["up"])).select("query_id", "qv", frontier["doc_id"], "child", "place", "ord", "chunk_id", "inner", score.alias("score"))
+        met = frontier.join(children, (frontier["doc_id"] == children["doc_id"]) & (frontier["node_id"] == children["up"]))
+        pool = pair_scores(met.select("query_id", "qv", frontier["doc_id"], "child", "place", "ord", "chunk_id", "inner", "vector"), "qv", "vector")
         w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "place", "ord", "child")
-        kept = materialise(pool.withColumn("r", F.row_number().over(w)).where(F.col("r") <= m))
+        kept = materialise(pool.withColumn("r", F.row_number().over(w)).where(F.col("r") <= m).join(asked, "query_id"))
         leaves = kept.where("NOT inner").select("query_id", "doc_id", F.col("child").alias("node_id"), "chunk_id", "score", F.lit(level).alias("level"), "r")
         found = leaves if found is None else found.union(leaves)
         frontier = kept.where("inner").select("query_id", "qv", "doc_id", F.col("child").alias("node_id"), F.col("r").alias("place"))
@@ -163,8 +186,9 @@ def rerank(candidates: DataFrame, queries: DataFrame, chunk_vectors: DataFrame,
     """Candidates of a beam ordered by query and chunk text (``chunk_id, vector``); the node's score stands where
     the chunk has no vector, and ``scored_by`` says which."""
     both = candidates.join(queries.select("query_id", F.col("vector").alias("qv")), "query_id").join(chunk_vectors.select("chunk_id", F.col("vector").alias("cv")), "chunk_id", "left")
-    chunk_score = F.round(dot(F.col("qv"), F.col("cv")), 9)
-    out = both.select("query_id", "doc_id", "node_id", "chunk_id", F.col("score").alias("node_score"), F.col("rank").alias("node_rank"), F.coalesce(F.when(F.col("cv").isNotNull(), chunk_score), F.col("score")).alias("score"), F.when(F.col("cv").isNotNull(), "chunk").otherwise("node").alias("scored_by"))
+    pairs = both.select("query_id", "doc_id", "node_id", "chunk_id", F.col("score").alias("node_score"), F.col("rank").alias("node_rank"), F.col("cv").isNotNull().alias("_has"), "qv", "cv")
+    scored = pair_scores(pairs, "qv", "cv")
+    out = scored.withColumns({"score": F.when(F.col("_has"), F.col("score")).otherwise(F.col("node_score")), "scored_by": F.when(F.col("_has"), "chunk").otherwise("node")}).drop("_has")
     return best_k(out, "query_id", F.col("score"), k, F.col("node_rank")).drop("node_rank")
 
 

@@ -329,7 +329,7 @@ def _matching(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 @query("ev_ground_truth")
 def ev_ground_truth(spark: SparkSession, d: str) -> DataFrame:
-    best = matching.best_matches(matching.match_scores(*_matching(spark, d)))
+    best = matching.best_matches(matching.match_scores(*_matching(spark, d), every=False))
     questions = current_evidence(spark, d).select("evidence_id", F.col("financebench_id").alias("question"))
     return matching.ground_truth(questions, best)
 
