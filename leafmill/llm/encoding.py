@@ -133,14 +133,20 @@ def garbled_words(docs: DataFrame, text: str = "text") -> DataFrame:
     """``token, word, chain, sure``: tokens of the corpus that are garbled forms, and their originals.
 
     A form proved by its UTF-8 sequences needs no more. A swap of single-byte encodings must be rarer than
-    its original and leave at least two ASCII letters as evidence. An original that is itself garbled is
+    its original and leave at least two ASCII letters as evidence; 20 times rarer, it is as good as proved (a single
+    Cyrillic letter in place of a sign: 100 times). An original that is itself garbled is
     replaced by its own original. A token that no word explains is mended by the garbled characters in it.
     """
     tokens = materialise(docs.select(F.col(text).alias("text")).mapInArrow(_tokens, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")))
     forms = tokens.mapInArrow(_forms, "token string, word string, m long, chain string, sure boolean")
     letters = F.length(F.regexp_replace("token", r"[^A-Za-z]", ""))
-    good = F.col("sure") | (F.col("m") > F.col("n")) & (letters >= 2) | F.col("chain").endswith("blank lost")
+    swap_alone = F.col("token").rlike(r"^\p{IsCyrillic}$")
+    good = F.col("sure") | (F.col("m") > F.col("n")) & (letters >= 2) | swap_alone & (F.col("m") > F.col("n")) | F.col("chain").endswith("blank lost")
     hit = forms.join(tokens, "token").where(good & (F.col("token") != F.col("word")))
+    # a swap far rarer than its original needs no second one: with letters around, or a Cyrillic letter for a sign
+    swap, alone = ~F.endswith("chain", F.lit("blank lost")), F.col("token").rlike(r"^\p{IsCyrillic}$")
+    clear = swap & ((letters >= 2) & (F.col("m") >= 20 * F.col("n")) | alone & (F.col("m") >= 100 * F.col("n")))
+    hit = hit.withColumn("sure", F.col("sure") | clear)
     best = hit.groupBy("token").agg(F.max_by(F.struct("word", "chain", "sure"), F.struct("sure", "m", "word")).alias("b")).select("token", "b.*")
     whole = materialise(best)
     # characters: forms of every non-ASCII character that clean tokens hold
