@@ -289,6 +289,23 @@ def rt_walk(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("top5", F.array_join("top5", ","))
 
 
+@query("rt_beam_eval")
+def rt_beam_eval(spark: SparkSession, d: str) -> DataFrame:
+    """Accuracy, hit rate and mean reciprocal rank of the beam for each bank."""
+    gold = table(spark, d, "queries").select("query_id", "bank_name", F.col("ground_truth_chunk_id").alias("gold")).distinct()
+    hits = rt_beam(spark, d).select("query_id", "rank", F.col("chunk_id").alias("id"))
+    return evaluation.aggregate_metrics(evaluation.retrieval_metrics(gold.join(evaluation.ranked_ids(hits), "query_id", "left")), ["bank_name"])
+
+
+@query("ev_agreement")
+def ev_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """How the walk's separate top result and its ranked list agree on the gold chunk, with shares."""
+    gold = table(spark, d, "queries").select("query_id", F.col("ground_truth_chunk_id").alias("gold")).distinct()
+    rows = gold.join(rt_walk(spark, d).select("query_id", "top1", F.split("top5", ",").alias("ids")), "query_id", "left")
+    m = evaluation.retrieval_metrics(rows).withColumn("top1_hit", F.coalesce((F.col("top1") == F.col("gold")).cast("int"), F.lit(0)))
+    return evaluation.distribution(m.withColumn("agreement", evaluation.agreement_class(F.col("top1_hit"), F.col("gold_rank"))), [], "agreement")
+
+
 # ------------------------------------------------------------------------------- joins and ground truth
 @query(
     "jn_documents",

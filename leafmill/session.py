@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -12,16 +14,21 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """Folder of intermediate tables: ``spark.checkpoint.dir`` as the cluster names it.
 
-    Only where neither the setting nor a checkpoint directory exists (single-machine tests) is a
-    temporary folder made.
+    Only a local session in which neither the setting nor a checkpoint directory exists (tests) gets a
+    temporary folder, which goes when the process ends; a cluster without either is an error.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    folder = named or "file://" + tempfile.mkdtemp(prefix="leafmill-")
-    sc.setCheckpointDir(folder)
+    if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        own = tempfile.mkdtemp(prefix="leafmill-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        named = f"file://{own}"
+    sc.setCheckpointDir(named)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
