@@ -100,14 +100,18 @@ def evidence_lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), match_key), lambda k: F.length(k) >= 5)
 
 
-def line_coverage(evidence: Column, chunk: Column) -> Column:
-    """Share of the evidence's lines, weighted by length, that the chunk contains; 0 without lines."""
-    lines, hay = evidence_lines(evidence), match_key(F.coalesce(chunk, F.lit("")))
+def held_share(lines: Column, key: Column) -> Column:
+    """Share of line keys, weighted by length, that a match key contains; 0 without lines."""
     total = F.aggregate(lines, F.lit(0), lambda n, k: n + F.length(k))
-    held = F.aggregate(lines, F.lit(0), lambda n, k: n + F.when(F.contains(hay, k), F.length(k)).otherwise(0))
+    held = F.aggregate(lines, F.lit(0), lambda n, k: n + F.when(F.contains(key, k), F.length(k)).otherwise(0))
     return F.when(total > 0, held / total).otherwise(0.0)
 
 
+def line_coverage(evidence: Column, chunk: Column) -> Column:
+    """Share of the evidence's lines, weighted by length, that the chunk contains; 0 without lines."""
+    return held_share(evidence_lines(evidence), match_key(F.coalesce(chunk, F.lit(""))))
+
+
 def physical_index(value: Column) -> Column:
     """Number in ``<physical_index_N>``, or of a plain number; null otherwise."""
     return F.coalesce(F.nullif(F.regexp_extract(value, r"physical_index_(\d+)", 1), F.lit("")), F.nullif(F.regexp_extract(value, r"^\s*(\d+)\s*$", 1), F.lit(""))).try_cast("int")

@@ -8,7 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.functions.text import line_coverage, match_key, multiset_coverage, numbers
+from leafmill.functions.text import evidence_lines, held_share, match_key, multiset_coverage, numbers
+from leafmill.session import materialise
 
 
 def longest_common(a: str, b: str) -> int:
@@ -38,8 +39,10 @@ def match_scores(evidence: DataFrame, chunks: DataFrame, every: bool = True) ->
     the longest run is sought only where containment fails. With ``every`` off it isn't sought for evidence that some
     chunk contains whole either (run 0 there): it could no longer lead.
     """
-    e = evidence.select("evidence_id", "doc", F.coalesce("text", F.lit("")).alias("et")).withColumn("ek", match_key(F.col("et"))).where("ek <> ''")
-    c = chunks.select("chunk_id", "doc", F.coalesce("text", F.lit("")).alias("ct")).withColumn("ck", match_key(F.col("ct"))).where("ck <> ''")
+    # keys, lines and numbers once for each row, not once for each pair
+    et, ct = F.coalesce("text", F.lit("")), F.coalesce("text", F.lit(""))
+    e = materialise(evidence.select("evidence_id", "doc", match_key(et).alias("ek"), evidence_lines(et).alias("lines"), numbers(et).alias("en")).where("ek <> ''"))
+    c = materialise(chunks.select("chunk_id", "doc", match_key(ct).alias("ck"), numbers(ct).alias("cn")).where("ck <> ''"))
     pairs = e.join(c, "doc")
     held, holds = F.contains("ck", "ek"), F.contains("ek", "ck")
     whole = pairs.where(held | holds).select("evidence_id", "chunk_id", F.when(held, "evidence_contained_in_chunk").otherwise("chunk_contained_in_evidence").alias("match_type"), F.when(held, 1.0).otherwise(F.length("ck") / F.length("ek")).alias("score"), F.lit(1.0).alias("line_coverage"), F.lit(1.0).alias("number_coverage"), F.when(held, 1.0).otherwise(F.length("ck") / F.length("ek")).alias("lcs_ratio"))
@@ -48,7 +51,7 @@ def match_scores(evidence: DataFrame, chunks: DataFrame, every: bool = True) ->
     rest = pairs.where(~(held | holds)).repartition(spread, "evidence_id", "chunk_id")
     sought = rest if every else rest.join(whole.where("score = 1.0").select("evidence_id").distinct(), "evidence_id", "left_anti").repartition(spread, "evidence_id", "chunk_id")
     run = sought.select("evidence_id", "chunk_id", "ek", "ck").mapInArrow(_lcs, f"evidence_id {evidence.schema['evidence_id'].dataType.simpleString()}, chunk_id string, lcs_ratio double")
-    cover = rest.select("evidence_id", "chunk_id", line_coverage(F.col("et"), F.col("ct")).alias("line_coverage"), multiset_coverage(numbers(F.col("et")), numbers(F.col("ct"))).alias("number_coverage"))
+    cover = rest.select("evidence_id", "chunk_id", held_share(F.col("lines"), F.col("ck")).alias("line_coverage"), multiset_coverage(F.col("en"), F.col("cn")).alias("number_coverage"))
     score = F.greatest(0.75 * F.col("line_coverage") + 0.25 * F.col("number_coverage"), 0.65 * F.col("lcs_ratio") + 0.35 * F.col("number_coverage"))
     part = cover.join(run, ["evidence_id", "chunk_id"], "left").withColumn("lcs_ratio", F.coalesce("lcs_ratio", F.lit(0.0))).select("evidence_id", "chunk_id", F.lit("partial_line_number_match").alias("match_type"), score.alias("score"), "line_coverage", "number_coverage", "lcs_ratio")
     return whole.unionByName(part)
