@@ -42,6 +42,10 @@ HYPHENS = "-¬­‐‑=~"
 REPORT_TITLES = ["Annual Report on Form 10-K", "Annual Report", "Quarterly Report on Form 10-Q", "Quarterly Report", "Current Report on Form 8-K", "Current Report", "Sustainability Statement", "Sustainability Report", "Risk Disclosure", "Interim Report"]
 #: Words before which a hyphen stands for a part named later (``short- and long-term``).
 SUSPENDING = {"and", "or", "to", "nor", "und", "oder", "bis", "et", "ou", "y", "o", "e"}
+#: Words with which neither a sentence nor a heading ends.
+LEADING = set("a an the of in on at by for from to with without under over between among per than as and or nor but that which whose its their our this these those is are was were be been has have had will would shall may must can der die das des dem den ein eine und oder von mit für bei aus zu le la les du de et ou pour par dans sur avec el los las en con para".split())
+#: Abbreviations after which a sentence goes on if a small letter or a digit follows, or whatever follows.
+SHORT, TITLES = {"no", "nos", "art", "sec", "fig", "para", "nr", "inc", "ltd", "co", "corp", "vs", "approx", "cf", "e.g", "i.e", "incl", "excl", "u.s", "z.b", "bzw", "ca"}, {"mr", "mrs", "ms", "dr", "prof"}
 # -----------------------------------------------------------------------------
 
 _COST: dict[str, list[tuple[str, float]]] = {}
@@ -330,12 +334,19 @@ class Repair:
                     cuts.append(m.span(2))
         if not cuts:
             return text, kinds
-        out, at = [], 0
+        stretches, at = [], 0
         for a, b in sorted(cuts):
-            if a > at:
-                out.append(text[at:a])
+            stretches.append(text[at:a])
             at = max(at, b)
-        return "".join([*out, text[at:]]), kinds
+        width, out = wrap_width(text), ""
+        for part in [*stretches, text[at:]]:
+            if out and part.strip():  # between text and its continuation, one blank takes the break's place
+                above, below = out.rstrip(), part.lstrip()
+                gap = out[len(above) :] + part[: len(part) - len(below)]
+                if above and gap and ("\n" not in gap or goes_on(above.rpartition("\n")[2], below.partition("\n")[0], width, True)):
+                    out, part = above + " ", below
+            out += part
+        return out, kinds
 
     def takes_number(self, before: str, after: str) -> bool:
         """Whether a number is usual after the one word or before the other."""
@@ -408,18 +419,71 @@ class Repair:
     def text(self, text: str, doc_name: str | None) -> tuple[str, set[str]]:
         bare, kinds = self.page_breaks(text, doc_name)
         mended, more = self.mend(bare)
-        return paragraphs(mended) if kinds | more else text, kinds | more
+        return paragraphs(mended, wrap_width(text)) if kinds | more else text, kinds | more
 
 
 def _cased(word: str, like: str) -> str:
     return word.upper() if like.isupper() and len(like) > 1 else word[:1].upper() + word[1:] if like[:1].isupper() else word
 
 
-def paragraphs(text: str) -> str:
-    """Lines of a paragraph become one; blank lines, list items and table rows keep their breaks."""
+_ITEM = re.compile(r"(?:[-–—•*·▪●■]|\(?(?:\d{1,2}|[a-z]|[ivx]{1,4})[.)])\s")
+_ENDED = re.compile(r"[.!?:][\"'”’»)\]]*$")
+_LAST = re.compile(r"[^\s(]+$")
+
+
+def wrap_width(text: str) -> int:
+    """Length of the longest line that runs on to a small letter, to which the text is wrapped; 0 if none does."""
+    lines = [x.strip() for x in text.split("\n")]
+    return max((len(x) for x, y in zip(lines, lines[1:]) if y[:1].islower() and len(x) <= 160 and "   " not in x), default=0)
+
+
+def _heading(line: str) -> bool:
+    """Every longer word begins with a capital."""
+    return all(not w[:1].islower() for w in line.split() if len(w) > 3)
+
+
+def goes_on(above: str, below: str, width: int, cut: bool = False) -> bool:
+    """Whether a line's sentence hasn't ended and the next line continues it.
+
+    Before a small letter it does. Before anything else it does after a comma or a word that nothing ends with,
+    and if the line is prose that the next word would have made longer than ``width``; at a page break
+    (``cut``) prose of 45 characters will do. Table rows, list items and headings keep to themselves.
+    """
+    a, b = above.strip(), below.strip()
+    if not a or not b or "   " in a or "   " in b or _ITEM.match(b) and not (b[0] == "(" and a[-1] not in ".;:"):
+        return False
+    last = _LAST.search(a)[0] if a[-1] != "(" else ""
+    if _ENDED.search(a):
+        word = last.rstrip(".").lower()
+        return a[-1] == "." and (word in TITLES or word in SHORT and (b[0].islower() or b[0].isdigit()))
+    if b[0].islower() or b[0] == "(":
+        return True
+    if a[-1] == ";" or len(a.split()) < 2:
+        return False
+    if a[-1] == "," or last.lower() in LEADING:
+        return True
+    if _heading(a):
+        return False
+    if b[0].isdigit() and (last in "$€£" or len(last) == 3 and last.isupper()):  # a currency or a standard's name
+        return True
+    return cut and len(a) >= 45 or 0 < width < len(a) + 1 + len(b.split()[0])
+
+
+def paragraphs(text: str, width: int | None = None) -> str:
+    """Lines of a paragraph become one; blank lines, list items and table rows keep their breaks. ``width``: to
+    which the lines are wrapped (measured if not given)."""
     text = re.sub(r"[ \t]+\n", "\n", text)
     text = re.sub(r"\n{3,}", "\n\n", text)
-    return re.sub(r"(?<=[\w,;–-])[ \t]*\n(?=[a-z(])", " ", text).strip()
+    width = wrap_width(text) if width is None else width
+    out: list[str] = []
+    above = ""
+    for line in text.split("\n"):
+        if out and goes_on(above, line, width):
+            out[-1] = out[-1].rstrip() + " " + line.lstrip()
+        else:
+            out.append(line)
+        above = line
+    return "\n".join(out).strip()
 
 
 # ----------------------------------------------------------------- all records

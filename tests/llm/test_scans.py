@@ -75,3 +75,30 @@ def test_distance_knows_look_alikes():
 def test_delete_variants_meet():
     assert scans.delete_variants("rnillion") & scans.delete_variants("million")
     assert scans.delete_variants("") == set()
+
+
+def test_sentences_go_on_over_page_breaks():
+    repair = scans.Repair({})
+    text = {k: t for k, t, _, _ in DIRTY}
+    whole = {
+        "p1": "The committee moved from 120 percent of the insurance cover.",
+        "p2": "The committee moved from 120 percent of the insurance cover.",
+        "p3": "The committee moved from 120 percent of the insurance cover and of the settlement.",
+    }
+    for k, fixed in whole.items():
+        assert repair.text(text[k], "Acme_Foods_2020_AR_no-1")[0] == fixed, k
+    long = "The lending portfolio of the northern district, which the board of"
+    for below in ("Directors met.", "12 members met.", "élus met."):
+        assert repair.text(f"{long}\n\n- 17 -\n\n{below}", None)[0] == f"{long} {below}"
+    # ended sentences, headings, items and table rows keep their breaks
+    for above, below in [("The board met.", "The plan was set."), ("The Board Of The Plan", "As set out, it met."), ("The board met with the members of the plan and of the cover", "- an item"), ("Reserve   372   118", "Plan   16   944")]:
+        assert repair.text(f"{above}\n\n- 17 -\n\n{below}", None)[0] == f"{above}\n\n{below}"
+
+
+def test_wrapped_lines_go_on_before_capitals_and_digits():
+    text = "Note 33\nIn the course of the transformation, the reserve at USD\n4,566.35 million was set and the share of the funds in\nSellowmere rose by 3 percent under the terms of\nthe plan.\nReserve of the plan\nAs set out, it fell."
+    assert scans.paragraphs(text) == "Note 33\nIn the course of the transformation, the reserve at USD 4,566.35 million was set and the share of the funds in Sellowmere rose by 3 percent under the terms of the plan.\nReserve of the plan\nAs set out, it fell."
+
+
+def test_amounts_stay_with_their_currency():
+    assert scans.goes_on("the waste stream at USD", "5,590.3 million.", 0) and not scans.goes_on("USD", "2020", 0)
