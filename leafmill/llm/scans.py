@@ -3,9 +3,10 @@
 1. Counts: words, neighbouring word pairs and hyphenated compounds of the whole corpus, pre-aggregated
    in each task (numbers count as ``#``).
 2. Symmetric-delete index: the delete variants of every word are joined with those of the lexicon's
-   words; a weighted edit distance, in which only look-alike confusions are cheap, scores the pairs, and the
+   words, and all that its look-alikes may stand for with these words themselves; a weighted edit distance, in which only look-alike confusions are cheap, scores the pairs, and the
    share of a word's contexts in which the candidate is known too (word pairs) decides.
-3. Torn words: neighbouring fragments that the corpus writes as one word.
+3. Torn words: neighbouring fragments that the corpus writes as one word; words that are common by themselves
+   only where the whole word fits its neighbours.
 4. Each text: running headers and page numbers are taken out, words cut at line ends are joined unless
    the hyphen belongs to the spelling, misread and torn words are replaced, lines become paragraphs.
 """
@@ -94,6 +95,29 @@ def delete_variants(word: str) -> set[str]:
     return {w for w in out if w}
 
 
+def printed_forms(read: str, bound: float = 1.0) -> set[str]:
+    """Every word of letters, the same one left out, that look-alikes make of ``read`` at a cost under ``bound``
+    (at most 1: no other edit fits under it then). A digit must be replaced, so that few-digit words alone have any."""
+    out: set[str] = set()
+    best: dict[tuple[int, str], float] = {}
+    todo = [(0, "", 0.0)]
+    while todo:
+        i, made, c = todo.pop()
+        if i == len(read):
+            out.add(made)
+            continue
+        steps = [(i + 1, made + read[i], c)] if read[i].isalpha() else []
+        for k in (1, 2, 3):
+            for to, price in _COST.get(read[i : i + k], ()) if i + k <= len(read) else ():
+                if c + price < bound and to.isalpha():
+                    steps.append((i + k, made + to, c + price))
+        for step in steps:
+            if step[2] < best.get(step[:2], float("inf")):
+                best[step[:2]] = step[2]
+                todo.append(step)
+    return out - {read}
+
+
 # ---------------------------------------------------------------------- counts
 class _Kind(dict):
     """Word -> word, number -> ``#``; remembers words only."""
@@ -151,13 +175,26 @@ def corpus_counts(records: DataFrame, fields: list[str]) -> DataFrame:
 
 
 # ----------------------------------------------------------------------- model
-def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+def _variants(bound: float | None = None):
+    """Delete variants and, marked ``=``, the word itself or (if ``bound`` is given) what it may stand for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, w, n = [], [], []
-        for word, count in zip(batch["w"].to_pylist(), batch["n"].to_pylist()):
-            own = delete_variants(word)
-            v.extend(own), w.extend([word] * len(own)), n.extend([count] * len(own))
-        yield pa.record_batch({"v": pa.array(v, pa.string()), "w": pa.array(w, pa.string()), "n": pa.array(n, pa.int64())})
+
+        def rows() -> pa.RecordBatch:
+            out = pa.record_batch({"v": pa.array(v, pa.string()), "w": pa.array(w, pa.string()), "n": pa.array(n, pa.int64())})
+            v.clear(), w.clear(), n.clear()
+            return out
+
+        for batch in batches:
+            for word, count in zip(batch["w"].to_pylist(), batch["n"].to_pylist()):
+                own = [*delete_variants(word), *("=" + x for x in ([word] if bound is None else printed_forms(word, bound)))]
+                v.extend(own), w.extend([word] * len(own)), n.extend([count] * len(own))
+                if len(v) > 200_000:
+                    yield rows()
+        yield rows()
+
+    return run
 
 
 def _score(bound: float):
@@ -174,7 +211,7 @@ def _score(bound: float):
 
 def fragments(counts: DataFrame, min_count: int = 5, dominance: float = 10.0) -> tuple[DataFrame, DataFrame]:
     """Neighbouring words that together are a word of the lexicon, which occurs ``dominance`` times as often,
-    with the share of each one's occurrences that stand in such pairs; and every word's greatest share."""
+    with both counts and the share of each one's occurrences that stand in such pairs; and every word's greatest share."""
     uni = counts.where("b IS NULL").select("a", "n")
     bi = counts.where("b IS NOT NULL AND a <> '#' AND b <> '#'")
     whole = uni.where(F.col("n") >= min_count).select(F.col("a").alias("ab"), F.col("n").alias("nab"))
@@ -182,7 +219,7 @@ def fragments(counts: DataFrame, min_count: int = 5, dominance: float = 10.0) ->
     first = pair.groupBy("a").agg(F.sum("n").alias("m")).join(uni, "a").select("a", (F.col("m") / F.col("n")).alias("fa"))
     second = pair.groupBy("b").agg(F.sum("n").alias("m")).join(uni.withColumnRenamed("a", "b"), "b").select("b", (F.col("m") / F.col("n")).alias("fb"))
     share = first.select(F.col("a").alias("w"), F.col("fa").alias("f")).union(second.select("b", "fb")).groupBy("w").agg(F.max("f").alias("f"))
-    return pair.join(first, "a").join(second, "b").select("a", "b", "fa", "fb"), share
+    return pair.join(first, "a").join(second, "b").select("a", "b", "ab", "n", "nab", "fa", "fb"), share
 
 
 def repairs(counts: DataFrame, parts: DataFrame, min_count: int = 5, bound: float = 0.9) -> DataFrame:
@@ -190,15 +227,15 @@ def repairs(counts: DataFrame, parts: DataFrame, min_count: int = 5, bound: floa
 
     ``w`` occurs at least ``min_count`` times, differs from ``t`` by look-alikes only, and neither is mostly a
     fragment of other words. A word with digits or ligatures among its letters needs no more than a rarer
-    spelling; any other must be 10 times rarer and fit half of its contexts (known neighbour pairs of ``w``),
+    spelling, or half of its contexts where it may be a number (``l5``); any other must be 10 times rarer and fit half of its contexts (known neighbour pairs of ``w``),
     or 200 times rarer and fit three tenths; words of up to three letters must be 300 times rarer.
     """
     uni = counts.where("b IS NULL AND a <> '#' AND NOT contains(a, '-') AND length(a) BETWEEN 2 AND 40").select(F.col("a").alias("w"), "n")
     uni = materialise(uni.join(parts.where("f >= 0.5"), "w", "left_anti"))
-    index = uni.where((F.col("n") >= min_count) & F.col("w").rlike(r"^\p{L}{2,}$")).mapInArrow(_variants, "v string, w string, n long")
-    query = uni.mapInArrow(_variants, "v string, w string, n long").toDF("v", "t", "nt")
+    index = uni.where((F.col("n") >= min_count) & F.col("w").rlike(r"^\p{L}{2,}$")).mapInArrow(_variants(), "v string, w string, n long")
+    query = uni.mapInArrow(_variants(bound), "v string, w string, n long").toDF("v", "t", "nt")
     marked = F.col("t").rlike(r"[0-9\x{FB00}-\x{FB06}]")
-    near = query.join(index, "v").where((F.col("n") >= F.when(marked, 2.0).otherwise(10.0) * F.col("nt")) & (F.col("t") != F.col("w")) & (F.abs(F.length("t") - F.length("w")) <= 2)).select("t", "w", (F.col("n") / F.col("nt")).alias("ratio")).distinct()
+    near = query.join(index, "v").where((F.col("n") >= F.when(marked, 2.0).otherwise(10.0) * F.col("nt")) & (F.col("t") != F.col("w"))).select("t", "w", (F.col("n") / F.col("nt")).alias("ratio")).distinct()
     scored = near.mapInArrow(_score(bound), "t string, w string, ratio double, cost double")
     bi = counts.where("b IS NOT NULL")
     known = bi.select(F.col("a").alias("ka"), F.col("b").alias("kb")).withColumn("known", F.lit(1))
@@ -207,7 +244,8 @@ def repairs(counts: DataFrame, parts: DataFrame, min_count: int = 5, bound: floa
     seen = before.union(after).join(known, ["ka", "kb"], "left").groupBy("t", "w").agg((F.sum(F.col("n") * F.coalesce("known", F.lit(0))) / F.sum("n")).alias("share"))
     cand = scored.join(seen, ["t", "w"], "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
     rare, short = F.col("ratio") >= 200, F.length("t") <= 3
-    ok = cand.where(marked | F.when(short, (F.col("ratio") >= 300) & (F.col("share") >= 0.3)).otherwise((F.col("share") >= 0.5) | rare & (F.col("share") >= 0.3)))
+    number = F.col("t").rlike("^[0-9lio]+$") | (2 * F.length(F.regexp_replace("t", "[^0-9]", "")) > F.length("t"))
+    ok = cand.where(marked & (~number | (F.col("share") >= 0.5)) | F.when(short, (F.col("ratio") >= 300) & (F.col("share") >= 0.3)).otherwise((F.col("share") >= 0.5) | rare & (F.col("share") >= 0.3)))
     best = F.max_by("w", F.struct(F.round(F.col("share") - F.col("cost"), 6), "w"))
     return ok.groupBy("t").agg(best.alias("w"))
 
@@ -215,9 +253,14 @@ def repairs(counts: DataFrame, parts: DataFrame, min_count: int = 5, bound: floa
 def page_model(records: DataFrame, fields: list[str], min_count: int = 5) -> DataFrame:
     """``key, value``: everything that the repair of a text looks up. Keys: ``w:`` known word and its count,
     ``c:`` compound and its count, ``r:`` misread word, ``t:`` torn pair (which of the two, a or b, is mostly a fragment),
-    ``n:`` / ``m:`` word after / before which numbers are usual."""
+    ``x:`` pair of words that is 50 times rarer than the whole, and torn where ``k:`` holds the whole with the word
+    before and the one after, ``n:`` / ``m:`` word after / before which numbers are usual."""
     counts = materialise(corpus_counts(records, fields))
     pairs, parts = fragments(counts, min_count)
+    pairs = materialise(pairs)
+    loose = pairs.where("fa < 0.5 AND fb < 0.5 AND nab >= 50 * n")
+    wholes, twice = loose.select("ab").distinct(), counts.where("b IS NOT NULL AND n >= 2")
+    beside = [twice.join(wholes, F.col(side) == F.col("ab")).select("a", "b") for side in ("a", "b")]
     parts = materialise(parts)
     fixes = materialise(repairs(counts, parts, min_count))
     uni = counts.where("b IS NULL AND a <> '#'")
@@ -230,6 +273,8 @@ def page_model(records: DataFrame, fields: list[str], min_count: int = 5) -> Dat
         counts.where("b = '#' AND a <> '#'").join(uni.select("a", F.col("n").alias("all")), "a").where("n >= 0.02 * all").select(F.concat(F.lit("n:"), "a"), F.lit("")),
         counts.where("a = '#' AND b <> '#'").join(uni.select(F.col("a").alias("b"), F.col("n").alias("all")), "b").where("n >= 0.02 * all").select(F.concat(F.lit("m:"), "b"), F.lit("")),
         pairs.where("fa >= 0.5 OR fb >= 0.5").select(F.concat(F.lit("t:"), "a", F.lit(" "), "b"), F.concat(F.when(F.col("fa") >= 0.5, "a").otherwise(""), F.when(F.col("fb") >= 0.5, "b").otherwise(""))),
+        loose.select(F.concat(F.lit("x:"), "a", F.lit(" "), "b"), F.lit("")),
+        beside[0].union(beside[1]).distinct().select(F.concat(F.lit("k:"), "a", F.lit(" "), "b"), F.lit("")),
     ]
     out = rows[0]
     for r in rows[1:]:
@@ -299,6 +344,10 @@ class Repair:
         self.torn = frozenset(k[2:] for k in model if k.startswith("t:"))
         parts = (k[2:].split(" ") + [v] for k, v in model.items() if k.startswith("t:"))
         self.fragments = frozenset(x for a, b, which in parts for x, side in ((a, "a"), (b, "b")) if side in which)
+        self.loose: dict[str, set[str]] = {}
+        for a, b in (k[2:].split(" ") for k in model if k.startswith("x:")):
+            self.loose.setdefault(a, set()).add(b)
+        self.firsts = frozenset(self.loose)
 
     def count(self, kind: str, word: str) -> int:
         return int(self.model.get(f"{kind}:{word}", 0))
@@ -382,6 +431,17 @@ class Repair:
             return True
         return not (self.count("w", self.fixes.get(a, a)) and self.count("w", self.fixes.get(b, b)))
 
+    def is_torn(self, m: re.Match) -> bool:
+        """Whether two neighbouring words are one: mostly fragments, or the whole fits the words on both sides."""
+        a, b = m[1].lower(), m[2].lower()
+        if f"{a} {b}" in self.torn:
+            return True
+        if b not in self.loose.get(a, ()):
+            return False
+        before, after = _kinds(m.string[max(0, m.start() - 80) : m.start()])[-1:], _kinds(m.string[m.end(2) : m.end(2) + 80])[:1]
+        beside = [f"k:{x} {a}{b}" for x in before] + [f"k:{a}{b} {x}" for x in after]
+        return bool(beside) and all(x in self.model for x in beside)
+
     def mend(self, text: str) -> tuple[str, set[str]]:
         """Words cut at line ends, misread and torn."""
         kinds: set[str] = set()
@@ -405,10 +465,10 @@ class Repair:
         if (any(x in here for x in "lio|") or any(not (x.isalpha() or x.isdigit()) for x in here)) and _NUMERIC.search(text):
             kinds.add("misread")
             text = _NUMERIC.sub(lambda m: m[0].translate(_DIGITS), text)
-        if here & self.fragments:
+        if here & self.fragments or (firsts := here & self.firsts) and (low := text.lower()) and any(f"{a} {b}" in low for a in firsts for b in self.loose[a] & here):
 
             def glue(m: re.Match) -> str:
-                if f"{m[1]} {m[2]}".lower() in self.torn:
+                if self.is_torn(m):
                     kinds.add("misread")
                     return m[1]
                 return m[0]
@@ -422,6 +482,11 @@ class Repair:
         return paragraphs(mended, wrap_width(text)) if kinds | more else text, kinds | more
 
 
+def _kinds(text: str) -> list[str]:
+    """Words as they are counted: a number is ``#``."""
+    return ["#" if w.isdigit() else w for w in words(text)]
+
+
 def _cased(word: str, like: str) -> str:
     return word.upper() if like.isupper() and len(like) > 1 else word[:1].upper() + word[1:] if like[:1].isupper() else word
 
@@ -492,7 +557,10 @@ def lookups(text: str | None) -> set[str]:
     if not text:
         return set()
     w = words(text)
-    out = {f"{kind}:{x}" for x in w for kind in "wrnm"} | {f"t:{x} {y}" for x, y in zip(w, w[1:])}
+    out = {f"{kind}:{x}" for x in w for kind in "wrnm"} | {f"{kind}:{x} {y}" for x, y in zip(w, w[1:]) for kind in "tx"}
+    w = _kinds(text)
+    whole = [x + y for x, y in zip(w, w[1:])]
+    out |= {f"k:{x} {y}" for x, y in zip(w, whole[1:])} | {f"k:{x} {y}" for x, y in zip(whole, w[2:])}
     for m in _BROKEN.finditer(text):
         for x in (m[1] + m[3], m[1], m[3]):
             out |= {f"w:{x.lower()}", f"r:{x.lower()}"}

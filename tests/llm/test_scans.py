@@ -102,3 +102,23 @@ def test_wrapped_lines_go_on_before_capitals_and_digits():
 
 def test_amounts_stay_with_their_currency():
     assert scans.goes_on("the waste stream at USD", "5,590.3 million.", 0) and not scans.goes_on("USD", "2020", 0)
+
+
+def test_every_pair_under_the_bound_is_a_candidate():
+    for read, printed in [("lovv", "low"), ("rnilhon", "million"), ("rnethod0logy", "methodology"), ("staridpoirit", "standpoint")]:
+        assert not scans.delete_variants(read) & scans.delete_variants(printed)
+        assert printed in scans.printed_forms(read, 0.9) and scans.misread_cost(read, printed, 0.9) < 0.9
+    assert "million" not in scans.printed_forms("million", 0.9) and not scans.printed_forms("a2c4e6", 0.9)
+
+
+def test_twice_misread_and_torn_into_common_words(spark):
+    rows = [(f"c{i}", None, t, None, "x") for i, t in enumerate(clean_corpus())]
+    rows += [(f"b{i}", None, "The plan went on with care. The low cover is out of the plan. The low cover came out of the plan.", None, "x") for i in range(30)]
+    rows += [(f"o{i}", None, "The plan was kept without recourse.", None, "x") for i in range(200)]
+    bad = [("d1", "The lovv cover came out of the plan.", "The low cover came out of the plan."), ("d2", "The internal measurernerit was reduced by 120 rnilhon in the northern district.", "The internal measurement was reduced by 120 million in the northern district.")]
+    bad += [("d3", "The plan was kept with out recourse.", "The plan was kept without recourse."), ("d5", "The low cover came to l5.9 million in the northern district.", "The low cover came to 15.9 million in the northern district."), ("d4", "The plan went with out of the plan.", "The plan went with out of the plan.")]
+    df = spark.createDataFrame(rows + [(k, None, t, None, "y") for k, t, _ in bad], "chunk_id string, doc_name string, text string, start_phrase string, key string")
+    model = scans.page_model(df, ["text", "start_phrase"])
+    for how in ({}, {"broadcast_rows": 0}):
+        got = {r["key"]: r["text"] for r in scans.repair_pages(df.where("key = 'y'"), "chunk_id", "doc_name", ["text"], model, **how).collect()}
+        assert got == {k: fixed for k, _, fixed in bad}
