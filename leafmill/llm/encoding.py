@@ -22,11 +22,14 @@ from leafmill.session import materialise
 #: Encodings in which UTF-8 bytes are read by mistake.
 READ_AS = ["cp1252", "latin-1", "cp437", "cp850", "mac_roman", "cp1250", "cp1251", "iso8859-2", "iso8859-15", "cp1253", "cp1254", "cp1257", "cp866", "koi8-r"]
 #: Single-byte encodings of the texts themselves that are taken for one another.
-WRITTEN_AS = ["cp1252", "cp1250", "iso8859-2", "mac_roman", "cp437", "cp850"]
+WRITTEN_AS = ["cp1252", "cp1250", "iso8859-2", "mac_roman", "cp437", "cp850", "cp1251", "koi8-r", "cp866", "cp1253", "cp1254", "cp1257"]
 # -----------------------------------------------------------------------------
 
 TOKEN = re.compile(r"[A-Za-z\x80-\U0010ffff]+")
 LOST = "�"
+#: Control characters that no clean text holds, but U+0085, which is a line break in some.
+C1 = "".join(map(chr, [*range(0x80, 0x85), *range(0x86, 0xA0)]))
+HAS_C1 = re.compile(f"[{C1}]")
 
 
 def _table(encoding: str) -> tuple[list[str], dict[str, int]]:
@@ -58,7 +61,8 @@ def swapped(word: str, written: str, read: str) -> str | None:
 
 
 def garbled_forms(word: str) -> dict[str, tuple[str, bool]]:
-    """Garbled forms of a word -> (chain, whether its form alone proves it: UTF-8 sequences do)."""
+    """Garbled forms of a word -> (chain, whether its form alone proves it: UTF-8 sequences
+    and control characters do). cp1252 taken for latin-1 or iso8859-15 shows by control characters only."""
     out: dict[str, tuple[str, bool]] = {}
 
     def add(form: str | None, chain: str, sure: bool) -> None:
@@ -76,12 +80,15 @@ def garbled_forms(word: str) -> dict[str, tuple[str, bool]]:
                 add(misread(twice, f), f"utf-8>{e}>utf-8>{f}>utf-8>{f}", True)
     for a in WRITTEN_AS:
         for b in [*READ_AS, "utf-8"]:
-            if a == b or {a, b} == {"cp1252", "latin-1"} or {a, b} == {"cp1252", "iso8859-15"}:
+            if a == b:
                 continue
             if b == "utf-8":
                 add(re.sub(r"[^\x00-\x7f]", LOST, word), "bytes lost", True)
             else:
-                add(swapped(word, a, b), f"{a}>{b}", False)
+                form = swapped(word, a, b)
+                proved = bool(form and HAS_C1.search(form) and not HAS_C1.search(word))
+                if proved or {a, b} not in ({"cp1252", "latin-1"}, {"cp1252", "iso8859-15"}):
+                    add(form, f"{a}>{b}", proved)
     add("".join(c if c.isascii() else LOST * len(c.encode("utf-8", "replace")) for c in word), "bytes lost", True)
     return out
 
@@ -133,19 +140,21 @@ def garbled_words(docs: DataFrame, text: str = "text") -> DataFrame:
     """``token, word, chain, sure``: tokens of the corpus that are garbled forms, and their originals.
 
     A form proved by its UTF-8 sequences needs no more. A swap of single-byte encodings must be rarer than
-    its original and leave at least two ASCII letters as evidence; 20 times rarer, it is as good as proved (a single
+    its original and leave at least two ASCII letters as evidence, or be four or more letters of another script; 20 times rarer, it is as good as proved (a single
     Cyrillic letter in place of a sign: 100 times). An original that is itself garbled is
-    replaced by its own original. A token that no word explains is mended by the garbled characters in it.
+    replaced by its own original. A token that no word explains is mended by the garbled characters in it, and if
+    it holds control characters, by what their bytes are in cp1252.
     """
     tokens = materialise(docs.select(F.col(text).alias("text")).mapInArrow(_tokens, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")))
     forms = tokens.mapInArrow(_forms, "token string, word string, m long, chain string, sure boolean")
     letters = F.length(F.regexp_replace("token", r"[^A-Za-z]", ""))
+    foreign = F.col("token").rlike(r"^[^\x00-\x{BF}]{4,}$") & F.col("word").rlike(r"^[\p{L}]{4,}$")
     swap_alone = F.col("token").rlike(r"^\p{IsCyrillic}$")
-    good = F.col("sure") | (F.col("m") > F.col("n")) & (letters >= 2) | swap_alone & (F.col("m") > F.col("n")) | F.col("chain").endswith("blank lost")
+    good = F.col("sure") | (F.col("m") > F.col("n")) & ((letters >= 2) | foreign) | swap_alone & (F.col("m") > F.col("n")) | F.col("chain").endswith("blank lost")
     hit = forms.join(tokens, "token").where(good & (F.col("token") != F.col("word")))
     # a swap far rarer than its original needs no second one: with letters around, or a Cyrillic letter for a sign
     swap, alone = ~F.endswith("chain", F.lit("blank lost")), F.col("token").rlike(r"^\p{IsCyrillic}$")
-    clear = swap & ((letters >= 2) & (F.col("m") >= 20 * F.col("n")) | alone & (F.col("m") >= 100 * F.col("n")))
+    clear = swap & (((letters >= 2) | foreign) & (F.col("m") >= 20 * F.col("n")) | alone & (F.col("m") >= 100 * F.col("n")))
     hit = hit.withColumn("sure", F.col("sure") | clear)
     best = hit.groupBy("token").agg(F.max_by(F.struct("word", "chain", "sure"), F.struct("sure", "m", "word")).alias("b")).select("token", "b.*")
     whole = materialise(best)
@@ -157,7 +166,9 @@ def garbled_words(docs: DataFrame, text: str = "text") -> DataFrame:
     longest = F.array_sort("p", lambda x, y: F.when(x["k"] != y["k"], y["k"] - x["k"]).when(x["piece"] < y["piece"], -1).when(x["piece"] > y["piece"], 1).otherwise(0))
     mended = F.aggregate(longest, F.col("token"), lambda t, x: F.replace(t, x["piece"], x["word"]))
     pieces = found.select("token", mended.alias("word"), F.concat(F.lit("characters, "), "chain").alias("chain"), F.lit(True).alias("sure"))
-    out = materialise(whole.union(pieces))
+    left = rest.where(F.col("token").rlike(f"[{C1}]")).join(found.select("token"), "token", "left_anti")
+    controls = left.select("token", F.translate("token", C1, "".join(TABLE["cp1252"][0][ord(c)] for c in C1)).alias("word"), F.lit("cp1252>latin-1").alias("chain"), F.lit(True).alias("sure"))
+    out = materialise(whole.union(pieces).union(controls))
     again = out.select(F.col("token").alias("word"), F.col("word").alias("word2"))
     for _ in range(2):  # an original may be a garbled form of another word
         out = out.join(again, "word", "left").select("token", F.coalesce("word2", "word").alias("word"), "chain", "sure")

@@ -36,3 +36,11 @@ def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert encoding.garbled_documents(df).count() == 0
     assert encoding.restore(df).count() == 0
+
+
+def test_control_characters_and_cyrillic(spark):
+    docs = [(i, "The group’s value and цель группы компании") for i in range(30)]
+    docs += [(100, "The group\x92s value"), (101, "a \x93quoted\x94 word"), (102, encoding.swapped("цель группы компании", "cp1251", "cp1252")), (103, "plain\x85text")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    fixed = {r["doc"]: r["restored"] for r in encoding.restore(df).collect()}
+    assert fixed == {100: "The group’s value", 101: "a “quoted” word", 102: "цель группы компании"}
