@@ -144,16 +144,16 @@ def sibling_issues(nodes: DataFrame) -> DataFrame:
     return _issues(nodes, ["doc_id", "parent_id"])
 
 
-def point_duplicates(chunks: DataFrame, doc: str = "doc_name", order: tuple[str, ...] = ("start_index", "chunk_id"), prefix: int = 1000) -> DataFrame:
+def point_duplicates(chunks: DataFrame, doc: str = "doc_name", order: tuple[str, ...] = ("start_index", "chunk_id"), prefix: int | None = None) -> DataFrame:
     """Adds ``canonical_id, is_copy``: within a document, chunks of one key point at the first of them.
 
-    The key is structure, title and start phrase; without a phrase structure and title; without these the first
-    ``prefix`` characters of the text. A chunk without any of them is its own.
+    The key is structure, title and start phrase; without a phrase structure and title; without these the
+    text, or its first ``prefix`` characters if given. A chunk without any of them is its own.
     """
     key = lambda c: F.nullif(match_key(F.col(c)), F.lit(""))
     s, t, p = key("structure"), key("title"), key("start_phrase")
-    text = F.nullif(match_key(F.left("text", F.lit(prefix))), F.lit(""))
-    k = F.when(s.isNotNull() & t.isNotNull() & p.isNotNull(), F.concat_ws("|", F.lit("stp"), s, t, p)).when(s.isNotNull() & t.isNotNull(), F.concat_ws("|", F.lit("st"), s, t)).when(text.isNotNull(), F.concat_ws("|", F.lit("x"), text))
+    text = F.nullif(match_key(F.col("text") if prefix is None else F.left("text", F.lit(prefix))), F.lit(""))
+    k = F.when(s.isNotNull() & t.isNotNull() & p.isNotNull(), F.concat_ws("|", F.lit("stp"), s, t, p)).when(s.isNotNull() & t.isNotNull(), F.concat_ws("|", F.lit("st"), s, t)).when(text.isNotNull(), F.concat_ws("|", F.lit("x"), F.sha2(text, 256)))
     keyed = chunks.withColumn("_k", F.coalesce(k, F.concat(F.lit("id|"), "chunk_id")))
     w = Window.partitionBy(doc, "_k").orderBy(*order)
     first = F.first("chunk_id").over(w)

@@ -102,3 +102,10 @@ def test_statistics(nodes):
     got = {r["doc_id"]: r for r in trees.tree_statistics(nodes, (1,)).collect()}
     assert (got["x"]["nodes"], got["x"]["leaves"], got["x"]["max_depth"], got["x"]["max_width"]) == (5, 3, 3, 2)
     assert abs(got["x"]["retained_1"] - (1 + 0.5 + 0.5) / 3) < 1e-9
+
+
+def test_texts_that_differ_late_are_no_copies(spark):
+    rows = [("d", "c1", None, None, None, "same " * 250 + "one", 1), ("d", "c2", None, None, None, "same " * 250 + "two", 2), ("d", "c3", None, None, None, "Same " * 250 + "one.", 3)]
+    df = spark.createDataFrame(rows, "doc_name string, chunk_id string, structure string, title string, start_phrase string, text string, start_index int")
+    assert {r["chunk_id"]: r["canonical_id"] for r in trees.point_duplicates(df).collect()} == {"c1": "c1", "c2": "c2", "c3": "c1"}
+    assert {r["canonical_id"] for r in trees.point_duplicates(df, prefix=1000).collect()} == {"c1"}
