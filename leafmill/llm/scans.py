@@ -339,6 +339,7 @@ class Repair:
 
     def __init__(self, model: dict[str, str]) -> None:
         self.model = model
+        self.stages: list[str] = []  # a text as it stands before each of the last repair's steps
         self.fixes = {k[2:]: v for k, v in model.items() if k.startswith("r:")}
         self.wrong = frozenset(self.fixes)
         self.torn = frozenset(k[2:] for k in model if k.startswith("t:"))
@@ -445,6 +446,7 @@ class Repair:
     def mend(self, text: str) -> tuple[str, set[str]]:
         """Words cut at line ends, misread and torn."""
         kinds: set[str] = set()
+        self.stages = [text]
 
         def join(m: re.Match) -> str:
             if self.is_broken(m[1], m[2], m[3]):
@@ -454,9 +456,11 @@ class Repair:
 
         if _BREAK.search(text):
             text = _BROKEN.sub(join, text)
+            self.stages.append(text)
         if not text.isascii() and _LIGATURE.search(text):
             kinds.add("misread")
             text = _LIGATURE.sub(lambda m: {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}[m[0]], text)
+            self.stages.append(text)
         here = set(words(text))
         wrong = here & self.wrong
         if wrong:
@@ -465,6 +469,8 @@ class Repair:
         if (any(x in here for x in "lio|") or any(not (x.isalpha() or x.isdigit()) for x in here)) and _NUMERIC.search(text):
             kinds.add("misread")
             text = _NUMERIC.sub(lambda m: m[0].translate(_DIGITS), text)
+        if kinds:
+            self.stages.append(text)
         if here & self.fragments or (firsts := here & self.firsts) and (low := text.lower()) and any(f"{a} {b}" in low for a in firsts for b in self.loose[a] & here):
 
             def glue(m: re.Match) -> str:
@@ -568,6 +574,13 @@ def lookups(text: str | None) -> set[str]:
     return out
 
 
+def lookups_of(repair: Repair, text: str) -> set[str]:
+    """Every model key that the last repair asked for, by the answers that it had: those of its text at each
+    step, and the words that correct parts of cut words."""
+    out = set().union(*map(lookups, {text, *repair.stages}))
+    return out | {f"w:{repair.fixes[k[2:]]}" for k in out if k.startswith("r:") and k[2:] in repair.fixes}
+
+
 _OUT = "key string, field string, kinds array<string>, text string"
 
 
@@ -612,13 +625,18 @@ def repair_pages(records: DataFrame, key: str, doc_name: str, fields: list[str],
 
         return rows.mapInArrow(run, _OUT)
 
-    long = rows.select("key", "doc", F.explode(F.create_map(*[x for f in fields for x in (F.lit(f), F.col(f))])).alias("field", "text")).withColumn("md5", F.md5(F.coalesce("text", F.lit(""))))
+    long = rows.select("key", "doc", F.explode(F.create_map(*[x for f in fields for x in (F.lit(f), F.col(f))])).alias("field", "text"))
+    long = long.withColumn("md5", F.md5(F.to_json(F.struct(F.col("field") == body, "doc", "text"))))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for md5, text in zip(batch["md5"].to_pylist(), batch["text"].to_pylist()):
-                keys = sorted(lookups(text))
-                yield pa.record_batch({"md5": pa.array([md5] * len(keys), pa.string()), "key": pa.array(keys, pa.string())})
+            for md5, doc, field, text, part in zip(*(batch[c].to_pylist() for c in ("md5", "doc", "field", "text", "part"))):
+                if not text:
+                    continue
+                repair = Repair(dict(part or []))
+                one(repair, field, text, doc)
+                keys = lookups_of(repair, text)
+                yield pa.record_batch({"md5": pa.array([md5] * len(keys), pa.string()), "key": pa.array(sorted(keys), pa.string())})
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -630,8 +648,15 @@ def repair_pages(records: DataFrame, key: str, doc_name: str, fields: list[str],
                         column.append(x)
             yield _rows(*out)
 
-    asked = long.select("md5", "text").dropDuplicates(["md5"]).mapInArrow(ask, "md5 string, key string")
-    parts = asked.join(model, "key").groupBy("md5").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("part"))
+    # the answers lead to further keys: ask until there are none
+    texts = long.dropDuplicates(["md5"])
+    asked = materialise(texts.withColumn("part", F.lit(None).cast("map<string,string>")).mapInArrow(ask, "md5 string, key string"))
+    while True:
+        parts = materialise(asked.join(model, "key").groupBy("md5").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("part")))
+        more = materialise(texts.join(parts, "md5", "left").select("md5", "doc", "field", "text", "part").mapInArrow(ask, "md5 string, key string").join(asked, ["md5", "key"], "left_anti"))
+        if more.isEmpty():
+            break
+        asked = asked.union(more)
     return long.join(parts, "md5", "left").select("key", "doc", "field", "text", "part").mapInArrow(answer, _OUT)
 
 

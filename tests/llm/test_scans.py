@@ -122,3 +122,12 @@ def test_twice_misread_and_torn_into_common_words(spark):
     for how in ({}, {"broadcast_rows": 0}):
         got = {r["key"]: r["text"] for r in scans.repair_pages(df.where("key = 'y'"), "chunk_id", "doc_name", ["text"], model, **how).collect()}
         assert got == {k: fixed for k, _, fixed in bad}
+
+
+def test_joined_model_follows_its_answers(spark):
+    model = {"w:measurement": "50", "c:mea-surernent": "2", "r:measurernent": "measurement", "r:fiscai": "fiscal", "w:fiscal": "50", "t:sett lement": "ab"}
+    rows = [("a", "The mea-\nsurernent rose."), ("b", "The ﬁscai reserve rose."), ("c", "The long reserve of the plan and the sett\n\n- 17 -\n\nlement rose.")]
+    df = spark.createDataFrame([(k, None, t) for k, t in rows], "chunk_id string, doc_name string, text string")
+    known = spark.createDataFrame(list(model.items()), "key string, value string")
+    a, b = ({r["key"]: (r["kinds"], r["text"]) for r in scans.repair_pages(df, "chunk_id", "doc_name", ["text"], known, **how).collect()} for how in ({}, {"broadcast_rows": 0}))
+    assert a == b and [a[k][1] for k in "abc"] == ["The measurement rose.", "The fiscal reserve rose.", "The long reserve of the plan and the settlement rose."]
