@@ -1,8 +1,11 @@
 """Splitting oversized items at natural boundaries, by bounded-quantifier regular expressions.
 
-One pattern reads a piece: alternatives in order of boundary strength (blank line, line, sentence, word) each
-take up to the limit of words and end at their boundary; a run of characters is the last resort. The pieces
-of a text are all its matches; the overlap is what a look-back at the end of the piece before gives.
+A text is read as words with the blanks behind them, and written down as one letter for each word that says
+how strong the boundary behind it is. One pattern reads a piece from these letters: alternatives in order of
+boundary strength (blank line, line, sentence, word) each take up to the limit of letters and end at their
+boundary; a run of characters is the last resort. Its quantifiers count single letters, which the JVM's engine
+does in a loop: no limit and no length of text deepens its stack. The pieces of a text are all matches; the
+overlap is what a look-back at the end of the piece before gives.
 """
 
 from __future__ import annotations
@@ -19,23 +22,25 @@ BLANK_LINE = r"\r?\n[ \t]*(?:\r?\n[ \t]*)+"
 LINE = r"\r?\n"
 
 
-def piece_pattern(limit: int, least: int, max_word: int) -> str:
-    """Pattern of one piece of at most ``limit`` words: to the last blank line within the limit, else to the
-    last line end, the last sentence end (both leaving pieces of ``least`` words or more), the last word;
-    words longer than ``max_word`` characters are cut."""
-    word = rf"{_W}{{1,{max_word}}}+"
-    more = rf"(?:{_B}++{word}){{%d,{limit - 1}}}"
-    end = rf"(?={_B}*\z)"
-    few, any_ = more % max(0, least - 1), more % 0
-    return "|".join(
-        [
-            rf"{word}{any_}(?:(?=[ \t]*{BLANK_LINE})|{end})",
-            rf"{word}{few}(?=[ \t]*{LINE})",
-            rf"{word}{few}(?<=[.!?:;])(?={_B})",
-            rf"{word}{any_}",
-            rf"{_W}{{1,{max_word}}}",
-        ]
-    )
+def piece_pattern(limit: int, least: int) -> str:
+    """Pattern of one piece of at most ``limit`` words over the letters of ``shape``: to the last blank line (or
+    the end) within the limit, else to the last line end, the last sentence end (both leaving pieces of ``least``
+    words or more), the last word; a cut word ends its piece."""
+    few, any_ = f"[plsw]{{{min(limit, max(1, least)) - 1},{limit - 1}}}", f"[plsw]{{0,{limit - 1}}}"
+    return f"{any_}[pe]|{few}l|{few}s|{any_}[plswx]"
+
+
+def spaced_words(text: Column, max_word: int) -> Column:
+    """Words, each with the blanks behind it; words longer than ``max_word`` characters in several parts."""
+    return F.regexp_extract_all(text, F.lit(rf"{_W}{{1,{max_word}}}+{_B}*+"), F.lit(0))
+
+
+def shape(tokens: Column) -> Column:
+    """One letter for each word: ``p`` before a blank line, ``l`` before a line break, ``s`` at a sentence's end,
+    ``x`` where a long word was cut, ``w`` before a plain blank; ``e`` for the last word."""
+    letter = lambda t: F.when(t.rlike(BLANK_LINE), "p").when(t.rlike(LINE), "l").when(t.rlike(rf"[.!?:;]{_B}+\z"), "s").when(t.rlike(rf"{_B}\z"), "w").otherwise("x")
+    each = F.transform(tokens, lambda t, i: F.when(i == F.size(tokens) - 1, "e").otherwise(letter(t)))
+    return F.array_join(each, "")
 
 
 def most_words(text: Column, boundary: str) -> Column:
@@ -52,9 +57,13 @@ def boundary_class(text: Column, limit: int) -> Column:
     return F.when(over, kind)
 
 
-def pieces(text: Column, limit: int, least: int, max_word: int) -> Column:
-    """The pieces of a text in order, without the blanks between them."""
-    return F.regexp_extract_all(text, F.lit(piece_pattern(limit, least, max_word)), F.lit(0))
+def pieces(tokens: Column, shapes: Column, limit: int, least: int) -> Column:
+    """The pieces of a text in order, without the blanks between them; ``shapes``: its letters (see ``shape``)."""
+    sizes = F.transform(F.regexp_extract_all(shapes, F.lit(piece_pattern(limit, least)), F.lit(0)), F.length)
+    none = F.expr("CAST(array() AS array<struct<start:int,n:int>>)")
+    end = lambda acc: F.when(F.size(acc) > 0, F.element_at(acc, -1)["start"] + F.element_at(acc, -1)["n"]).otherwise(1)
+    cuts = F.aggregate(sizes, none, lambda acc, n: F.concat(acc, F.array(F.struct(end(acc).cast("int").alias("start"), n.cast("int").alias("n")))))
+    return F.transform(cuts, lambda c: F.regexp_replace(F.array_join(F.slice(tokens, c["start"], c["n"]), ""), rf"{_B}+\z", ""))
 
 
 def split_oversized(records: DataFrame, key: str = "chunk_id", text: str = "text", limit: int = 800, overlap: int = 80, least: int | None = None, max_word: int = 10_000, only_oversized: bool = True) -> DataFrame:
@@ -72,7 +81,8 @@ def split_oversized(records: DataFrame, key: str = "chunk_id", text: str = "text
     own = limit - overlap
     least = own // 2 if least is None else least
     rows = records.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("t"), boundary_class(F.col(text), limit).alias("boundary"))
-    big = rows.where("boundary IS NOT NULL").distinct().withColumn("p", pieces(F.col("t"), own, least, max_word))
+    big = rows.where("boundary IS NOT NULL").distinct().withColumn("tokens", spaced_words(F.col("t"), max_word)).withColumn("shape", shape(F.col("tokens")))
+    big = big.withColumn("p", pieces(F.col("tokens"), F.col("shape"), own, least)).drop("tokens", "shape")
     if not only_oversized:
         small = rows.where(F.col("boundary").isNull() & (token_count(F.col("t")) > 0)).distinct().withColumn("p", F.array("t"))
         big = big.unionByName(small)

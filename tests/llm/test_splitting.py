@@ -57,3 +57,18 @@ def test_very_long_texts_and_words(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "chunk_id string, text string")
     assert splitting.split_oversized(df).count() == 0
+
+
+def test_limits_do_not_deepen_the_stack(spark):
+    t = " ".join(f"v{i}" for i in range(60_000))
+    df = spark.createDataFrame([("long", t)], "chunk_id string, text string")
+    for limit in (800, 8_000, 30_000):
+        out = splitting.split_oversized(df, limit=limit, overlap=0).orderBy("piece").collect()
+        assert [r["word_count"] for r in out] == [limit] * (60_000 // limit) + [60_000 % limit] * (60_000 % limit > 0)
+
+
+def test_longest_pieces_are_cut_at_the_strongest_boundary(spark):
+    t = "a b c. d e\nf g h. i j k l m n o p"
+    df = spark.createDataFrame([("t", t)], "chunk_id string, text string")
+    got = [r["text"] for r in splitting.split_oversized(df, limit=6, overlap=0, least=2).orderBy("piece").collect()]
+    assert got == ["a b c. d e", "f g h.", "i j k l m n", "o p"]
