@@ -94,7 +94,21 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return out.where("piece = 0").select(F.col("id").alias("chunk_id"), "boundary")
 
 
-@query("p4_pieces")
+@query(
+    "p4_pieces",
+    r"""
+WITH w AS (SELECT DISTINCT chunk_id, text, regexp_extract_all(text, '[^ \t\r\n]+[ \t\r\n]*') AS k FROM chunks WHERE len(regexp_extract_all(text, '[^ \t\r\n]+')) > 800),
+b AS (SELECT *, CASE WHEN list_max(list_transform(regexp_split_to_array(text, '\r?\n[ \t]*(?:\r?\n[ \t]*)+'), lambda x: len(regexp_extract_all(x, '[^ \t\r\n]+')))) <= 800 THEN 'paragraph'
+  WHEN list_max(list_transform(regexp_split_to_array(text, '\r?\n'), lambda x: len(regexp_extract_all(x, '[^ \t\r\n]+')))) <= 800 THEN 'line' ELSE 'word' END AS boundary FROM w),
+s AS (SELECT *, array_to_string(list_transform(k, lambda t, i: CASE WHEN i = len(k) THEN 'e' WHEN regexp_matches(t, '\n[ \t]*\r?\n') THEN 'p' WHEN regexp_matches(t, '\n') THEN 'l' WHEN regexp_matches(t, '[.!?:;][ \t\r\n]+$') THEN 's' ELSE 'w' END), '') AS letters FROM b),
+c AS (SELECT *, list_transform(regexp_extract_all(letters, '[plsw]{0,719}[pe]|[plsw]{359,719}l|[plsw]{359,719}s|[plsw]{0,719}[plsw]'), lambda x: len(x)) AS n FROM s),
+p AS (SELECT chunk_id, boundary, k, n, len(n) AS pieces, unnest(range(1, len(n) + 1)) AS i FROM c),
+o AS (SELECT *, list_sum(n[1:i - 1]) AS before FROM p),
+t AS (SELECT *, rtrim(array_to_string(k[coalesce(before, 0) + 1:coalesce(before, 0) + n[i]], ''), ' ' || chr(9) || chr(10) || chr(13)) AS body,
+  CASE WHEN i > 1 THEN array_to_string(list_transform(k[greatest(before - n[i - 1], before - 80) + 1:before], lambda x: rtrim(x, ' ' || chr(9) || chr(10) || chr(13))), ' ') END AS lead FROM o)
+SELECT chunk_id, boundary, CAST(i - 1 AS INT) AS piece, CAST(pieces AS INT) AS pieces, CAST(n[i] + CASE WHEN i > 1 THEN least(80, n[i - 1]) ELSE 0 END AS INT) AS word_count,
+  CAST(CASE WHEN i > 1 THEN least(80, n[i - 1]) ELSE 0 END AS INT) AS overlap_words, concat_ws(' ', lead, body) AS text FROM t""",
+)
 def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(table(spark, d, "chunks")).withColumnRenamed("id", "chunk_id")
 
