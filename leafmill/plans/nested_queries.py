@@ -19,7 +19,8 @@ def _rows(spark: SparkSession, d: str) -> DataFrame:
 
 @query("p5_found")
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return nested.node_table(_rows(spark, d)).select(F.col("record").alias("tree_id"), "node_ord", "parent_ord")
+    rows = nested.shred(table(spark, d, "trees"), "tree_id", "structure", with_fields=False)
+    return nested.node_table(rows).select(F.col("record").alias("tree_id"), "node_ord", "parent_ord")
 
 
 @query("p5_nodes")

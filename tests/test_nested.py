@@ -29,12 +29,12 @@ def test_nodes_and_parents(spark):
 def test_tables_and_inlining(spark):
     rows = nested.shred(frame(spark), "tree_id", "structure").collect()
     tables = {(r["record"], r["table"], r["parent_table"], r["parent_ord"]) for r in rows}
-    assert (2, "notes", "node", 1) in tables and (2, "passes", "record", 0) in tables
+    assert (2, "/notes", "node", 1) in tables and (2, "/passes", "record", 0) in tables
     top = next(r for r in rows if r["record"] == 2 and r["table"] == "record")
     assert top["fields"] == {"doc_name": "x", "meta.builder.name": "m"}
-    assert [(r["pos"], r["fields"]["value"]) for r in rows if r["table"] == "tags"] == [(0, "p"), (2, "q")]
+    assert [(r["pos"], r["fields"]["value"]) for r in rows if r["table"] == "/tags"] == [(0, "p"), (2, "q")]
     fields = nested.field_table(nested.shred(frame(spark), "tree_id", "structure"))
-    assert fields.where("record = 2 AND name = 'title' AND table = 'notes'").first()["value"] == "n"
+    assert fields.where("record = 2 AND name = 'title' AND table = '/notes'").first()["value"] == "n"
 
 
 def test_inlining_rules():
@@ -47,3 +47,22 @@ def test_deep_and_empty(spark):
     df = spark.createDataFrame([(1, deep)], "tree_id long, structure string")
     assert nested.node_table(nested.shred(df, "tree_id", "structure")).count() == 400
     assert nested.shred(df.limit(0), "tree_id", "structure").count() == 0
+
+
+def test_keys_named_as_reserved_tables_are_no_nodes(spark):
+    texts = [(1, json.dumps({"nodes": [{"title": "a", "node": {"x": 1}}]})), (2, json.dumps({"structure": [{"record": {"nodes": [{"y": 1}], "structure": [{"z": 2}]}}]}))]
+    df = spark.createDataFrame(texts, "tree_id long, structure string")
+    got = {(r["record"], r["node_ord"], r["parent_ord"]) for r in nested.node_table(nested.shred(df, "tree_id", "structure")).collect()}
+    assert got == {(1, 0, -1), (2, 0, -1)}
+
+
+def test_typed_tables(spark):
+    texts = [(1, json.dumps({"v": 1, "meta": {"ok": True}, "nodes": [{"n": 1, "tags": [1, [2, 3]], "notes": [{"w": 1.5}, {"w": 2}]}]})), (2, json.dumps([{"n": "x"}]))]
+    df = spark.createDataFrame(texts, "tree_id long, structure string")
+    tables = nested.flat_tables(df, "tree_id", "structure")
+    assert set(tables) == {"record", "node", "/tags", "/notes"}
+    types = {t: {c: k for c, k in f.dtypes if c.startswith("f.")} for t, f in tables.items()}
+    assert types == {"record": {"f.v": "bigint", "f.meta.ok": "boolean"}, "node": {"f.n": "string"}, "/tags": {"f.value": "bigint"}, "/notes": {"f.w": "double"}}
+    assert [r["f.w"] for r in tables["/notes"].orderBy("ord").collect()] == [1.5, 2.0]
+    assert sorted(r["f.value"] for r in tables["/tags"].where("`f.value` IS NOT NULL").collect()) == [1, 2, 3]
+    assert set(nested.flat_tables(df.limit(0), "tree_id", "structure")) == {"record"}
