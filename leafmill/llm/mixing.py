@@ -1,8 +1,9 @@
 """Mixing sources to target weights, by Sainte-Laguë apportionment.
 
 Blocks of equal size go to sources one by one, each to the source with the highest quotient
-``target / (2 * blocks + 1)`` that its repeats still allow; the blocks of a source are apportioned to its
-shards in the same way, and in each shard a seeded order of records fills them.
+``target / (2 * blocks + 1)`` that its repeats still allow (the last block of an exhausted source may be a part of
+one); the blocks of a source are apportioned in the same way to groups of its shards, then to the shards of each
+group. In each shard the quota takes whole passes over the records, and a seeded order of them fills the rest.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from pyspark.sql.window import Window
 from leafmill.functions.words import token_count
 from leafmill.session import materialise
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+#: Greatest number of tokens in a block; few records together are apportioned in smaller ones.
+BLOCK = 1000
 
 
 def sainte_lague(weights: list[float], seats: int, caps: list[int] | None = None) -> list[int]:
@@ -68,12 +70,14 @@ def source_name(c: Column) -> Column:
 
 
 def sized(docs: DataFrame, doc: str, source: str, text: str, tokenizer: str | None) -> DataFrame:
-    """``id, source, size``: records with a source; size in tokens of the tokenizer file, or in words (runs of
-    characters between spaces, tabs and line breaks) where none is named."""
+    """``id, source, size``: records with a source; size in tokens of the tokenizer file (read by the driver and sent
+    with the job), or in words (runs of characters between spaces, tabs and line breaks) where none is named."""
     rows = docs.select(F.col(doc).alias("id"), source_name(F.col(source)).alias("source"), F.col(text).alias("text")).where("source IS NOT NULL")
     if tokenizer is None:
         return rows.select("id", "source", token_count(F.col("text")).cast("long").alias("size"))
     kind = rows.schema["id"].dataType
+    with open(tokenizer, encoding="utf-8") as f:
+        vocabulary = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -81,7 +85,7 @@ def sized(docs: DataFrame, doc: str, source: str, text: str, tokenizer: str | No
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(tokenizer)
+        t = Tokenizer.from_str(vocabulary.value)
         t.encode_special_tokens = True
         for batch in batches:
             texts = [x or "" for x in batch["text"].to_pylist()]
@@ -92,19 +96,32 @@ def sized(docs: DataFrame, doc: str, source: str, text: str, tokenizer: str | No
     return rows.mapInArrow(count, schema)
 
 
-def apportion(sizes: list[tuple[str, int]], targets: list[tuple[str, float, int]], block: int, total: int | None = None) -> list[dict]:
+def block_size(total: int, targets: list[tuple[str, float, int]]) -> int:
+    """Tokens of a block: ``BLOCK``, or less where the smallest target would otherwise be under a hundred blocks."""
+    least = min((w for _, w, _ in targets if w > 0), default=0.0)
+    return max(1, min(BLOCK, int(least * total / 100)))
+
+
+def apportion(sizes: list[tuple[str, int]], targets: list[tuple[str, float, int]], block: int | None = None, total: int | None = None) -> list[dict]:
     """The plan: for each target its size, capacity (size times repeats), wanted size, whether it can be
-    reached, and its blocks."""
+    reached, its blocks and its quota, which is all its blocks or all its capacity.
+
+    Sources that get no fewer seats with their caps than without, a margin of one seat for each source aside, are
+    within reach; of the others the exact sizes decide.
+    """
     held = dict(sizes)
     whole = sum(held.values()) if total is None else total
+    block = block_size(whole, targets) if block is None else block
     plan = [{"source": s, "target_share": w, "max_repeats": r, "size": held.get(s, 0), "capacity": held.get(s, 0) * r, "wanted": w * whole} for s, w, r in targets]
-    blocks = sainte_lague([x["target_share"] for x in plan], whole // block, [x["capacity"] // block for x in plan])
-    for x, n in zip(plan, blocks):
-        x["reachable"], x["blocks"] = x["capacity"] >= x["wanted"], n
+    weights, seats, caps = [x["target_share"] for x in plan], -(-whole // block), [-(-x["capacity"] // block) for x in plan]
+    free, blocks = sainte_lague(weights, seats), sainte_lague(weights, seats, caps)
+    for x, n, f, cap in zip(plan, blocks, free, caps):
+        short = cap <= f + len(plan)
+        x["reachable"], x["blocks"], x["quota"] = not short or x["capacity"] >= x["wanted"], n, min(n * block, x["capacity"])
     return plan
 
 
-PLAN = "source string, target_share double, max_repeats int, size long, capacity long, wanted double, reachable boolean, blocks long"
+PLAN = "source string, target_share double, max_repeats int, size long, capacity long, wanted double, reachable boolean, blocks long, quota long"
 
 
 def _targets(targets: DataFrame, most: int) -> list[tuple[str, float, int]]:
@@ -115,63 +132,94 @@ def _targets(targets: DataFrame, most: int) -> list[tuple[str, float, int]]:
     return [(r["source"], r["w"], r["r"]) for r in rows]
 
 
-def mixture_plan(docs: DataFrame, targets: DataFrame, doc: str = "doc_id", source: str = "source", text: str = "text", tokenizer: str | None = None, block: int = 1000, total: int | None = None, most_sources: int = 100_000) -> DataFrame:
+def _planned(rows: DataFrame, wanted: list[tuple[str, float, int]], block: int | None, total: int | None) -> list[dict]:
+    """The plan for records (``source, size``), by one pass over them: of sources without a target only the sum is kept."""
+    names = rows.sparkSession.createDataFrame([(s, s) for s, _, _ in wanted], "source string, target string")
+    per = rows.groupBy("source").agg(F.sum("size").alias("size")).join(F.broadcast(names), "source", "left").groupBy("target").agg(F.sum("size").alias("size")).collect()
+    whole = total if total is not None else sum(r["size"] for r in per)
+    return apportion([(r["target"], r["size"]) for r in per if r["target"] is not None], wanted, block, whole)
+
+
+def _plan_table(spark, plan: list[dict]) -> DataFrame:
+    keys = [f.split(" ")[0] for f in PLAN.split(", ")]
+    return spark.createDataFrame([tuple(x[k] for k in keys) for x in plan], PLAN)
+
+
+def mixture_plan(docs: DataFrame, targets: DataFrame, doc: str = "doc_id", source: str = "source", text: str = "text", tokenizer: str | None = None, block: int | None = None, total: int | None = None, most_sources: int = 100_000) -> DataFrame:
     """One row for each source with a target: ``source, target_share, max_repeats, size, capacity, wanted,
-    reachable, blocks``.
+    reachable, blocks, quota``.
 
     ``wanted`` is the target's share of ``total`` (by default the size of all records with a source, those
     without a target included); ``reachable`` says whether all repeats of the source hold it. Records without a
     source don't count; a source without records has size 0. Only the targets' own rows come to the driver.
     """
-    spark = docs.sparkSession
     wanted = _targets(targets, most_sources)
-    per = sized(docs, doc, source, text, tokenizer).groupBy("source").agg(F.sum("size").alias("size"))
-    whole = total if total is not None else (per.agg(F.sum("size")).first()[0] or 0)
-    names = spark.createDataFrame([(s,) for s, _, _ in wanted], "source string")
-    sizes = [(r["source"], r["size"]) for r in per.join(names, "source").collect()]
-    plan = apportion(sizes, wanted, block, whole)
-    keys = [f.split(" ")[0] for f in PLAN.split(", ")]
-    return spark.createDataFrame([tuple(x[k] for k in keys) for x in plan], PLAN)
+    return _plan_table(docs.sparkSession, _planned(sized(docs, doc, source, text, tokenizer), wanted, block, total))
+
+
+def _seats(weights: list[int], quota: int, most: list[int], block: int) -> list[int]:
+    """Tokens of a quota for each part, by blocks of the parts' sizes, none above ``most``; what a part's last block
+    leaves over goes round again in blocks of half the size."""
+    got, left = [0] * len(weights), min(quota, sum(most))
+    while left > 0:
+        room = [m - g for m, g in zip(most, got)]
+        more = sainte_lague(weights, -(-left // block), [-(-r // block) for r in room])
+        for i in sorted(range(len(got)), key=lambda i: (-more[i], i)):
+            step = min(more[i] * block, room[i], left)
+            got[i], left = got[i] + step, left - step
+        block = max(1, block // 2)
+    return got
+
+
+def shard_quotas(per: DataFrame, plan: DataFrame, block: int) -> DataFrame:
+    """``source, shard, size, quota`` from ``source, part, shard, size``: the quota of each source (``source,
+    max_repeats, quota``) goes to its parts, then the quota of each part to its shards. A task holds the parts of one
+    source, or the shards of one part, at once: about the square root of the shards."""
 
+    def split(key: str):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for source, repeats, quota, held in zip(*(batch[c].to_pylist() for c in ("source", "max_repeats", "quota", "held"))):
+                    held = sorted(held, key=lambda p: p["k"])
+                    got = _seats([p["size"] for p in held], quota, [p["size"] * repeats for p in held], block)
+                    cols = [source] * len(held), [repeats] * len(held), [p["k"] for p in held], [p["size"] for p in held], got
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["source", "max_repeats", key, "size", "quota"])
 
-def mix(docs: DataFrame, targets: DataFrame, doc: str = "doc_id", source: str = "source", text: str = "text", tokenizer: str | None = TOKENIZER, block: int = 1000, total: int | None = None, seed: int = 42, shard_size: int = 2_000_000, most_sources: int = 100_000) -> tuple[DataFrame, DataFrame]:
+        return run
+
+    of = lambda k: F.collect_list(F.struct(F.col(k).alias("k"), "size")).alias("held")
+    parts = per.groupBy("source", "part").agg(F.sum("size").alias("size")).groupBy("source").agg(of("part")).join(F.broadcast(plan), "source").select("source", "max_repeats", "quota", "held")
+    parts = parts.mapInArrow(split("part"), "source string, max_repeats int, part long, size long, quota long")
+    shards = per.groupBy("source", "part").agg(of("shard")).join(parts.drop("size"), ["source", "part"]).select("source", "max_repeats", "quota", "held")
+    return shards.mapInArrow(split("shard"), "source string, max_repeats int, shard long, size long, quota long").where("quota > 0")
+
+
+def mix(docs: DataFrame, targets: DataFrame, doc: str = "doc_id", source: str = "source", text: str = "text", tokenizer: str | None = None, block: int | None = None, total: int | None = None, seed: int = 42, shard_size: int = 20_000_000, most_sources: int = 100_000) -> tuple[DataFrame, DataFrame]:
     """The mixture, and its report.
 
     Mixture: ``id, source, copy, size``: one row for each use of a record; each is used ``max_repeats`` times at
-    most, a second time only after every record of its shard once. Report: the plan with ``used`` and ``share``,
-    the share of the mixture's size really reached.
+    most, a second time only after every record of its shard once. The record at a quota's end is taken if more
+    than half of it fits, so that shards miss their quotas on both sides alike. Report: the plan with ``used`` and
+    ``share``, the share of the mixture's size really reached. Records of size 0 aren't used.
     """
     spark = docs.sparkSession
     rows = materialise(sized(docs, doc, source, text, tokenizer))
     wanted = _targets(targets, most_sources)
-    names = spark.createDataFrame([(s, r) for s, _, r in wanted], "source string, max_repeats int")
-    whole = total if total is not None else (rows.agg(F.sum("size")).first()[0] or 0)
-    shards = max(1, -(-whole // shard_size))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(shards)))
-    per = rows.join(F.broadcast(names), "source").groupBy("source", "shard").agg(F.sum("size").alias("size"))
-    sizes = [(r["source"], r["size"]) for r in per.groupBy("source").agg(F.sum("size").alias("size")).collect()]
-    plan = apportion(sizes, wanted, block, whole)
-    blocks = spark.createDataFrame([(x["source"], x["blocks"], x["max_repeats"]) for x in plan], "source string, blocks long, max_repeats int")
-
-    def quotas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            src, shard, quota = [], [], []
-            for s, n, r, parts in zip(*(batch[c].to_pylist() for c in ("source", "blocks", "max_repeats", "parts"))):
-                parts = sorted(parts, key=lambda p: p["shard"])
-                # caps rounded up: the last block of a shard may be filled in part
-                got = sainte_lague([p["size"] for p in parts], n, [-(-p["size"] * r // block) for p in parts])
-                src.extend([s] * len(parts)), shard.extend(p["shard"] for p in parts), quota.extend(g * block for g in got)
-            yield pa.record_batch({"source": pa.array(src, pa.string()), "shard": pa.array(shard, pa.int64()), "quota": pa.array(quota, pa.int64())})
-
-    parts = per.groupBy("source").agg(F.collect_list(F.struct("shard", "size")).alias("parts")).join(F.broadcast(blocks), "source")
-    quota = parts.select("source", "blocks", "max_repeats", "parts").mapInArrow(quotas, "source string, shard long, quota long").where("quota > 0")
-    uses = rows.join(F.broadcast(names), "source").where("size > 0 AND max_repeats > 0").select("id", "source", "shard", "size", F.explode(F.sequence(F.lit(0), F.col("max_repeats") - 1)).alias("copy"))
-    order = Window.partitionBy("source", "shard").orderBy("copy", F.xxhash64("id", "copy", F.lit(seed)), "id").rowsBetween(Window.unboundedPreceding, -1)
-    chosen = uses.withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0))).join(quota, ["source", "shard"]).where("before < quota").select("id", "source", "copy", "size")
-    chosen = materialise(chosen)
+    plan = _planned(rows, wanted, block, total)
+    size = sum(x["size"] for x in plan)
+    whole = total if total is not None else size
+    block = block_size(whole, wanted) if block is None else block
+    table = _plan_table(spark, plan)
+    shards = max(1, -(-size // shard_size))
+    groups = max(1, math.isqrt(shards))
+    mine = rows.where("size > 0").join(F.broadcast(table.where("quota > 0").select("source")), "source", "left_semi").withColumn("shard", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(shards)))
+    per = mine.groupBy("source", "shard").agg(F.sum("size").alias("size")).withColumn("part", F.pmod("shard", F.lit(groups)))
+    quota = shard_quotas(per, table.select("source", "max_repeats", "quota"), block).select("source", "shard", F.expr("quota div size").alias("passes"), (F.col("quota") % F.col("size")).alias("rest"))
+    order = Window.partitionBy("source", "shard").orderBy(F.xxhash64("id", F.lit(seed)), "id").rowsBetween(Window.unboundedPreceding, -1)
+    placed = mine.withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0))).join(quota, ["source", "shard"])
+    uses = placed.withColumn("n", F.col("passes") + (2 * F.col("before") + F.col("size") < 2 * F.col("rest")).cast("int")).where("n > 0")
+    chosen = materialise(uses.select("id", "source", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("copy"), "size"))
     used = chosen.groupBy("source").agg(F.sum("size").alias("used"), F.count("*").alias("uses"))
-    keys = [f.split(" ")[0] for f in PLAN.split(", ")]
-    table = spark.createDataFrame([tuple(x[k] for k in keys) for x in plan], PLAN)
     every = chosen.agg(F.sum("size")).first()[0] or 0
-    report = table.join(used, "source", "left").select(*keys, F.coalesce("used", F.lit(0)).alias("used"), F.coalesce("uses", F.lit(0)).alias("uses"), (F.coalesce("used", F.lit(0)) / F.lit(max(1, every))).alias("share"))
+    report = table.join(used, "source", "left").select(*table.columns, F.coalesce("used", F.lit(0)).alias("used"), F.coalesce("uses", F.lit(0)).alias("uses"), (F.coalesce("used", F.lit(0)) / F.lit(max(1, every))).alias("share"))
     return chosen, report

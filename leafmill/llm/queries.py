@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,10 @@ from leafmill.llm import encoding, leaks, mixing, neardup, scans, spans, splitti
 from leafmill.plans.queries import Registry
 from leafmill.session import table
 
+#: Folder of the public tokenizers' vocabulary files.
+TOKENIZERS = os.environ.get("LEAFMILL_TOKENIZERS", "/opt/tokenizers")
+TOKENIZER = os.path.join(TOKENIZERS, "byte_bpe_50k.json")
+
 REGISTRY = Registry()
 query = REGISTRY.query
 
@@ -148,16 +154,30 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixture_plan(table(spark, d, "documents"), table(spark, d, "mix_targets")).where("NOT reachable").select("source")
 
 
+@query(
+    "p7_plan",
+    r"""
+WITH d AS (SELECT nullif(lower(regexp_replace(source, '^\s+|\s+$', '', 'g')), '') AS source, len(regexp_extract_all(coalesce(text, ''), '[^ \t\r\n]+')) AS n FROM documents),
+s AS (SELECT source, sum(n) AS n FROM d WHERE source IS NOT NULL GROUP BY source),
+t AS (SELECT lower(regexp_replace(source, '^\s+|\s+$', '', 'g')) AS source, target_share, max_repeats FROM mix_targets)
+SELECT t.source, CAST(coalesce(s.n, 0) AS BIGINT) AS size, CAST(coalesce(s.n, 0) * max_repeats AS BIGINT) AS capacity, target_share * (SELECT sum(n) FROM s) AS wanted,
+  coalesce(s.n, 0) * max_repeats >= target_share * (SELECT sum(n) FROM s) AS reachable FROM t LEFT JOIN s USING (source)""",
+)
+def p7_plan(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes, capacities and wanted sizes in words."""
+    return mixing.mixture_plan(table(spark, d, "documents"), table(spark, d, "mix_targets")).select("source", "size", "capacity", "wanted", "reachable")
+
+
 @query("p7_report")
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
     """Shares really reached, sizes in tokens of a public tokenizer."""
-    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), tokenizer=TOKENIZER)[1]
 
 
 @query("p7_mixture")
 def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
     """The mixture: one row for each use of a document."""
-    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0].withColumnRenamed("id", "doc_id")
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), tokenizer=TOKENIZER)[0].withColumnRenamed("id", "doc_id")
 
 
 # ---------------------------------------------------- 8: garbled text from wrong character encoding

@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from leafmill.llm import mixing
+from leafmill.llm.queries import TOKENIZER
 
 
 def one_by_one(weights, seats, caps):
@@ -53,14 +54,14 @@ def test_plan_and_mixture(spark):
     assert max(len(c) for (s, _), c in uses.items() if s == "web") == 3 and max(len(c) for (s, _), c in uses.items() if s == "news") == 1
     got = {r["source"]: r for r in report.collect()}
     assert got["web"]["used"] == 1500 and abs(sum(r["share"] for r in got.values()) - 1) < 1e-9
-    assert abs(got["news"]["used"] - got["news"]["blocks"] * 10) <= 100 * 16
+    assert abs(got["news"]["used"] - got["news"]["quota"]) <= 50 * 16
     again = {(r["id"], r["copy"]) for r in mixing.mix(docs, targets, tokenizer=None, block=10, shard_size=3_000)[0].collect()}
     assert again == {(r["id"], r["copy"]) for r in rows}
 
 
 def test_public_tokenizer_counts(spark):
     df = spark.createDataFrame([(1, "Hello world", "a"), (2, None, "a"), (3, "", "a")], "doc_id long, text string, source string")
-    got = {r["id"]: r["size"] for r in mixing.sized(df, "doc_id", "source", "text", mixing.TOKENIZER).collect()}
+    got = {r["id"]: r["size"] for r in mixing.sized(df, "doc_id", "source", "text", TOKENIZER).collect()}
     assert got == {1: 2, 2: 0, 3: 0}
 
 
@@ -70,3 +71,22 @@ def test_empty(spark):
     assert mixing.mixture_plan(docs, targets.limit(0)).count() == 0
     chosen, report = mixing.mix(docs.limit(0), targets, tokenizer=None)
     assert chosen.count() == 0 and report.count() == 3
+
+
+def test_capped_sources_are_used_to_their_capacity(spark):
+    docs = [(i, "w " * 10, "big") for i in range(400)] + [(1000 + i, "w w w", "small") for i in range(7)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("big", 0.9, 1), ("small", 0.1, 4)], "source string, target_share double, max_repeats int")
+    got = {r["source"]: r for r in mixing.mix(df, targets)[1].collect()}
+    assert got["small"]["used"] == got["small"]["capacity"] == 84 and not got["small"]["reachable"]
+    assert abs(got["big"]["used"] - got["big"]["quota"]) <= 10
+
+
+def test_quotas_of_many_shards_add_up(spark):
+    docs = spark.range(5000).selectExpr("id AS doc_id", "repeat('w ', cast(1 + id % 7 AS int)) AS text", "CASE WHEN id % 5 < 4 THEN 'a' ELSE 'b' END AS source")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 2)], "source string, target_share double, max_repeats int")
+    chosen, report = mixing.mix(docs, targets, shard_size=300)
+    got = {r["source"]: r for r in report.collect()}
+    assert got["b"]["used"] == got["b"]["capacity"] and got["b"]["quota"] == got["b"]["capacity"]
+    assert abs(got["a"]["used"] - got["a"]["quota"]) < 0.02 * got["a"]["quota"]
+    assert chosen.groupBy("source", "id").count().where("source = 'a' AND count > 1").count() == 0
