@@ -4,6 +4,9 @@ Signature: one permutation ``sigma`` scatters the shingle buckets, a second one
 circularly by 0, 1, 2, ... and gives every coordinate as the least shifted rank of the set. Bands of
 ``rows`` coordinates are hashed, one shuffle brings equal bands together, and each candidate pair is
 verified by the exact Jaccard similarity of its word shingles.
+
+Groups don't need every pair: each text of a bucket is verified against the bucket's first one, and only texts of
+one bucket that are still in different components are paired with each other.
 """
 
 from __future__ import annotations
@@ -19,28 +22,29 @@ from leafmill.functions.memo import Memo
 from leafmill.functions.words import WordHash, mix64, window_hashes, words
 from leafmill.session import materialise
 
-UNIVERSE = 1 << 16
-
-
-def _permutations(key: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """``sigma`` over the buckets, and ``pi`` as a view whose row p holds pi[p], pi[p+1], ..."""
-    size, seed = key
-    rng = np.random.default_rng(seed)
-    sigma = rng.permutation(UNIVERSE)
-    pi = rng.permutation(UNIVERSE).astype(np.uint16)
-    return sigma, np.lib.stride_tricks.sliding_window_view(np.concatenate([pi, pi[: size - 1]]), size)
-
-
-PERMUTATIONS = Memo(_permutations, 2)
+def mix32(h: np.ndarray) -> np.ndarray:
+    """A bijection of 32-bit words that spreads every input bit, in place."""
+    t = h >> np.uint32(16)
+    for factor, shift in ((0x85EBCA6B, 13), (0xC2B2AE35, 16)):
+        h ^= t
+        h *= np.uint32(factor)
+        np.right_shift(h, np.uint32(shift), out=t)
+    h ^= t
+    return h
 
 
 def signature(shingles: np.ndarray, size: int, seed: int = 11) -> np.ndarray:
-    """``size`` coordinates of a set of 64-bit shingle hashes."""
-    sigma, shifted = PERMUTATIONS[size, seed]
-    at = sigma[np.unique(shingles >> np.uint64(48)).astype(np.int64)]
-    best = np.full(size, UNIVERSE - 1, dtype=np.uint16)
-    for i in range(0, len(at), 4096):
-        np.minimum(best, shifted[at[i : i + 4096]].min(axis=0), out=best)
+    """``size`` coordinates of a set of 64-bit shingle hashes.
+
+    Both permutations are keyed bijections of the 2^32 buckets, computed and not stored: ``sigma`` of a bucket is
+    shifted circularly (modulo 2^32) by the coordinate's number before ``pi`` ranks it.
+    """
+    keys = np.random.default_rng(seed).integers(0, 2**32, 2, dtype=np.uint32)
+    at = mix32(np.unique((shingles >> np.uint64(32)).astype(np.uint32)) ^ keys[0]) ^ keys[1]
+    shifts = np.arange(size, dtype=np.uint32)
+    best = np.full(size, 2**32 - 1, dtype=np.uint32)
+    for i in range(0, len(at), 256):
+        np.minimum(best, mix32(at[i : i + 256, None] + shifts).min(axis=0), out=best)
     return best
 
 
@@ -76,9 +80,10 @@ def _bands(shingle: int, bands: int, rows: int, min_words: int):
 
 
 def _runs(limit: int):
-    """Pairs within each run of equal keys; runs longer than ``limit`` come out as (key, cid) rows."""
+    """Pairs within each run of equal keys, of different components where there is a column ``comp``; runs longer than
+    ``limit`` come out as (key, cid) rows."""
 
-    def pairs(key: np.ndarray, cid: np.ndarray) -> list[tuple]:
+    def pairs(key: np.ndarray, cid: np.ndarray, comp: np.ndarray | None) -> list[tuple]:
         start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         length = np.diff(np.r_[start, len(key)])
         out = []
@@ -92,6 +97,9 @@ def _runs(limit: int):
                 continue
             i, j = np.triu_indices(m, 1)
             a, b = cid[at[:, None] + i].ravel(), cid[at[:, None] + j].ravel()
+            if comp is not None:
+                apart = comp[at[:, None] + i].ravel() != comp[at[:, None] + j].ravel()
+                a, b = a[apart], b[apart]
             out.append((a, b, np.zeros(len(a), dtype=bool)))
         return out
 
@@ -102,35 +110,39 @@ def _runs(limit: int):
                 table = pa.table({"a": a, "b": b, "hot": hot}).group_by(["a", "b", "hot"]).aggregate([])
                 yield from table.select(["a", "b", "hot"]).combine_chunks().to_batches()
 
-        key = cid = np.empty(0, dtype=np.int64)
-        spilled = False  # the pending run has outgrown the limit and its head is out already
+        key = cid = comp = np.empty(0, dtype=np.int64)
+        parted, spilled = None, False  # the pending run has outgrown the limit and its head is out already
         for batch in batches:
             k, c = np.asarray(batch["key"]), np.asarray(batch["cid"])
+            m = np.asarray(batch["comp"]) if "comp" in batch.schema.names else c
             if not len(k):
                 continue
             if spilled:
                 n = int(np.argmax(k != key[-1])) if (k != key[-1]).any() else len(k)
                 yield from emit([(k[:n], c[:n], np.ones(n, dtype=bool))] if n else [])
-                k, c = k[n:], c[n:]
+                k, c, m = k[n:], c[n:], m[n:]
                 if not len(k):
                     continue
-                key, cid, spilled = k[:0], c[:0], False
-            key, cid = np.r_[key, k], np.r_[cid, c]
+                key, cid, comp, spilled = k[:0], c[:0], m[:0], False
+            key, cid, comp = np.r_[key, k], np.r_[cid, c], np.r_[comp, m]
+            parted = comp if "comp" in batch.schema.names else None
             last = int(np.flatnonzero(np.r_[True, key[1:] != key[:-1]])[-1])
-            yield from emit(pairs(key[:last], cid[:last]) if last else [])
-            key, cid = key[last:], cid[last:]
+            yield from emit(pairs(key[:last], cid[:last], parted if parted is None else comp[:last]) if last else [])
+            key, cid, comp = key[last:], cid[last:], comp[last:]
             if len(key) > limit:
                 yield from emit([(key, cid, np.ones(len(key), dtype=bool))])
-                key, cid, spilled = key[:1], cid[:1], True
+                key, cid, comp, spilled = key[:1], cid[:1], comp[:1], True
         if len(key) and not spilled:
-            yield from emit(pairs(key, cid))
+            yield from emit(pairs(key, cid, None if parted is None else comp))
 
     return run
 
 
-def _prefix_candidates(hot: DataFrame, base: DataFrame, shingle: int, threshold: float) -> DataFrame:
-    """Candidates among texts of overfull buckets, exactly: two sets of similarity ``threshold`` share
-    one of the rarest n - ceil(threshold * n) + 1 shingles of each."""
+def _prefix_candidates(ids: DataFrame, base: DataFrame, shingle: int, threshold: float, split: int = 512) -> DataFrame:
+    """Candidates among texts of overfull buckets (``cid``, and ``comp`` if only pairs of different components are
+    wanted), exactly: two sets of similarity ``threshold`` share one of the rarest n - ceil(threshold * n) + 1
+    shingles of each. The texts of a shingle that more than ``split`` of them hold are spread over several tasks; with
+    components the texts of its most frequent one stand on one side of the join only."""
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
@@ -139,15 +151,23 @@ def _prefix_candidates(hot: DataFrame, base: DataFrame, shingle: int, threshold:
                 s = np.unique(window_hashes(hashes.of(words(text)), shingle)).view(np.int64)
                 yield pa.record_batch({"cid": pa.array(np.full(len(s), cid)), "s": pa.array(s), "n": pa.array(np.full(len(s), len(s)))})
 
-    ids = hot.select(F.col("b").alias("cid")).distinct()
-    texts = base.join(ids, "cid", "left_semi").dropDuplicates(["cid"])
-    rows = texts.mapInArrow(shingles, "cid long, s long, n long")
-    df = rows.groupBy("s").agg(F.count("*").alias("df"))
-    ranked = rows.join(df, "s").groupBy("cid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("all"))
-    prefix = ranked.select("cid", "n", F.explode(F.slice("all", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold) + 1).cast("int"))).alias("p")).select("cid", "n", "p.s")
-    x, y = prefix.alias("x"), prefix.alias("y")
-    near = (F.col("x.cid") < F.col("y.cid")) & (F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * threshold)
-    return x.join(y, (F.col("x.s") == F.col("y.s")) & near).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
+    texts = base.join(ids.select("cid").distinct(), "cid", "left_semi").dropDuplicates(["cid"])
+    rows = materialise(texts.mapInArrow(shingles, "cid long, s long, n long"))
+    df = rows.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = rows.join(df, "s", "left").groupBy("cid", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "s"))).alias("all"))
+    prefix = ranked.select("cid", "n", F.explode(F.slice("all", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold) + 1).cast("int"))).alias("p")).select("cid", "n", "p.s", "p.df").where("df > 1")
+    near = (F.col("x.cid") != F.col("y.cid")) & (F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * threshold)
+    if "comp" in ids.columns:
+        prefix = materialise(prefix.join(ids.distinct(), "cid"))
+        most = prefix.groupBy("s", "comp").agg(F.count("*").alias("k")).groupBy("s").agg(F.max_by("comp", F.struct("k", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1").select("s", "top")
+        prefix = prefix.join(most, "s")
+        left, near = prefix.where("comp <> top"), near & (F.col("x.comp") != F.col("y.comp"))
+    else:
+        left, near = prefix, near & (F.col("x.cid") < F.col("y.cid"))
+    parts = F.ceil(F.col("df") / F.lit(split)).cast("int")
+    x = left.withColumn("salt", F.pmod(F.xxhash64("cid"), parts).cast("int")).alias("x")
+    y = prefix.withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).alias("y")
+    return x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.salt") == F.col("y.salt")) & near).select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b"))
 
 
 def _verify(shingle: int, threshold: float):
@@ -171,6 +191,22 @@ def _verify(shingle: int, threshold: float):
     return run
 
 
+def _checked(pairs: DataFrame, base: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """``ma, mb, jaccard`` (ma <= mb) of those pairs of texts (``a, b``) whose similarity reaches the threshold."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    texts = base.join(ids, "cid", "left_semi").withColumn("md5", F.md5("text")).dropDuplicates(["cid", "md5"])
+    left = texts.select(F.col("cid").alias("a"), F.col("md5").alias("ma"), F.col("text").alias("ta"))
+    right = texts.select(F.col("cid").alias("b"), F.col("md5").alias("mb"), F.col("text").alias("tb"))
+    both = pairs.join(left, "a").join(right, "b").select("ma", "mb", "ta", "tb")
+    checked = both.mapInArrow(_verify(shingle, threshold), "ma string, mb string, jaccard double")
+    return checked.groupBy(F.least("ma", "mb").alias("ma"), F.greatest("ma", "mb").alias("mb")).agg(F.max("jaccard").alias("jaccard"))
+
+
+def _keyed(records: DataFrame, text: str, shingle: int, min_words: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    base = records.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("cid"), F.col(text).alias("text"))
+    return base, base.mapInArrow(_bands(shingle, bands, rows, min_words), "key long, cid long")
+
+
 def similar_classes(records: DataFrame, text: str = "text", shingle: int = 5, threshold: float = 0.8, min_words: int = 0, bands: int = 48, rows: int = 4, bucket_limit: int = 512) -> DataFrame:
     """Pairs of different texts (by their md5) whose shingle sets have at least ``threshold``, with the
     similarity; a text that occurs in several rows comes as a pair with itself.
@@ -178,21 +214,14 @@ def similar_classes(records: DataFrame, text: str = "text", shingle: int = 5, th
     Null texts and texts under ``min_words`` (or ``shingle``) words have no pairs. Repeated rows are one
     text. 48 bands of 4 find a pair of similarity 0.6 with probability 0.9987, of 0.7 with 0.999998.
     """
-    base = records.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("cid"), F.col(text).alias("text"))
-    keyed = base.mapInArrow(_bands(shingle, bands, rows, min_words), "key long, cid long")
+    base, keyed = _keyed(records, text, shingle, min_words, bands, rows)
     found = keyed.repartition("key").sortWithinPartitions("key", "cid").mapInArrow(_runs(bucket_limit), "a long, b long, hot boolean")
     found = materialise(found)
     pairs = found.where("not hot").select("a", "b").distinct()
     hot = found.where("hot")
     if not hot.isEmpty():
-        pairs = pairs.union(_prefix_candidates(hot, base, shingle, threshold)).union(hot.select(F.col("b").alias("a"), "b")).distinct()
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    texts = base.join(ids, "cid", "left_semi").withColumn("md5", F.md5("text")).dropDuplicates(["cid", "md5"])
-    left = texts.select(F.col("cid").alias("a"), F.col("md5").alias("ma"), F.col("text").alias("ta"))
-    right = texts.select(F.col("cid").alias("b"), F.col("md5").alias("mb"), F.col("text").alias("tb"))
-    both = pairs.join(left, "a").join(right, "b").select("ma", "mb", "ta", "tb")
-    checked = both.mapInArrow(_verify(shingle, threshold), "ma string, mb string, jaccard double")
-    return checked.groupBy(F.least("ma", "mb").alias("ma"), F.greatest("ma", "mb").alias("mb")).agg(F.max("jaccard").alias("jaccard"))
+        pairs = pairs.union(_prefix_candidates(hot.select(F.col("b").alias("cid")), base, shingle, threshold)).union(hot.select(F.col("b").alias("a"), "b")).distinct()
+    return _checked(pairs, base, shingle, threshold)
 
 
 def members(records: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -254,22 +283,43 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     return now.select(F.col("a").alias("id"), F.col("b").alias("root")).union(now.select(F.col("b").alias("id"), F.col("b").alias("root"))).distinct()
 
 
-def near_duplicate_groups(records: DataFrame, key: str = "chunk_id", text: str = "text", **how) -> DataFrame:
-    """``id, group_id, group_size, links``: one row for each key. Group = keys connected by similar texts,
-    named by its least key; links = number of other texts similar to its own. A null text stands alone."""
-    checked = materialise(similar_classes(records, text, **how))
+def near_duplicate_groups(records: DataFrame, key: str = "chunk_id", text: str = "text", shingle: int = 5, threshold: float = 0.8, min_words: int = 0, bands: int = 48, rows: int = 4, bucket_limit: int = 512) -> DataFrame:
+    """``id, group_id, group_size``: one row for each key. Group = keys connected by similar texts, named by its
+    least key. A null text stands alone.
+
+    The work is linear in the texts of a bucket: all are verified against its first text, and only buckets whose
+    texts are then in different components have these paired, across components only.
+    """
+    base, keyed = _keyed(records, text, shingle, min_words, bands, rows)
+    keyed = materialise(keyed.distinct())
+    first = keyed.groupBy("key").agg(F.min("cid").alias("a"), F.max("cid").alias("z")).where("a < z").select("key", "a")
+    star = materialise(keyed.join(first, "key").where("cid <> a").select("a", F.col("cid").alias("b")).distinct())
+    linked = materialise(_checked(star, base, shingle, threshold).select(F.col("ma").alias("a"), F.col("mb").alias("b")).where("a <> b"))
+    roots = materialise(components(linked))
+    named = base.select("cid", F.md5("text").alias("md5")).distinct()
+    comp = named.join(roots, F.col("md5") == F.col("id")).select("cid", F.xxhash64("root").alias("comp"))
+    label = star.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(comp.groupBy("cid").agg(F.min("comp").alias("comp"), F.max("comp").alias("other")), "cid", "left")
+    # a hash that stands for several texts of different components has none
+    label = label.select("cid", F.when(F.col("comp") == F.col("other"), F.col("comp")).otherwise(F.xxhash64("cid", F.lit(1))).alias("comp"))
+    buckets = keyed.join(label, "cid")
+    mixed = buckets.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
+    open_ = buckets.join(mixed, "key").select("key", "cid", "comp")
+    found = materialise(open_.repartition("key").sortWithinPartitions("key", "cid").mapInArrow(_runs(bucket_limit), "a long, b long, hot boolean"))
+    pairs, hot = found.where("not hot").select("a", "b").distinct(), found.where("hot")
+    if not hot.isEmpty():
+        apart = hot.select(F.col("b").alias("cid")).distinct().join(label, "cid")
+        pairs = pairs.union(_prefix_candidates(apart, base, shingle, threshold)).distinct()
+    pairs = materialise(pairs.join(star, ["a", "b"], "left_anti"))
+    linked = linked.union(_checked(pairs, base, shingle, threshold).select("ma", "mb").where("ma <> mb"))
+    # edges between keys: similar texts by their first keys, and a text's keys to its first one
     of = materialise(members(records, key, text))
-    firsts = of.groupBy("md5").agg(F.min("id").alias("first"))
-    linked = checked.where("ma <> mb")
-    as_key = firsts.select(F.col("md5").alias("ma"), F.col("first").alias("x")), firsts.select(F.col("md5").alias("mb"), F.col("first").alias("y"))
-    # edges: a text's keys to its first key (copies only of texts long enough), and first keys of similar texts
-    same = checked.where("ma = mb").select(F.col("ma").alias("md5"))
-    star = of.join(same, "md5", "left_semi").join(firsts, "md5").where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
-    edges = linked.join(as_key[0], "ma").join(as_key[1], "mb").select(F.col("x").alias("a"), F.col("y").alias("b")).union(star)
-    roots = components(edges)
-    degree = linked.select(F.explode(F.array("ma", "mb")).alias("md5")).groupBy("md5").agg(F.count("*").alias("links"))
-    links = of.join(degree, "md5", "left").groupBy("id").agg(F.coalesce(F.max("links"), F.lit(0)).alias("links"))
+    firsts = of.groupBy("md5").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    x, y = firsts.select(F.col("md5").alias("a"), F.col("first").alias("x")), firsts.select(F.col("md5").alias("b"), F.col("first").alias("y"))
+    edges = linked.join(x, "a").join(y, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    long = named.join(keyed.select("cid").distinct(), "cid", "left_semi").select("md5")
+    copies = of.join(firsts.where("n > 1").join(long, "md5", "left_semi"), "md5").where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
+    roots = components(edges.union(copies))
     every = records.where(F.col(key).isNotNull()).select(F.col(key).alias("id")).distinct()
-    out = every.join(roots, "id", "left").join(links, "id", "left").select("id", F.coalesce("root", "id").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    out = every.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("group_id"))
     sizes = out.groupBy("group_id").agg(F.count("*").alias("group_size"))
-    return out.join(sizes, "group_id").select("id", "group_id", "group_size", "links")
+    return out.join(sizes, "group_id").select("id", "group_id", "group_size")
