@@ -3,11 +3,13 @@
 1. Counts: words, neighbouring word pairs and hyphenated compounds of the whole corpus, pre-aggregated
    in each task (numbers count as ``#``).
 2. Symmetric-delete index: the delete variants of every word are joined with those of the lexicon's
-   words, and all that its look-alikes may stand for with these words themselves; a weighted edit distance, in which only look-alike confusions are cheap, scores the pairs, and the
-   share of a word's contexts in which the candidate is known too (word pairs) decides.
+   words, and all that its look-alikes may stand for with these words themselves; a weighted edit distance, in
+   which only look-alike confusions are cheap, scores the pairs, and the share of a word's contexts in which the
+   candidate is known too (word pairs) decides.
 3. Torn words: neighbouring fragments that the corpus writes as one word; words that are common by themselves
    only where the whole word fits its neighbours.
-4. Each text: running headers and page numbers are taken out, words cut at line ends are joined unless
+4. Running titles: lines in title case that recur beside printed page numbers, and mostly there.
+5. Each text: running headers and page numbers are taken out, words cut at line ends are joined unless
    the hyphen belongs to the spelling, misread and torn words are replaced, lines become paragraphs.
 """
 
@@ -39,8 +41,6 @@ CONFUSIONS = [
 ]
 #: What a scan makes of the hyphen at a line's end.
 HYPHENS = "-¬­‐‑=~"
-#: Names of periodic reports as they run along the top of pages.
-REPORT_TITLES = ["Annual Report on Form 10-K", "Annual Report", "Quarterly Report on Form 10-Q", "Quarterly Report", "Current Report on Form 8-K", "Current Report", "Sustainability Statement", "Sustainability Report", "Risk Disclosure", "Interim Report"]
 #: Words before which a hyphen stands for a part named later (``short- and long-term``).
 SUSPENDING = {"and", "or", "to", "nor", "und", "oder", "bis", "et", "ou", "y", "o", "e"}
 #: Words with which neither a sentence nor a heading ends.
@@ -250,36 +250,104 @@ def repairs(counts: DataFrame, parts: DataFrame, min_count: int = 5, bound: floa
     return ok.groupBy("t").agg(best.alias("w"))
 
 
+_SEPARATED = re.compile(r"\s*[|·]\s*")
+_YEARS = re.compile(r"(?: \d{4})+$")
+
+
+def _title_lines(text: str) -> Iterator[tuple[str, bool, bool]]:
+    """Lines (their first two parts between bars) that look like titles: in title case, capitals or spaced letters,
+    two words or more and no sentence; as words without a last year, with whether a printed page number (of a form
+    that no table has, of any form) stands on the line above or below."""
+    lines = [x for x in (line.strip() for line in text.split("\n")) if x]
+    for i, line in enumerate(lines):
+        if not (line[:1].isupper() and len(line) <= 250):
+            continue
+        beside = [lines[j] for j in (i - 1, i + 1) if 0 <= j < len(lines)]
+        any_ = any(_ONLY_NUMBER.fullmatch(x) for x in beside)
+        styled = any_ and any(_ONLY_STYLED.fullmatch(x) for x in beside)
+        closed = close_letters(line)
+        parts = _SEPARATED.split(closed if closed != line else re.sub(r"[ \t]{2,}", "|", line))
+        for part in parts[:2]:
+            if _heading(part) and part[-1:] not in (".", ";", ":", ","):
+                title = _YEARS.sub("", " ".join(words(part)))
+                if title.count(" ") and any(w.isalpha() and len(w) > 2 for w in title.split(" ")):
+                    yield title, styled, any_
+
+
+def running_titles(records: DataFrame, field: str, places: int = 3, share: float = 0.5) -> DataFrame:
+    """``title, n``: titles that stand beside printed page numbers in ``places`` places or more, and in at least
+    ``share`` of all lines that they begin."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: dict[str, list[int]] = {}
+            for text in batch[field].to_pylist():
+                for title, styled, any_ in _title_lines(text) if text and "\n" in text else ():
+                    n = seen.setdefault(title, [0, 0, 0])
+                    n[0] += 1
+                    n[1] += styled
+                    n[2] += any_
+            cols = list(zip(*seen.values())) or [(), (), ()]
+            yield pa.record_batch([pa.array(list(seen), pa.string()), *(pa.array(c, pa.int64()) for c in cols)], names=["title", "n", "styled", "beside"])
+
+    per = records.select(field).mapInArrow(count, "title string, n long, styled long, beside long").groupBy("title").agg(*(F.sum(c).alias(c) for c in ("n", "styled", "beside")))
+    return per.where((F.col("styled") >= places) & (F.col("beside") >= share * F.col("n"))).select("title", "n")
+
+
+#: So that running titles are sent to every executor before anything else.
+_FIRST = 1 << 40
+
+
 def page_model(records: DataFrame, fields: list[str], min_count: int = 5) -> DataFrame:
-    """``key, value``: everything that the repair of a text looks up. Keys: ``w:`` known word and its count,
-    ``c:`` compound and its count, ``r:`` misread word, ``t:`` torn pair (which of the two, a or b, is mostly a fragment),
-    ``x:`` pair of words that is 50 times rarer than the whole, and torn where ``k:`` holds the whole with the word
-    before and the one after, ``n:`` / ``m:`` word after / before which numbers are usual."""
+    """``key, value, n``: everything that the repair of a text looks up, and how often the corpus has it. Keys:
+
+    ``v:`` word: its count if it is known, what it stands for if it is misread, and its marks, between bars. Marks:
+    ``n`` / ``m`` numbers are usual after / before it, ``a`` / ``b`` it is the first / second word of a ``t:`` or
+    ``x:`` pair, ``T`` it begins a running title. ``c:`` compound and its count; ``t:`` torn pair; ``x:`` pair
+    of words that is 50 times rarer than the whole, and torn where ``k:`` holds the whole with the word before and
+    the one after; ``h:`` running title. Every word with ``min_count`` occurrences has a row.
+    """
     counts = materialise(corpus_counts(records, fields))
     pairs, parts = fragments(counts, min_count)
     pairs = materialise(pairs)
-    loose = pairs.where("fa < 0.5 AND fb < 0.5 AND nab >= 50 * n")
+    torn, loose = pairs.where("fa >= 0.5 OR fb >= 0.5"), pairs.where("fa < 0.5 AND fb < 0.5 AND nab >= 50 * n")
     wholes, twice = loose.select("ab").distinct(), counts.where("b IS NOT NULL AND n >= 2")
-    beside = [twice.join(wholes, F.col(side) == F.col("ab")).select("a", "b") for side in ("a", "b")]
+    beside = [twice.join(wholes, F.col(side) == F.col("ab")).select("a", "b", "n") for side in ("a", "b")]
     parts = materialise(parts)
     fixes = materialise(repairs(counts, parts, min_count))
+    titles = materialise(running_titles(records, fields[0]))
     uni = counts.where("b IS NULL AND a <> '#'")
-    whole = uni.where(~F.contains("a", F.lit("-")) & (F.col("n") >= min_count)).select(F.col("a").alias("w"), "n")
-    known = whole.join(fixes.select(F.col("t").alias("w")), "w", "left_anti").join(parts.where("f >= 0.5"), "w", "left_anti")
+    single = uni.where(~F.contains("a", F.lit("-"))).select(F.col("a").alias("w"), "n")
+    known = single.where(F.col("n") >= min_count).join(fixes.select(F.col("t").alias("w")), "w", "left_anti").join(parts.where("f >= 0.5"), "w", "left_anti")
+    none, zero = F.lit(None).cast("string"), F.lit(0).cast("long")
+    mark = lambda df, word, flag: df.select(F.col(word).alias("w"), zero.alias("n"), none.alias("fix"), F.lit(flag).alias("mark"))
+    both = torn.select("a", "b").union(loose.select("a", "b"))
+    facts = [
+        known.select("w", "n", none, F.lit("")),
+        fixes.select(F.col("t"), zero, F.col("w"), F.lit("")),
+        mark(counts.where("b = '#' AND a <> '#'").join(uni.select("a", F.col("n").alias("all")), "a").where("n >= 0.02 * all"), "a", "n"),
+        mark(counts.where("a = '#' AND b <> '#'").join(uni.select(F.col("a").alias("b"), F.col("n").alias("all")), "b").where("n >= 0.02 * all"), "b", "m"),
+        mark(both, "a", "a"),
+        mark(both, "b", "b"),
+        mark(titles.select(F.substring_index("title", " ", 1).alias("w")), "w", "T"),
+    ]
+    word = facts[0].toDF("w", "n", "fix", "mark")
+    for f in facts[1:]:
+        word = word.union(f.toDF("w", "n", "fix", "mark"))
+    word = word.groupBy("w").agg(F.max("n").alias("known"), F.max("fix").alias("fix"), F.array_join(F.array_sort(F.collect_set("mark")), "").alias("marks")).join(single, "w", "left")
+    pair = lambda df, kind: df.select(F.concat(F.lit(kind), "a", F.lit(" "), "b"), F.lit(""), "n")
     rows = [
-        known.select(F.concat(F.lit("w:"), "w"), F.col("n").cast("string")),
-        uni.where(F.contains("a", F.lit("-"))).select(F.concat(F.lit("c:"), "a"), F.col("n").cast("string")),
-        fixes.select(F.concat(F.lit("r:"), "t"), "w"),
-        counts.where("b = '#' AND a <> '#'").join(uni.select("a", F.col("n").alias("all")), "a").where("n >= 0.02 * all").select(F.concat(F.lit("n:"), "a"), F.lit("")),
-        counts.where("a = '#' AND b <> '#'").join(uni.select(F.col("a").alias("b"), F.col("n").alias("all")), "b").where("n >= 0.02 * all").select(F.concat(F.lit("m:"), "b"), F.lit("")),
-        pairs.where("fa >= 0.5 OR fb >= 0.5").select(F.concat(F.lit("t:"), "a", F.lit(" "), "b"), F.concat(F.when(F.col("fa") >= 0.5, "a").otherwise(""), F.when(F.col("fb") >= 0.5, "b").otherwise(""))),
-        loose.select(F.concat(F.lit("x:"), "a", F.lit(" "), "b"), F.lit("")),
-        beside[0].union(beside[1]).distinct().select(F.concat(F.lit("k:"), "a", F.lit(" "), "b"), F.lit("")),
+        word.select(F.concat(F.lit("v:"), "w"), F.concat_ws("|", F.col("known").cast("string"), F.coalesce("fix", F.lit("")), "marks"), F.coalesce("n", F.lit(0))),
+        uni.where(F.contains("a", F.lit("-"))).select(F.concat(F.lit("c:"), "a"), F.col("n").cast("string"), "n"),
+        pair(torn, "t:"),
+        pair(loose, "x:"),
+        pair(beside[0].union(beside[1]).groupBy("a", "b").agg(F.max("n").alias("n")), "k:"),
+        titles.select(F.concat(F.lit("h:"), "title"), F.lit(""), F.lit(_FIRST).cast("long")),
     ]
     out = rows[0]
     for r in rows[1:]:
         out = out.union(r)
-    return materialise(out.toDF("key", "value"))
+    return materialise(out.toDF("key", "value", "n"))
 
 
 # ------------------------------------------------------------------- one text
@@ -298,21 +366,41 @@ _DIGITS = str.maketrans("lI|O", "1110")
 _PLAIN = re.compile(r"\S")
 
 
-def _spaced(text: str) -> str:
-    return r"[ ]{2,6}".join(r"[ ]".join(re.escape(c) for c in w) for w in text.split())
+_ONLY_NUMBER, _ONLY_STYLED = re.compile(_NUMBER), re.compile(_STYLED.replace("|[ivxlc]{1,8}", ""))
+_APART = re.compile(r"(?<!\S)[^\W_](?: [^\W_]| [-·|&] ?(?=[^\W_] ))+(?: {2,8}\S(?: \S)+)*(?!\S)")
+
+
+def close_letters(text: str) -> str:
+    """Letters that stand apart (``R I S K  R E P O R T``) closed to words."""
+    return _APART.sub(lambda m: " ".join(w.replace(" ", "") for w in re.split(r" {2,}", m[0])), text)
+
 
+def _plain_form(title: str) -> str:
+    return r"(?:\s*[-–/&.,]\s*|\s+)".join(map(re.escape, title.split()))
 
-def _header_of(name: str) -> re.Pattern:
-    plain = r"\s+".join(map(re.escape, name.split()))
-    report = "(?:" + "|".join(r"\s+".join(map(re.escape, r.split())) for r in REPORT_TITLES) + r")(?:\s+\d{4})?"
-    spaced_report = "(?:" + "|".join(_spaced(r) for r in REPORT_TITLES) + r")(?:[ ]{2,6}\d[ ]\d[ ]\d[ ]\d)?"
+
+def _spaced_form(title: str) -> str:
+    return r"[ ]{1,6}(?:[-–/&.,][ ]{1,6})?".join(r"[ ]".join(re.escape(c) for c in w) for w in title.split())
+
+
+def _header_of(key: tuple[str, tuple[str, ...]]) -> re.Pattern:
+    """Running lines of a document: its company's name and the titles, alone or together, in plain or spaced letters."""
+    name, titles = key
+    plain = _plain_form(name)
+    some = "|".join(map(_plain_form, titles)) or r"(?!)"
+    report, spaced_report = rf"(?:{some})(?:\s+\d{{4}})?", rf"(?:{'|'.join(map(_spaced_form, titles)) or '(?!)'})(?:[ ]{{2,6}}\d[ ]\d[ ]\d[ ]\d)?"
     line = rf"(?:{plain}(?:\s+and\s+Subsidiaries|\s*[·|]?\s*{report})?|{report}(?:[ \t]*\|[ \t]*{plain})?)(?:[ \t]*\|[^\n]{{1,120}}$)?"
-    wide = rf"(?:{_spaced(name)}(?:[ ]{{2,6}}{_spaced('and Subsidiaries')}|[ ]{{2,8}}(?:[·|][ ]{{2,6}})?{spaced_report})?|{spaced_report}(?:[ ]{{2,6}}\|[ ]{{2,6}}{_spaced(name)})?)"
+    wide = rf"(?:{_spaced_form(name)}(?:[ ]{{2,6}}{_spaced_form('and Subsidiaries')}|[ ]{{2,8}}(?:[·|][ ]{{2,6}})?{spaced_report})?|{spaced_report}(?:[ ]{{2,6}}\|[ ]{{2,6}}{_spaced_form(name)})?)"
     return re.compile(rf"(?<!\w)(?:{wide}|{line})(?!\w)", re.I | re.M)
 
 
-_HEADER = Memo(_header_of)
-_REPORT_SIGNS = ["annual report", "quarterly report", "current report", "sustainability statement", "sustainability report", "risk disclosure", "interim report", "r e p o r t", "s t a t e m e n t", "d i s c l o s u r e"]
+def _name_line(name: str) -> re.Pattern:
+    """A line of the company's name and further words in title case."""
+    return re.compile(rf"^[ \t]*{_plain_form(name)}(?:[ \t]+(?:[A-Z][\w&-]*|\d{{4}}|on|of|and|the|for|to|in))+[ \t]*$", re.M)
+
+
+_HEADER, _NAMED = Memo(_header_of), Memo(_name_line)
+_LONGEST_TITLE = 12  # words of a running title that are looked for
 
 
 def _company(doc_name: str) -> str:
@@ -334,34 +422,87 @@ def _prose(line: str) -> bool:
     return len(s) >= 45 or s[-1:] in ".;:," and len(s.split()) > 1 or "   " in s
 
 
+_NOTHING = (0, "", "")
+
+
+def _entry(value: str) -> tuple[int, str, str]:
+    known, fix, marks = value.split("|")
+    return int(known), fix, marks
+
+
 class Repair:
-    """Repairs texts by a model (mapping of keys to values)."""
-
-    def __init__(self, model: dict[str, str]) -> None:
-        self.model = model
-        self.stages: list[str] = []  # a text as it stands before each of the last repair's steps
-        self.fixes = {k[2:]: v for k, v in model.items() if k.startswith("r:")}
-        self.wrong = frozenset(self.fixes)
-        self.torn = frozenset(k[2:] for k in model if k.startswith("t:"))
-        parts = (k[2:].split(" ") + [v] for k, v in model.items() if k.startswith("t:"))
-        self.fragments = frozenset(x for a, b, which in parts for x, side in ((a, "a"), (b, "b")) if side in which)
-        self.loose: dict[str, set[str]] = {}
-        for a, b in (k[2:].split(" ") for k in model if k.startswith("x:")):
-            self.loose.setdefault(a, set()).add(b)
-        self.firsts = frozenset(self.loose)
-
-    def count(self, kind: str, word: str) -> int:
-        return int(self.model.get(f"{kind}:{word}", 0))
+    """Repairs texts by a model (mapping of keys to values; see ``page_model``).
+
+    A model that isn't ``complete`` holds the most frequent rows; a text's other rows come by ``answer``, and what
+    its repair asked for in vain stands in ``missing`` afterwards.
+    """
+
+    def __init__(self, model: dict[str, str], complete: bool = True) -> None:
+        self.complete = complete
+        self.rest = {k: v for k, v in model.items() if k[:2] != "v:"}
+        self.words = {k[2:]: _entry(v) for k, v in model.items() if k[:2] == "v:"}
+        self.wrong = frozenset(w for w, e in self.words.items() if e[1])
+        self.marked = {x: frozenset(w for w, e in self.words.items() if x in e[2]) for x in "abT"}
+        self.answer({})
+
+    def answer(self, given: dict[str, str | None]) -> None:
+        """Rows of the model for the next text; null where the model has none."""
+        self.given, self.missing = given, set()
+
+    # ---- the model
+    def value(self, key: str) -> str | None:
+        out = self.rest.get(key)
+        if out is None and not self.complete:
+            if key in self.given:
+                return self.given[key]
+            self.missing.add(key)
+        return out
+
+    def entry(self, word: str) -> tuple[int, str, str]:
+        out = self.words.get(word)
+        if out is None:
+            value = None if self.complete else self.value("v:" + word)
+            return _NOTHING if value is None else _entry(value)
+        return out
+
+    def count(self, word: str) -> int:
+        return self.entry(word)[0]
+
+    def fixed(self, word: str) -> str:
+        """What a misread word stands for, else the word."""
+        return self.entry(word)[1] or word
+
+    def with_mark(self, mark: str, here: set[str]) -> set[str]:
+        out = here & self.marked[mark]
+        return out if self.complete else out | {w for w in here - self.words.keys() if mark in self.entry(w)[2]}
 
     # ---- page breaks
+    def titles(self, text: str) -> tuple[str, ...]:
+        """Running titles of the corpus that the text holds, longest first."""
+        w = words(close_letters(text))
+        firsts = self.with_mark("T", set(w))
+        found = set()
+        if firsts:
+            for i, x in enumerate(w):
+                if x in firsts:
+                    for n in range(2, min(_LONGEST_TITLE, len(w) - i) + 1):
+                        title = " ".join(w[i : i + n])
+                        if self.value("h:" + title) is not None:
+                            found.add(title)
+        return tuple(sorted(found, key=lambda t: (-len(t), t)))
+
     def page_breaks(self, text: str, doc_name: str | None) -> tuple[str, set[str]]:
         """The text without running headers and page numbers, and which of them it held."""
         kinds, cuts = set(), []
         name, low = _COMPANY[doc_name or ""], text.lower()
-        if (name and (name.lower() in low or " ".join(name.lower().split(" ")[0]) in low)) or any(x in low for x in _REPORT_SIGNS):
-            for m in _HEADER[name or "\0"].finditer(text):
+        titles = self.titles(text)
+        named = bool(name) and (name.lower() in low or " ".join(name.lower().split(" ")[0]) in low)
+        if named or titles:
+            at = [m.span() for m in _HEADER[name or "\0", titles].finditer(text) if not m[0].islower()]
+            if named and "\n" in text:
+                at += [m.span() for m in _NAMED[name].finditer(text) if _AFTER.match(text, m.end()) or _BEFORE.search(text, max(0, m.start() - 24), m.start())]
+            for a, b in sorted(at):
                 kinds.add("header")
-                a, b = m.span()
                 if x := _AFTER.match(text, b):
                     kinds.add("page_number")
                     b = x.end()
@@ -379,14 +520,15 @@ class Repair:
                     cuts.append(m.span())
         else:
             for m in _INLINE.finditer(text):
-                if not any(a <= m.start(2) < b for a, b in cuts) and not self.takes_number(m[1], m[3]) and self.count("w", m[1].lower()) and self.count("w", m[3].lower()):
+                if not any(a <= m.start(2) < b for a, b in cuts) and not self.takes_number(m[1], m[3]) and self.count(m[1].lower()) and self.count(m[3].lower()):
                     kinds.add("page_number")
                     cuts.append(m.span(2))
         if not cuts:
             return text, kinds
         stretches, at = [], 0
         for a, b in sorted(cuts):
-            stretches.append(text[at:a])
+            if a >= at:
+                stretches.append(text[at:a])
             at = max(at, b)
         width, out = wrap_width(text), ""
         for part in [*stretches, text[at:]]:
@@ -400,13 +542,16 @@ class Repair:
 
     def takes_number(self, before: str, after: str) -> bool:
         """Whether a number is usual after the one word or before the other."""
-        return f"n:{before.lower()}" in self.model or f"m:{after.lower()}" in self.model
+        return "n" in self.entry(before.lower())[2] or "m" in self.entry(after.lower())[2]
 
     def is_page_number(self, text: str, m: re.Match) -> bool:
         """Whether a number alone on its line is a page's: it stands between lines of running text or whole
         table rows (cells on lines of their own have short neighbours) and isn't the sentence's own number."""
-        above = text[max(0, m.start() - 400) : m.start()].rstrip().rpartition("\n")[2]
-        below = text[m.end() : m.end() + 400].lstrip().partition("\n")[0]
+        end, start = m.start(), _PLAIN.search(text, m.end())
+        while end and text[end - 1].isspace():
+            end -= 1
+        above = text[text.rfind("\n", 0, end) + 1 : end]
+        below = text[start.start() :].partition("\n")[0] if start else ""
         if not (above or below):
             return False
         ends = not above or above[-1:] in ".;:" or "   " in above
@@ -422,56 +567,60 @@ class Repair:
         """Whether a mark between two word parts cuts one word (and isn't the hyphen of its spelling)."""
         a, b = a.lower(), b.lower()
         whole = a + b
-        if b in SUSPENDING and mark == "-" and not self.count("w", whole):
+        if b in SUSPENDING and mark == "-" and not self.count(whole):
             return False
-        whole = self.fixes.get(whole, whole)
-        joined, compound = self.count("w", whole), self.count("c", f"{a}-{b}")
+        joined, compound = self.count(self.fixed(whole)), int(self.value(f"c:{a}-{b}") or 0)
         if joined or compound:
             return joined > compound
         if mark != "-":
             return True
-        return not (self.count("w", self.fixes.get(a, a)) and self.count("w", self.fixes.get(b, b)))
+        return not (self.count(self.fixed(a)) and self.count(self.fixed(b)))
 
     def is_torn(self, m: re.Match) -> bool:
         """Whether two neighbouring words are one: mostly fragments, or the whole fits the words on both sides."""
         a, b = m[1].lower(), m[2].lower()
-        if f"{a} {b}" in self.torn:
+        if "a" not in self.entry(a)[2] or "b" not in self.entry(b)[2]:
+            return False
+        if self.value(f"t:{a} {b}") is not None:
             return True
-        if b not in self.loose.get(a, ()):
+        if self.value(f"x:{a} {b}") is None:
             return False
         before, after = _kinds(m.string[max(0, m.start() - 80) : m.start()])[-1:], _kinds(m.string[m.end(2) : m.end(2) + 80])[:1]
         beside = [f"k:{x} {a}{b}" for x in before] + [f"k:{a}{b} {x}" for x in after]
-        return bool(beside) and all(x in self.model for x in beside)
+        return bool(beside) and all([self.value(x) is not None for x in beside])
 
     def mend(self, text: str) -> tuple[str, set[str]]:
         """Words cut at line ends, misread and torn."""
         kinds: set[str] = set()
-        self.stages = [text]
 
         def join(m: re.Match) -> str:
             if self.is_broken(m[1], m[2], m[3]):
                 kinds.add("hyphen")
                 return m[1] + m[3]
-            return m[0] if m[2] in "=~" else f"{m[1]}-{m[3]}" if self.count("c", f"{m[1]}-{m[3]}".lower()) else m[0]
+            return m[0] if m[2] in "=~" else f"{m[1]}-{m[3]}" if self.value(f"c:{m[1]}-{m[3]}".lower()) else m[0]
 
         if _BREAK.search(text):
             text = _BROKEN.sub(join, text)
-            self.stages.append(text)
         if not text.isascii() and _LIGATURE.search(text):
             kinds.add("misread")
             text = _LIGATURE.sub(lambda m: {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}[m[0]], text)
-            self.stages.append(text)
-        here = set(words(text))
+        in_order = words(text)
+        here = set(in_order)
         wrong = here & self.wrong
+        if not self.complete:
+            wrong |= {w for w in here - self.words.keys() if self.entry(w)[1]}
         if wrong:
             kinds.add("misread")
-            text = re.sub(r"(?<![^\W_])(?:" + "|".join(map(re.escape, sorted(wrong, key=len, reverse=True))) + r")(?![^\W_])", lambda m: _cased(self.fixes.get(m[0].lower(), m[0]), m[0]), text, flags=re.I)
+            text = re.sub(r"(?<![^\W_])(?:" + "|".join(map(re.escape, sorted(wrong, key=len, reverse=True))) + r")(?![^\W_])", lambda m: _cased(self.fixed(m[0].lower()), m[0]), text, flags=re.I)
         if (any(x in here for x in "lio|") or any(not (x.isalpha() or x.isdigit()) for x in here)) and _NUMERIC.search(text):
             kinds.add("misread")
             text = _NUMERIC.sub(lambda m: m[0].translate(_DIGITS), text)
-        if kinds:
-            self.stages.append(text)
-        if here & self.fragments or (firsts := here & self.firsts) and (low := text.lower()) and any(f"{a} {b}" in low for a in firsts for b in self.loose[a] & here):
+        if wrong:
+            in_order = words(text)
+            here = set(in_order)
+        firsts = self.with_mark("a", here)
+        seconds = self.with_mark("b", here) if firsts else firsts
+        if seconds and any(y in seconds and x in firsts for x, y in zip(in_order, in_order[1:])):
 
             def glue(m: re.Match) -> str:
                 if self.is_torn(m):
@@ -558,29 +707,6 @@ def paragraphs(text: str, width: int | None = None) -> str:
 
 
 # ----------------------------------------------------------------- all records
-def lookups(text: str | None) -> set[str]:
-    """Every model key that the repair of a text may ask for."""
-    if not text:
-        return set()
-    w = words(text)
-    out = {f"{kind}:{x}" for x in w for kind in "wrnm"} | {f"{kind}:{x} {y}" for x, y in zip(w, w[1:]) for kind in "tx"}
-    w = _kinds(text)
-    whole = [x + y for x, y in zip(w, w[1:])]
-    out |= {f"k:{x} {y}" for x, y in zip(w, whole[1:])} | {f"k:{x} {y}" for x, y in zip(whole, w[2:])}
-    for m in _BROKEN.finditer(text):
-        for x in (m[1] + m[3], m[1], m[3]):
-            out |= {f"w:{x.lower()}", f"r:{x.lower()}"}
-        out.add(f"c:{m[1]}-{m[3]}".lower())
-    return out
-
-
-def lookups_of(repair: Repair, text: str) -> set[str]:
-    """Every model key that the last repair asked for, by the answers that it had: those of its text at each
-    step, and the words that correct parts of cut words."""
-    out = set().union(*map(lookups, {text, *repair.stages}))
-    return out | {f"w:{repair.fixes[k[2:]]}" for k in out if k.startswith("r:") and k[2:] in repair.fixes}
-
-
 _OUT = "key string, field string, kinds array<string>, text string"
 
 
@@ -588,27 +714,45 @@ def _rows(key, field, kinds, text) -> pa.RecordBatch:
     return pa.record_batch({"key": pa.array(key, pa.string()), "field": pa.array(field, pa.string()), "kinds": pa.array(kinds, pa.list_(pa.string())), "text": pa.array(text, pa.string())})
 
 
+def _frequent(model: DataFrame, most: int) -> int | None:
+    """Least count such that at most ``most`` rows of the model have it or a greater one; null if all rows may."""
+    level = F.floor(F.log2(F.greatest(F.col("n"), F.lit(1))))
+    held = sorted(((r["l"], r["k"]) for r in model.groupBy(level.alias("l")).agg(F.count("*").alias("k")).collect()), reverse=True)
+    total = 0
+    for l, k in held:
+        if total + k > most:
+            return 2 ** (l + 1)
+        total += k
+    return None
+
+
 def repair_pages(records: DataFrame, key: str, doc_name: str, fields: list[str], model: DataFrame | None = None, broadcast_rows: int = 500_000, only_found: bool = False) -> DataFrame:
     """``key, field, kinds, text``: one row for each record and field with the debris that it held (sorted
     kinds; empty if none) and the repaired text; a null text stays null with no kinds. Rows delivered again
     come again; ``only_found`` leaves out fields without debris.
 
-    ``page_number`` and ``header`` are looked for in the first of ``fields`` (the running text) only. The
-    model is sent to the executors if it has at most ``broadcast_rows`` rows; beyond that each text gets the
-    part that it looks up by a join, with the same result.
+    ``page_number`` and ``header`` are looked for in the first of ``fields`` (the running text) only. The most
+    frequent rows of the model, at most ``broadcast_rows``, are sent to the executors. What a text looks up beyond
+    them comes by joins: its repair is run with what is known and asks for what it misses, until it misses nothing,
+    so that its result is that of the whole model.
     """
     model = page_model(records, fields) if model is None else model
     rows = records.select(F.col(key).cast("string").alias("key"), F.col(doc_name).alias("doc"), *fields)
     body = fields[0]
-
-    def one(r: Repair, field: str, text: str, doc: str | None) -> tuple[str, set[str]]:
+    least = _frequent(model, broadcast_rows)
+    complete = least is None
+    hot = model if complete else model.where(F.col("n") >= least)
+    sent = records.sparkSession.sparkContext.broadcast({r["key"]: r["value"] for r in hot.select("key", "value").collect()})
+
+    def one(r: Repair, field: str, text: str | None, doc: str | None) -> tuple[str | None, set[str]]:
+        if text is None:
+            return None, set()
         if field == body:
             return r.text(text, doc)
         fixed, kinds = r.mend(text)
         return (re.sub(r"\s+", " ", fixed) if kinds else text), kinds
 
-    if model.count() <= broadcast_rows:
-        sent = records.sparkSession.sparkContext.broadcast({r["key"]: r["value"] for r in model.collect()})
+    if complete:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             repair = Repair(sent.value)
@@ -617,7 +761,7 @@ def repair_pages(records: DataFrame, key: str, doc_name: str, fields: list[str],
                 docs, keys = batch["doc"].to_pylist(), batch["key"].to_pylist()
                 for field in fields:
                     for k, doc, text in zip(keys, docs, batch[field].to_pylist()):
-                        fixed, kinds = (None, set()) if text is None else one(repair, field, text, doc)
+                        fixed, kinds = one(repair, field, text, doc)
                         if kinds or not only_found:
                             for column, x in zip(out, (k, field, sorted(kinds), fixed)):
                                 column.append(x)
@@ -629,31 +773,35 @@ def repair_pages(records: DataFrame, key: str, doc_name: str, fields: list[str],
     long = long.withColumn("md5", F.md5(F.to_json(F.struct(F.col("field") == body, "doc", "text"))))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        repair = Repair(sent.value, False)
         for batch in batches:
+            ids, asked = [], []
             for md5, doc, field, text, part in zip(*(batch[c].to_pylist() for c in ("md5", "doc", "field", "text", "part"))):
-                if not text:
-                    continue
-                repair = Repair(dict(part or []))
+                repair.answer(dict(part or []))
                 one(repair, field, text, doc)
-                keys = lookups_of(repair, text)
-                yield pa.record_batch({"md5": pa.array([md5] * len(keys), pa.string()), "key": pa.array(sorted(keys), pa.string())})
+                asked.extend(sorted(repair.missing)), ids.extend([md5] * len(repair.missing))
+            yield pa.record_batch({"md5": pa.array(ids, pa.string()), "key": pa.array(asked, pa.string())})
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        repair = Repair(sent.value, False)
         for batch in batches:
             out = [], [], [], []
             for k, doc, field, text, part in zip(*(batch[c].to_pylist() for c in ("key", "doc", "field", "text", "part"))):
-                fixed, kinds = (None, set()) if text is None else one(Repair(dict(part or [])), field, text, doc)
+                repair.answer(dict(part or []))
+                fixed, kinds = one(repair, field, text, doc)
                 if kinds or not only_found:
                     for column, x in zip(out, (k, field, sorted(kinds), fixed)):
                         column.append(x)
             yield _rows(*out)
 
-    # the answers lead to further keys: ask until there are none
-    texts = long.dropDuplicates(["md5"])
-    asked = materialise(texts.withColumn("part", F.lit(None).cast("map<string,string>")).mapInArrow(ask, "md5 string, key string"))
-    while True:
-        parts = materialise(asked.join(model, "key").groupBy("md5").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("part")))
-        more = materialise(texts.join(parts, "md5", "left").select("md5", "doc", "field", "text", "part").mapInArrow(ask, "md5 string, key string").join(asked, ["md5", "key"], "left_anti"))
+    cold = model.where(F.col("n") < least).select("key", "value")
+    texts = materialise(long.where("text IS NOT NULL").select("md5", "doc", "field", "text").dropDuplicates(["md5"]))
+    none = F.lit(None).cast("map<string,string>")
+    asked = materialise(texts.withColumn("part", none).mapInArrow(ask, "md5 string, key string").join(cold, "key", "left").select("md5", "key", "value"))
+    while True:  # the answers lead to further keys: ask until there are none
+        parts = materialise(asked.groupBy("md5").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("part")))
+        more = texts.join(parts, "md5").select("md5", "doc", "field", "text", "part").mapInArrow(ask, "md5 string, key string")
+        more = materialise(more.join(cold, "key", "left").select("md5", "key", "value"))
         if more.isEmpty():
             break
         asked = asked.union(more)

@@ -125,9 +125,59 @@ def test_twice_misread_and_torn_into_common_words(spark):
 
 
 def test_joined_model_follows_its_answers(spark):
-    model = {"w:measurement": "50", "c:mea-surernent": "2", "r:measurernent": "measurement", "r:fiscai": "fiscal", "w:fiscal": "50", "t:sett lement": "ab"}
-    rows = [("a", "The mea-\nsurernent rose."), ("b", "The ﬁscai reserve rose."), ("c", "The long reserve of the plan and the sett\n\n- 17 -\n\nlement rose.")]
+    model = {"v:measurement": "50||", "c:mea-surernent": "2", "v:measurernent": "0|measurement|", "v:fiscai": "0|fiscal|", "v:fiscal": "50||", "t:sett lement": "", "v:sett": "0||a", "v:lement": "0||b", "v:shareholder": "20||", "v:outcome": "30||", "v:outcorne": "0|outcome|"}
+    rows = [("a", "The mea-\nsurernent rose."), ("b", "The ﬁscai reserve rose."), ("c", "The long reserve of the plan and the sett\n\n- 17 -\n\nlement rose."), ("d", "Each share-\nF-12\nholder votes the share."), ("e", "The out-\ncorne was")]
     df = spark.createDataFrame([(k, None, t) for k, t in rows], "chunk_id string, doc_name string, text string")
-    known = spark.createDataFrame(list(model.items()), "key string, value string")
+    known = spark.createDataFrame([(k, v, 1) for k, v in model.items()], "key string, value string, n long")
     a, b = ({r["key"]: (r["kinds"], r["text"]) for r in scans.repair_pages(df, "chunk_id", "doc_name", ["text"], known, **how).collect()} for how in ({}, {"broadcast_rows": 0}))
-    assert a == b and [a[k][1] for k in "abc"] == ["The measurement rose.", "The fiscal reserve rose.", "The long reserve of the plan and the settlement rose."]
+    assert a == b and [a[k][1] for k in "abcde"] == ["The measurement rose.", "The fiscal reserve rose.", "The long reserve of the plan and the settlement rose.", "Each shareholder votes the share.", "The outcome was"]
+
+
+def debris(rng, text):
+    """A clean text with random debris."""
+    w = text.split(" ")
+    for _ in range(rng.randint(0, 5)):
+        i = rng.randrange(len(w))
+        x = w[i]
+        how = rng.randrange(7)
+        if how == 0 and len(x) > 4:
+            w[i] = x[: len(x) // 2] + rng.choice("-¬=") + rng.choice(["\n", " ", "\nF-12\n", "\n\n[3]\nAcme Foods\n"]) + x[len(x) // 2 :]
+        elif how == 1:
+            w[i] = x.replace("m", "rn").replace("l", "1")
+        elif how == 2 and len(x) > 5:
+            w[i] = x[:3] + " " + x[3:]
+        elif how == 3:
+            w[i] = x + rng.choice(["\n\n- 7 -\n", "\n- 17 -\nRemuneration Report 2021\n", " F-9 Remuneration Report 2021 "])
+        elif how == 4:
+            w[i] = x.replace("fi", "ﬁ").replace("i", "l")
+        elif how == 5:
+            w[i] = x[: len(x) // 2] + "-\n" + x[len(x) // 2 :].replace("m", "rn").replace("n", "ri")
+        else:
+            w[i] = x + "\n"
+    return " ".join(w)
+
+
+def test_any_part_of_the_model_may_be_joined(spark):
+    rng = random.Random(11)
+    clean = clean_corpus(300, 5)
+    rows = [(f"c{i}", "Acme_Foods_2020_AR_no-1", t, t[:30]) for i, t in enumerate(clean)] + [(f"d{i}", "Acme_Foods_2020_AR_no-1", debris(rng, t), debris(rng, t[:40])) for i, t in enumerate(clean)]
+    df = spark.createDataFrame(rows, "chunk_id string, doc_name string, text string, start_phrase string")
+    model = scans.page_model(df, ["text", "start_phrase"])
+    assert "h:remuneration report" in {r["key"] for r in model.collect()}
+    out = []
+    for most in (500_000, 60, 0):
+        got = scans.repair_pages(df, "chunk_id", "doc_name", ["text", "start_phrase"], model, broadcast_rows=most).collect()
+        out.append({(r["key"], r["field"]): (tuple(r["kinds"]), r["text"]) for r in got})
+    assert out[0] == out[1] == out[2]
+    assert sum("hyphen" in k for k, _ in out[0].values()) > 20 and sum("header" in k for k, _ in out[0].values()) > 20
+
+
+def test_running_titles_are_found_by_recurrence():
+    lines = [f"The plan rose.\nF-{i}\nProxy Statement 20{i}\nThe cover fell." for i in range(10, 14)] + ["S A F E T Y  R E P O R T  2 0 2 0  |  A C M E\n[7]", "Plan Cost\n2020\n17"]
+    got = [t for x in lines for t in scans._title_lines(x)]
+    assert got.count(("proxy statement", True, True)) == 4 and ("safety report", True, True) in got and ("plan cost", False, True) in got
+    repair = scans.Repair({"h:proxy statement": "", "v:proxy": "0||T"})
+    assert repair.text("The plan of the\nPROXY STATEMENT 2021\n12\ncover fell.", None) == ("The plan of the cover fell.", {"header", "page_number"})
+    assert repair.text("The plan of the\nP R O X Y  S T A T E M E N T  2 0 2 1\ncover fell.", None) == ("The plan of the cover fell.", {"header"})
+    assert repair.text("The cover of the proxy statement fell.", None)[1] == set()
+    assert repair.text("The plan of the\nGlobex Corporation Remuneration Overview 2021\nF-3\ncover fell.", "Globex_Corporation_2021_x")[0] == "The plan of the cover fell."
