@@ -51,17 +51,19 @@ def test_pairs_are_those_of_brute_force(spark):
 def test_share_is_that_of_brute_force(spark):
     rows = [r for r in corpus(7) if r[0] is not None]
     df = spark.createDataFrame(rows, "evidence_id long, evidence_text string")
-    got = {r["id"]: r for r in spans.shared_share(df, "evidence_id", "evidence_text", 40).collect()}
     by = dict(rows)
-    for k, t in by.items():
-        t = t or ""
-        others = [x for j, x in by.items() if j != k and x]
-        covered = set()
-        for i in range(len(t) - 39):
-            if any(t[i : i + 40] in x for x in others):
-                covered |= set(range(i, i + 40))
-        assert got[k]["shared_chars"] == len(covered), k
-        assert got[k]["shared"] == (len(covered) / len(t) if t else 0.0)
+    for how in ({}, {"shard_chars": 300}, {"hot": 3}):
+        got = {r["id"]: r for r in spans.shared_share(df, "evidence_id", "evidence_text", 40, **how).collect()}
+        for k, t in by.items():
+            t = t or ""
+            others = [x for j, x in by.items() if j != k and x]
+            covered = set()
+            for i in range(len(t) - 39):
+                if any(t[i : i + 40] in x for x in others):
+                    covered |= set(range(i, i + 40))
+            assert got[k]["shared_chars"] == len(covered), k
+            assert got[k]["shared"] == (len(covered) / len(t) if t else 0.0)
+            assert {i for a, b in got[k]["spans"] for i in range(a, b)} == covered
 
 
 def test_empty(spark):
@@ -75,4 +77,41 @@ def test_winnow_guarantee():
     for _ in range(30):
         common = "".join(rng.choice("abc") for _ in range(60))
         a, b = ("".join(rng.choice("abc") for _ in range(rng.randint(0, 50))) + common + "".join(rng.choice("abc") for _ in range(rng.randint(0, 50))) for _ in range(2))
-        assert len(np.intersect1d(spans.winnow(a, 60), spans.winnow(b, 60)))
+        assert len(np.intersect1d(spans.winnow(a, 60)[0], spans.winnow(b, 60)[0]))
+
+
+def test_matching_statistics_are_those_of_brute_force():
+    rng = random.Random(5)
+    for most in (4, 9, 60):
+        texts = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 40))) for _ in range(6)] + ["abcabcabcabcabc", "cabcabcabcabx"]
+        alphabet = sorted(set("".join(texts)))
+        code = lambda t: [alphabet.index(c) + 2 if c in alphabet else 0 for c in t]
+        parts, owner = [], []
+        for i, t in enumerate(texts):
+            parts += [1, *code(t)]
+            owner += [i] * (len(t) + 1)
+        index = spans.FMIndex.load(spans.FMIndex(np.array(parts), most, np.array(owner)).dump())
+        asked = [*texts, "zzabcabzz", "x", ""]
+        two = np.array([True] * len(texts) + [False] * 3)
+        whole, ends = np.array([c for t in asked for c in code(t)]), np.cumsum([len(t) for t in asked])
+        got = {}
+        for piece, place, lo, hi, depth in index.statistics(whole, ends, two):
+            for p, i, a, b, d in zip(piece.tolist(), place.tolist(), lo.tolist(), hi.tolist(), depth.tolist()):
+                got[p, i - (int(ends[p]) - len(asked[p]))] = min(d, most)
+        for p, t in enumerate(asked):
+            others = [x for i, x in enumerate(texts) if i != p]
+            for i in range(len(t)):
+                n = max((n for n in range(len(t) - i + 1) if any(t[i : i + n] in x for x in others)), default=0)
+                assert got.get((p, i), 0) == min(n, most), (p, i)
+
+
+def test_one_sentence_of_many_texts_gives_linear_rows(spark):
+    rng = random.Random(3)
+    make = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    common = make(60)
+    for n in (50, 100):
+        df = spark.createDataFrame([(i, make(40) + common + make(40)) for i in range(n)], "evidence_id long, evidence_text string")
+        for how in ({}, {"hot": 10, "shard_chars": 1000}):
+            assert spans.shared_intervals(df, "evidence_text", 50, **how).select("md5").distinct().count() == n
+            got = spans.shared_share(df, "evidence_id", "evidence_text", 50, **how).collect()
+            assert len(got) == n and all(len(r["spans"]) == 1 and r["shared_chars"] >= 60 for r in got)
