@@ -260,7 +260,7 @@ def _title_lines(text: str) -> Iterator[tuple[str, bool, bool]]:
     that no table has, of any form) stands on the line above or below."""
     lines = [x for x in (line.strip() for line in text.split("\n")) if x]
     for i, line in enumerate(lines):
-        if not (line[:1].isupper() and len(line) <= 250):
+        if not (line[:1].isupper() and len(line) <= 250 and _heading(line.partition("|")[0])):
             continue
         beside = [lines[j] for j in (i - 1, i + 1) if 0 <= j < len(lines)]
         any_ = any(_ONLY_NUMBER.fullmatch(x) for x in beside)
@@ -400,6 +400,7 @@ def _name_line(name: str) -> re.Pattern:
 
 
 _HEADER, _NAMED = Memo(_header_of), Memo(_name_line)
+_LETTERS = frozenset("abcdefghijklmnopqrstuvwxyz")
 _LONGEST_TITLE = 12  # words of a running title that are looked for
 
 
@@ -430,6 +431,10 @@ def _entry(value: str) -> tuple[int, str, str]:
     return int(known), fix, marks
 
 
+def _mixed(word: str) -> bool:
+    return not (word.isalpha() or word.isdigit())
+
+
 class Repair:
     """Repairs texts by a model (mapping of keys to values; see ``page_model``).
 
@@ -443,8 +448,17 @@ class Repair:
         self.words = {k[2:]: _entry(v) for k, v in model.items() if k[:2] == "v:"}
         self.wrong = frozenset(w for w, e in self.words.items() if e[1])
         self.marked = {x: frozenset(w for w, e in self.words.items() if x in e[2]) for x in "abT"}
+        self.mixed = frozenset(filter(_mixed, self.words))
+        self.known: tuple[str, list[str], set[str]] = ("", [], set())
         self.answer({})
 
+    def words_of(self, text: str) -> tuple[list[str], set[str]]:
+        """Words of a text in order, and as a set; those of the last text are kept."""
+        if self.known[0] is not text:
+            w = words(text)
+            self.known = text, w, set(w)
+        return self.known[1:]
+
     def answer(self, given: dict[str, str | None]) -> None:
         """Rows of the model for the next text; null where the model has none."""
         self.given, self.missing = given, set()
@@ -479,8 +493,10 @@ class Repair:
     # ---- page breaks
     def titles(self, text: str) -> tuple[str, ...]:
         """Running titles of the corpus that the text holds, longest first."""
-        w = words(close_letters(text))
-        firsts = self.with_mark("T", set(w))
+        w, here = self.words_of(text)
+        if sum(map(_LETTERS.__contains__, here)) >= 4 and (closed := close_letters(text)) != text:
+            w, here = self.words_of(closed)
+        firsts = self.with_mark("T", here)
         found = set()
         if firsts:
             for i, x in enumerate(w):
@@ -577,14 +593,11 @@ class Repair:
         return not (self.count(self.fixed(a)) and self.count(self.fixed(b)))
 
     def is_torn(self, m: re.Match) -> bool:
-        """Whether two neighbouring words are one: mostly fragments, or the whole fits the words on both sides."""
+        """Whether two words of a pair that the model knows are one: mostly fragments, or the whole fits the words on
+        both sides."""
         a, b = m[1].lower(), m[2].lower()
-        if "a" not in self.entry(a)[2] or "b" not in self.entry(b)[2]:
-            return False
         if self.value(f"t:{a} {b}") is not None:
             return True
-        if self.value(f"x:{a} {b}") is None:
-            return False
         before, after = _kinds(m.string[max(0, m.start() - 80) : m.start()])[-1:], _kinds(m.string[m.end(2) : m.end(2) + 80])[:1]
         beside = [f"k:{x} {a}{b}" for x in before] + [f"k:{a}{b} {x}" for x in after]
         return bool(beside) and all([self.value(x) is not None for x in beside])
@@ -604,26 +617,26 @@ class Repair:
         if not text.isascii() and _LIGATURE.search(text):
             kinds.add("misread")
             text = _LIGATURE.sub(lambda m: {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}[m[0]], text)
-        in_order = words(text)
-        here = set(in_order)
+        in_order, here = self.words_of(text)
         wrong = here & self.wrong
         if not self.complete:
             wrong |= {w for w in here - self.words.keys() if self.entry(w)[1]}
         if wrong:
             kinds.add("misread")
             text = re.sub(r"(?<![^\W_])(?:" + "|".join(map(re.escape, sorted(wrong, key=len, reverse=True))) + r")(?![^\W_])", lambda m: _cased(self.fixed(m[0].lower()), m[0]), text, flags=re.I)
-        if (any(x in here for x in "lio|") or any(not (x.isalpha() or x.isdigit()) for x in here)) and _NUMERIC.search(text):
+        if (any(x in here for x in "lio|") or here & self.mixed or any(map(_mixed, here - self.words.keys()))) and _NUMERIC.search(text):
             kinds.add("misread")
             text = _NUMERIC.sub(lambda m: m[0].translate(_DIGITS), text)
         if wrong:
-            in_order = words(text)
-            here = set(in_order)
+            in_order, here = self.words_of(text)
         firsts = self.with_mark("a", here)
         seconds = self.with_mark("b", here) if firsts else firsts
-        if seconds and any(y in seconds and x in firsts for x, y in zip(in_order, in_order[1:])):
+        pairs = {x for x in zip(in_order, in_order[1:]) if x[1] in seconds and x[0] in firsts} if seconds else ()
+        pairs = {(a, b) for a, b in pairs if self.value(f"t:{a} {b}") is not None or self.value(f"x:{a} {b}") is not None}
+        if pairs:
 
             def glue(m: re.Match) -> str:
-                if self.is_torn(m):
+                if (m[1].lower(), m[2].lower()) in pairs and self.is_torn(m):
                     kinds.add("misread")
                     return m[1]
                 return m[0]
