@@ -6,17 +6,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------- fixed values
-#: Words that the lexical index leaves out.
+#: Words that the lexical index leaves out: the public English list, contractions and their fragments included.
 STOP_WORDS = (
-    "a about above after again against all am an and any are as at be because been before being below between both but by can could did do does "
-    "doing down during each few for from further had has have having he her here hers herself him himself his how i if in into is it its itself "
-    "just me more most my myself no nor not now of off on once only or other our ours ourselves out over own same she should so some such than "
-    "that the their theirs them themselves then there these they this those through to too under until up very was we were what when where which "
-    "while who whom why will with you your yours yourself yourselves"
+    "i me my myself we our ours ourselves you you're you've you'll you'd your yours yourself yourselves he him his himself she she's her hers "
+    "herself it it's its itself they them their theirs themselves what which who whom this that that'll these those am is are was were be been "
+    "being have has had having do does did doing a an the and but if or because as until while of at by for with about against between into "
+    "through during before after above below to from up down in out on off over under again further then once here there when where why how all "
+    "any both each few more most other some such no nor not only own same so than too very s t can will just don don't should should've now d ll "
+    "m o re ve y ain aren aren't couldn couldn't didn didn't doesn doesn't hadn hadn't hasn hasn't haven haven't isn isn't ma mightn mightn't "
+    "mustn mustn't needn needn't shan shan't shouldn shouldn't wasn wasn't weren weren't won won't wouldn wouldn't"
 ).split()
 ASCII_PUNCTUATION = r"""[!"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]"""
-#: Terms whose presence in a title marks back matter.
-APPENDIX_TERMS = ["appendix", "annex", "glossary", "references", "bibliography", "abbreviations", "index", "exhibit", "schedule"]
+#: Terms whose presence in title, heading or the text's beginning marks back matter.
+APPENDIX_TERMS = ["appendix", "annex", "glossary", "assurance report", "limited assurance", "independent auditor", "table of contents", "contents", "index"]
+#: Numbers as written: an amount with its brackets, sign, currency and percent sign.
+NUMBER = r"\(?-?\$?\d[\d,]*(?:\.\d+)?%?\)?"
+#: (part of a document's name, kind of filing), the first that applies.
+FILING_TYPES = [("_10k", "10-K"), ("_10q", "10-Q"), ("_8k", "8-K"), ("earnings", "Earnings Report")]
 # -----------------------------------------------------------------------------
 
 
@@ -61,9 +67,15 @@ def bm25_tokens(text: Column) -> Column:
 
 
 def yes_no(value: Column) -> Column:
-    """``yes`` / ``no``, or null for anything else."""
-    v = F.lower(F.trim(value))
-    return F.when(v.isin("yes", "y", "true", "1", "present"), "yes").when(v.isin("no", "n", "false", "0", "none", "no toc"), "no")
+    """``Present`` / ``No TOC`` for the usual ways of writing yes and no; null is empty, other values stay, trimmed and
+    lower-cased."""
+    v = F.lower(F.trim(F.coalesce(value.cast("string"), F.lit(""))))
+    return F.when(v.isin("yes", "y", "true", "1", "present"), "Present").when(v.isin("no", "n", "false", "0", "absent"), "No TOC").when(v == "nan", "").otherwise(v)
+
+
+def filing_type(doc_name: Column) -> Column:
+    """Kind of filing by the document's name; ``Other`` where no part tells it."""
+    return F.coalesce(category(F.coalesce(doc_name, F.lit("")), FILING_TYPES), F.lit("Other"))
 
 
 def category(value: Column, rules: list[tuple[str, str]], default: str | None = None) -> Column:
@@ -80,9 +92,6 @@ def top_m(field: Column, file_name: Column) -> Column:
     return F.coalesce(field.try_cast("int"), F.nullif(F.regexp_extract(file_name, r"_top_m_(\d+)", 1), F.lit("")).try_cast("int"))
 
 
-NUMBER = r"\(?-?\$?\d[\d,]*(?:\.\d+)?%?\)?"
-
-
 def numbers(text: Column) -> Column:
     """Numbers as written, with brackets and signs, without ``$`` and ``,``; repeats stay."""
     return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(NUMBER), F.lit(0)), lambda x: F.regexp_replace(x, "[$,]", ""))
@@ -118,9 +127,9 @@ def physical_index(value: Column) -> Column:
 
 
 def fenced_json(reply: Column) -> Column:
-    """JSON text inside a reply: fences off, white space squeezed, trailing commas dropped."""
+    """JSON text inside a reply: fences off, ``None`` as ``null``, white space squeezed, trailing commas dropped."""
     body = F.coalesce(F.nullif(F.regexp_extract(reply, r"(?s)```(?:json)?\s*(.*?)```", 1), F.lit("")), reply)
-    return F.regexp_replace(F.trim(F.regexp_replace(body, r"\s+", " ")), r",\s*([\]}])", "$1")
+    return F.regexp_replace(F.trim(F.regexp_replace(F.replace(body, F.lit("None"), F.lit("null")), r"\s+", " ")), r",\s*([\]}])", "$1")
 
 
 def parse_pages(pages: Column) -> Column:
@@ -130,28 +139,69 @@ def parse_pages(pages: Column) -> Column:
     return F.when(good, F.array_sort(F.array_distinct(F.flatten(F.transform(parts, lambda p: F.sequence(p["a"], p["b"]))))))
 
 
-def is_intro(title: Column, heading: Column, flag: Column) -> Column:
-    """Marked as introduction, or named so."""
-    named = lambda c: F.lower(F.trim(F.coalesce(c, F.lit("")))).rlike(r"^introduction\b| introduction")
-    return F.coalesce(flag, F.lit(False)) | named(title) | named(heading)
+def is_intro(title: Column, chunk_id: Column, node_id: Column, flag: Column) -> Column:
+    """Marked as introduction, or an id with ``intro`` in it, or a title with ``introduction`` as a later word."""
+    holds = lambda c, part: F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(part))
+    return F.coalesce(flag, F.lit(False)) | holds(chunk_id, "intro") | holds(node_id, "intro") | holds(title, " introduction")
 
 
 def is_appendix(title: Column, heading: Column, text: Column) -> Column:
-    """A back-matter term anywhere in title, heading and the first 500 characters of the text."""
-    return F.lower(F.concat_ws(" ", title, heading, F.left(F.coalesce(text, F.lit("")), F.lit(500)))).rlike("|".join(APPENDIX_TERMS))
+    """A back-matter term anywhere in the words of title, heading and the first 500 characters of the text."""
+    key = lambda c: word_key(F.coalesce(c, F.lit("")))
+    return F.concat_ws(" ", key(title), key(heading), key(F.left(text, F.lit(500)))).rlike("|".join(APPENDIX_TERMS))
+
+
+def filled_lines(text: Column) -> Column:
+    """Lines without outer blanks, empty ones left out."""
+    trimmed = F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    return F.filter(trimmed, lambda x: x != "")
 
 
 def table_ratio(text: Column) -> Column:
-    """Of the first 80 lines that aren't blank: shares with a digit, with wide gaps, with a percent sign."""
-    lines = F.slice(F.filter(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), lambda x: F.trim(x) != ""), 1, 80)
+    """Of the first 80 lines that aren't blank: shares with a digit, with a gap of three blanks, with a percent sign."""
+    lines = F.slice(filled_lines(text), 1, 80)
     share = lambda pattern: F.when(F.size(lines) > 0, F.size(F.filter(lines, lambda x: x.rlike(pattern))) / F.size(lines)).otherwise(0.0)
-    return F.struct(share(r"\d").alias("numeric"), share(r"\S {2,}\S|\t").alias("wide"), share("%").alias("percent"))
+    return F.struct(share(r"\d").alias("numeric"), share(r"\s{3,}").alias("wide"), share("%").alias("percent"))
+
 
+def named_table(title: Column, heading: Column) -> Column:
+    """``table`` or ``template`` as a word of title or heading."""
+    found = F.array(F.lit("table"), F.lit("template"))
+    return F.arrays_overlap(F.split(F.concat_ws(" ", word_key(F.coalesce(title, F.lit(""))), word_key(F.coalesce(heading, F.lit("")))), " "), found)
 
-def is_table_like(text: Column) -> Column:
-    """Mostly lines with digits, and wide gaps or percent signs in many."""
+
+def is_table_like(title: Column, heading: Column, text: Column) -> Column:
+    """Named a table or template, or mostly lines with digits, and wide gaps or percent signs in many."""
     r = table_ratio(text)
-    return (r["numeric"] > 0.65) & ((r["wide"] > 0.25) | (r["percent"] > 0.20))
+    return named_table(title, heading) | (r["numeric"] > 0.65) & ((r["wide"] > 0.25) | (r["percent"] > 0.20))
+
+
+def table_score(text: Column) -> Column:
+    """Share of the lines that aren't blank with a sign of a table: a header of single letters, four dashes or more that
+    stand alone, eight digits, three percent signs, a wide gap beside two digits or a percent sign, or a row
+    number before three digits in 25 words or fewer; 0 without lines."""
+
+    def sign(x: Column) -> Column:
+        digits, percents = F.regexp_count(x, F.lit(r"\d")), F.regexp_count(x, F.lit("%"))
+        header = x.rlike(r"(?i)^(?:[a-z]{1,2}\s+){5,}[a-z]{1,2}$")
+        dashes = F.regexp_count(x, F.lit(r"(?<![\p{L}\p{N}_])-(?![\p{L}\p{N}_])")) >= 4
+        gap = x.rlike(r"\S\s{3,}\S") & ((digits >= 2) | (percents >= 1))
+        row = x.rlike(r"^\d{1,3}\s") & (digits >= 3) & (F.regexp_count(x, F.lit(r"\S+")) <= 25)
+        return header | dashes | (digits >= 8) | (percents >= 3) | gap | row
+
+    lines = filled_lines(text)
+    return F.when(F.size(lines) > 0, F.size(F.filter(lines, sign)) / F.size(lines)).otherwise(0.0)
+
+
+def is_large_table(title: Column, heading: Column, text: Column, tokens: Column) -> Column:
+    """Named a table, or long with many table lines: over 1500 tokens and a score over .18, over 3000 and .12."""
+    score = table_score(text)
+    return named_table(title, heading) | F.coalesce((tokens > 1500) & (score > 0.18) | (tokens > 3000) & (score > 0.12), F.lit(False))
+
+
+def distinct_in_order(values: Column) -> Column:
+    """Distinct entries of an array in order of first appearance, without nulls and empty strings."""
+    return F.array_distinct(F.filter(values, lambda x: x.isNotNull() & (x != "")))
 
 
 def is_nearly_blank(text: Column, least: int = 30) -> Column:

@@ -1,8 +1,4 @@
-"""Query blocks against row blocks: exact top-k where every query meets every row.
-
-Both sides are packed into rows of a bounded number of items; each pair of blocks is one unit of work, keeps
-its own best k for each query and sends only those on. Nothing is broadcast; neither side has to fit anywhere.
-"""
+"""The best rows of each query."""
 
 from __future__ import annotations
 
@@ -11,21 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def packed(df: DataFrame, key: str, columns: list[str], per_block: int, name: str, rows: int | None = None) -> DataFrame:
-    """``block_<name>, <name>``: arrays of about ``per_block`` structs; the block of a row is a hash of its key."""
-    n = df.count() if rows is None else rows
-    blocks = max(1, -(-n // per_block))
-    block = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias(f"block_{name}")
-    return df.groupBy(block).agg(F.collect_list(F.struct(*columns)).alias(name))
-
-
-def block_pairs(queries: DataFrame, rows: DataFrame, parallelism: int | None = None) -> DataFrame:
-    """Every pair of a query block and a row block, spread over the cluster."""
-    pairs = queries.crossJoin(rows)
-    n = parallelism or max(8, queries.sparkSession.sparkContext.defaultParallelism * 2)
-    return pairs.repartition(n, *(c for c in pairs.columns if c.startswith("block_")))
-
-
 def best_k(df: DataFrame, query: str, score: Column, k: int, *ties: Column) -> DataFrame:
     """``rank`` from 1 and the k best rows of each query, ties by the given order."""
     w = Window.partitionBy(query).orderBy(score.desc(), *ties)

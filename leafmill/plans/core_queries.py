@@ -56,17 +56,29 @@ def sc_numbers(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "pf_predicates",
-    rf"""WITH {CURRENT_SQL}, l AS (SELECT *, list_filter(regexp_split_to_array(coalesce(text, ''), '\r?\n'), lambda x: trim(x) <> '')[1:80] AS ls FROM cur),
-r AS (SELECT *, len(list_filter(ls, lambda x: regexp_matches(x, '\d'))) / nullif(len(ls), 0) AS a, len(list_filter(ls, lambda x: regexp_matches(x, '\S {{2,}}\S|\t'))) / nullif(len(ls), 0) AS b, len(list_filter(ls, lambda x: contains(x, '%'))) / nullif(len(ls), 0) AS c FROM l)
+    rf"""WITH {CURRENT_SQL}, k AS (SELECT *, trim(regexp_replace(lower(coalesce(title, '')), '[^a-z0-9]+', ' ', 'g')) AS tk, trim(regexp_replace(lower(coalesce(heading, '')), '[^a-z0-9]+', ' ', 'g')) AS hk, trim(regexp_replace(lower(left(coalesce(text, ''), 500)), '[^a-z0-9]+', ' ', 'g')) AS xk,
+  list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\r?\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ls FROM cur),
+l AS (SELECT *, ls[1:80] AS l80, len(list_filter(ls, lambda x: regexp_matches(x, '(?i)^(?:[a-z]{{1,2}}\s+){{5,}}[a-z]{{1,2}}$')
+    OR len(regexp_extract_all(x, '\d')) >= 8 OR len(regexp_extract_all(x, '%')) >= 3 OR (regexp_matches(x, '\S\s{{3,}}\S') AND (len(regexp_extract_all(x, '\d')) >= 2 OR contains(x, '%')))
+    OR (regexp_matches(x, '^\d{{1,3}}\s') AND len(regexp_extract_all(x, '\d')) >= 3 AND len(regexp_extract_all(x, '\S+')) <= 25)
+    OR list_sum(list_transform(range(1, length(x) + 1), lambda i: CASE WHEN x[i] = '-' AND NOT regexp_matches(coalesce(nullif(x[i - 1], ''), ' '), '[\p{{L}}\p{{N}}_]') AND NOT regexp_matches(coalesce(nullif(x[i + 1], ''), ' '), '[\p{{L}}\p{{N}}_]') THEN 1 ELSE 0 END)) >= 4)) / nullif(len(ls), 0) AS score FROM k),
+r AS (SELECT *, len(list_filter(l80, lambda x: regexp_matches(x, '\d'))) / nullif(len(l80), 0) AS a, len(list_filter(l80, lambda x: regexp_matches(x, '\s{{3,}}'))) / nullif(len(l80), 0) AS b, len(list_filter(l80, lambda x: contains(x, '%'))) / nullif(len(l80), 0) AS c,
+  list_has_any(string_split(tk || ' ' || hk, ' '), ['table', 'template']) AS named FROM l)
 SELECT chunk_id,
-  coalesce(is_intro_node, false) OR regexp_matches(lower(trim(coalesce(title, ''))), '^introduction\b| introduction') OR regexp_matches(lower(trim(coalesce(heading, ''))), '^introduction\b| introduction') AS is_intro,
-  regexp_matches(lower(concat_ws(' ', title, heading, left(coalesce(text, ''), 500))), '{"|".join(text.APPENDIX_TERMS)}') AS is_appendix,
-  coalesce(a, 0) > 0.65 AND (coalesce(b, 0) > 0.25 OR coalesce(c, 0) > 0.20) AS is_table,
-  length(trim(regexp_replace(coalesce(text, ''), '[\d\s.\-–—]', '', 'g'))) < 30 AS is_blank FROM r""",
+  coalesce(is_intro_node, false) OR contains(lower(chunk_id), 'intro') OR contains(lower(coalesce(node_id, '')), 'intro') OR contains(lower(coalesce(title, '')), ' introduction') AS is_intro,
+  regexp_matches(concat_ws(' ', tk, hk, xk), 'appendix|annex|glossary|assurance report|limited assurance|independent auditor|table of contents|contents|index') AS is_appendix,
+  named OR (coalesce(a, 0) > 0.65 AND (coalesce(b, 0) > 0.25 OR coalesce(c, 0) > 0.20)) AS is_table,
+  length(trim(regexp_replace(coalesce(text, ''), '[\d\s.\-–—]', '', 'g'))) < 30 AS is_blank,
+  round(coalesce(score, 0), 6) AS table_score,
+  named OR coalesce((token_count > 1500 AND coalesce(score, 0) > 0.18) OR (token_count > 3000 AND coalesce(score, 0) > 0.12), false) AS is_large_table FROM r""",
 )
 def pf_predicates(spark: SparkSession, d: str) -> DataFrame:
     c = current_chunks(spark, d)
-    return c.select("chunk_id", text.is_intro(F.col("title"), F.col("heading"), F.col("is_intro_node")).alias("is_intro"), text.is_appendix(F.col("title"), F.col("heading"), F.col("text")).alias("is_appendix"), text.is_table_like(F.col("text")).alias("is_table"), text.is_nearly_blank(F.col("text")).alias("is_blank"))
+    title, heading, body = F.col("title"), F.col("heading"), F.col("text")
+    return c.select(
+        "chunk_id", text.is_intro(title, F.col("chunk_id"), F.col("node_id"), F.col("is_intro_node")).alias("is_intro"), text.is_appendix(title, heading, body).alias("is_appendix"), text.is_table_like(title, heading, body).alias("is_table"),
+        text.is_nearly_blank(body).alias("is_blank"), F.round(text.table_score(body), 6).alias("table_score"), text.is_large_table(title, heading, body, F.col("token_count")).alias("is_large_table"),
+    )
 
 
 @query("pf_canonical", f"WITH {CURRENT_SQL} SELECT chunk_id FROM cur WHERE NOT coalesce(is_duplicate_chunk, false)")
@@ -192,11 +204,22 @@ def te_sibling_issues(spark: SparkSession, d: str) -> DataFrame:
 
 
 # -------------------------------------------------------------------------------------------- retrieval
+#: The English stop words as SQL has them, spelled out anew: what is compared shares no constant with the engine.
+ENGLISH_SQL = (
+    "i me my myself we our ours ourselves you you''re you''ve you''ll you''d your yours yourself yourselves he him his himself she "
+    "she''s her hers herself it it''s its itself they them their theirs themselves what which who whom this that that''ll these those "
+    "am is are was were be been being have has had having do does did doing a an the and but if or because as until while of at by for "
+    "with about against between into through during before after above below to from up down in out on off over under again further "
+    "then once here there when where why how all any both each few more most other some such no nor not only own same so than too very "
+    "s t can will just don don''t should should''ve now d ll m o re ve y ain aren aren''t couldn couldn''t didn didn''t doesn doesn''t "
+    "hadn hadn''t hasn hasn''t haven haven''t isn isn''t ma mightn mightn''t mustn mustn''t needn needn''t shan shan''t shouldn "
+    "shouldn''t wasn wasn''t weren weren''t won won''t wouldn wouldn''t "
+).strip()
 BM25_SQL = rf"""
 WITH d AS (SELECT chunk_id AS id, coalesce(text, '') AS t FROM (SELECT * FROM chunks QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY ingested_at DESC NULLS FIRST) = 1) WHERE NOT coalesce(is_duplicate_chunk, false)),
 q AS (SELECT DISTINCT query_id, coalesce(query, '') AS t FROM queries),
 tok AS (SELECT 'd' AS k, id, t FROM d UNION ALL SELECT 'q', query_id, t FROM q),
-ws AS (SELECT k, id, list_filter(string_split(trim(regexp_replace(regexp_replace(lower(t), '{text.ASCII_PUNCTUATION.replace("'", "''")}', '', 'g'), '\s+', ' ', 'g')), ' '), lambda x: x <> '' AND NOT list_contains([{", ".join("'" + w + "'" for w in text.STOP_WORDS)}], x)) AS w FROM tok),
+ws AS (SELECT k, id, list_filter(string_split(trim(regexp_replace(regexp_replace(lower(t), '[!"#$%&''()*+,\-./:;<=>?@\[\\\]^_`{{|}}~]', '', 'g'), '\s+', ' ', 'g')), ' '), lambda x: x <> '' AND NOT list_contains(string_split('{ENGLISH_SQL}', ' '), x)) AS w FROM tok),
 st AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM ws WHERE k = 'd'),
 p AS (SELECT id, len(w) AS dl, unnest(w) AS term FROM ws WHERE k = 'd'), tf AS (SELECT id, dl, term, count(*) AS tf FROM p GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), raw AS (SELECT term, ln((n - df + 0.5) / (df + 0.5)) AS r FROM df, st),
@@ -254,28 +277,38 @@ def rt_dense(spark: SparkSession, d: str) -> DataFrame:
     return out.select("query_id", F.col("rank").cast("long").alias("rank"), "id", F.round("score", 6).alias("score"))
 
 
-def _beam_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    nodes = materialise(tree_nodes(spark, d))
-    tops = nodes.groupBy("doc_id").agg(F.first("doc_description").alias("s")).select("doc_id", F.lit("root").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.lit(-1).alias("ord"), F.lit(None).cast("string").alias("chunk_id"), text.joined_text(F.translate("doc_id", "_-", "  "), F.col("s")).alias("text"))
-    own = nodes.select("doc_id", "node_id", F.coalesce("parent_id", F.lit("root")).alias("parent_id"), "ord", "chunk_id", text.joined_text(F.col("title"), F.col("summary")).alias("text"))
-    both = own.unionByName(tops).withColumn("key", F.concat_ws("\x01", "doc_id", "node_id"))
-    vectors = providers.hashed_vectors(both, "key", "text", 256)
-    asked = table(spark, d, "queries").select("query_id", "query").distinct()
-    return materialise(both.join(vectors, "key").drop("key", "text")), materialise(providers.hashed_vectors(asked, "query_id", "query", 256))
+_INDEXES: dict[tuple[str, str], DataFrame] = {}
+
+
+def section_index(spark: SparkSession, d: str) -> DataFrame:
+    """The beam's index over the trees of a data folder, written once for each session."""
+    held = spark.sparkContext.applicationId, d
+    if held not in _INDEXES:
+        nodes = materialise(tree_nodes(spark, d))
+        tops = nodes.groupBy("doc_id").agg(F.first("doc_description").alias("s")).select("doc_id", F.lit("root").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.lit(-1).alias("ord"), F.lit(None).cast("string").alias("chunk_id"), text.joined_text(F.translate("doc_id", "_-", "  "), F.col("s")).alias("text"))
+        own = nodes.select("doc_id", "node_id", F.coalesce("parent_id", F.lit("root")).alias("parent_id"), "ord", "chunk_id", text.joined_text(F.col("title"), F.col("summary")).alias("text"))
+        both = own.unionByName(tops).withColumn("key", F.concat_ws("\x01", "doc_id", "node_id"))
+        vectors = providers.hashed_vectors(both, "key", "text", 256)
+        _INDEXES[held] = materialise(retrieval.beam_index(both.join(vectors, "key").drop("key", "text")))
+    return _INDEXES[held]
+
+
+def _asked_vectors(spark: SparkSession, d: str) -> DataFrame:
+    return materialise(providers.hashed_vectors(table(spark, d, "queries").select("query_id", "query").distinct(), "query_id", "query", 256))
 
 
 @query("rt_beam")
 def rt_beam(spark: SparkSession, d: str) -> DataFrame:
     """Hierarchical beam over section trees with hashed word vectors."""
-    nodes, asked = _beam_inputs(spark, d)
-    return retrieval.beam(nodes, asked)
+    return retrieval.beam_search(section_index(spark, d), _asked_vectors(spark, d))
 
 
 @query("rt_beam_rerank")
 def rt_beam_rerank(spark: SparkSession, d: str) -> DataFrame:
-    nodes, asked = _beam_inputs(spark, d)
+    """All candidates of the beam, ordered anew by the texts of their chunks."""
+    asked = _asked_vectors(spark, d)
     chunks = current_chunks(spark, d).select("chunk_id", text.joined_text(F.col("title"), F.col("heading"), F.col("text")).alias("t"))
-    found = materialise(retrieval.beam(nodes, asked, k=50))
+    found = materialise(retrieval.beam_search(section_index(spark, d), asked, k=None))
     wanted = chunks.join(found.select("chunk_id").distinct(), "chunk_id", "left_semi")
     return retrieval.rerank(found, asked, providers.hashed_vectors(wanted, "chunk_id", "t", 256))
 

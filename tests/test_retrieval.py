@@ -28,12 +28,15 @@ def brute_bm25(docs, queries, k, k1=1.2, b=0.75):
     return out
 
 
-@pytest.mark.parametrize("block", [2, 100])
-def test_bm25_is_brute_force(spark, block):
-    rng = random.Random(block)
+@pytest.mark.parametrize("how", [{}, {"sent_terms": 0, "split": 3}, {"sent_terms": 0, "query_block": 1}])
+def test_bm25_is_brute_force(spark, how):
+    rng = random.Random(2)
+    wide = how.get("split")
     docs = [(f"d{i:02d}", " ".join(rng.choice(STOP_FREE) for _ in range(rng.randint(1, 8)))) for i in range(25)] + [("d90", None), ("d91", ""), ("d92", "alpha alpha"), ("d93", "alpha alpha")]
+    if wide:  # rare terms make the mean idf positive
+        docs += [(f"r{i}", f"rare{i} other{i}") for i in range(30)]
     queries = [("q1", "alpha alpha beta"), ("q2", "nothing"), ("q3", None), ("q4", "zeta")]
-    got = retrieval.bm25(spark.createDataFrame(docs, "id string, text string"), spark.createDataFrame(queries, "query_id string, query string"), 3, query_block=block, row_block=block * 3)
+    got = retrieval.bm25(spark.createDataFrame(docs, "id string, text string"), spark.createDataFrame(queries, "query_id string, query string"), 3, **how)
     assert {(r["query_id"], r["rank"], r["id"]) for r in got.collect()} == brute_bm25(docs, queries, 3)
 
 
@@ -49,7 +52,7 @@ def test_dense_is_brute_force(spark, block):
     v[5] = v[6]
     rows = [(i, [float(x) for x in v[i]]) for i in range(40)] + [(90, None)]
     df = spark.createDataFrame(rows, "id long, vector array<double>")
-    got = retrieval.dense_top_k(df, df.where("id % 10 = 0").withColumnRenamed("id", "query_id"), 4, query_block=block, row_block=block * 2)
+    got = retrieval.dense_top_k(df, df.where("id % 10 = 0").withColumnRenamed("id", "query_id"), 4, query_block=block)
     u = v / np.linalg.norm(v, axis=1)[:, None]
     s = np.round(u @ u.T, 9)
     want = {(q, r, i) for q in range(0, 40, 10) for r, i in enumerate(sorted(range(40), key=lambda i: (-s[q, i], i))[:4], 1)}

@@ -5,8 +5,8 @@ from leafmill.functions import text
 from leafmill.functions.words import token_count, word_array, words
 
 
-def one(spark, value, f):
-    return spark.createDataFrame([(value,)], "x string").select(f(F.col("x")).alias("y")).first()["y"]
+def one(spark, value, f, kind="string"):
+    return spark.createDataFrame([(value,)], f"x {kind}").select(f(F.col("x")).alias("y")).first()["y"]
 
 
 @pytest.mark.parametrize("value, want", [("  1.2 Ofﬁce Space!", "12officespace"), (None, None), ("", ""), ("é", "")])
@@ -43,15 +43,19 @@ def test_pages(spark):
 def test_replies(spark):
     assert one(spark, '```json\n{"a": [1,\n2,],}\n```', text.fenced_json) == '{"a": [1, 2]}'
     assert one(spark, "<physical_index_12>", text.physical_index) == 12 and one(spark, "page", text.physical_index) is None
-    assert one(spark, " Yes ", text.yes_no) == "yes" and one(spark, "maybe", text.yes_no) is None
+    assert [one(spark, x, text.yes_no) for x in (" Yes ", "absent", "Maybe ", None)] == ["Present", "No TOC", "maybe", ""]
 
 
 def test_predicates(spark):
-    table = "\n".join("Row  %d   12%%   3" % i for i in range(5))
-    assert one(spark, table, text.is_table_like) is True and one(spark, "Plain text.", text.is_table_like) is False
+    table = "\n".join("Row   %d   12%%   3" % i for i in range(5))
+    plain = lambda t, title=None: spark.createDataFrame([(title, None, t)], "t string, h string, x string").select(text.is_table_like(F.col("t"), F.col("h"), F.col("x"))).first()[0]
+    assert plain(table) is True and plain("Plain text.") is False and plain("Plain text.", "EU KM1 – Template") is True and plain(None) is False
     assert one(spark, "- 12 -", text.is_nearly_blank) is True and one(spark, "x" * 40, text.is_nearly_blank) is False
-    df = spark.createDataFrame([("Introduction", None, None), ("An introduction", "", False), ("Risk", None, True), ("Risk", "x", None)], "t string, h string, f boolean")
-    assert [r[0] for r in df.select(text.is_intro(F.col("t"), F.col("h"), F.col("f"))).collect()] == [True, True, True, False]
+    df = spark.createDataFrame([("Introduction", "c1", None, None), ("An introduction", "", "", False), ("Risk", None, None, True), ("Risk", "x_intro", "n", None), (None, None, None, None)], "t string, c string, n string, f boolean")
+    assert [r[0] for r in df.select(text.is_intro(F.col("t"), F.col("c"), F.col("n"), F.col("f"))).collect()] == [False, True, True, True, False]
+    lines = "a b c d e f g\n- - - -\n12 345 rows of it\nplain line\n12%   3\n\n1,234,567,890"
+    assert round(one(spark, lines, text.table_score), 6) == round(5 / 6, 6) and one(spark, None, text.table_score) == 0.0
+    assert one(spark, ["b", "", None, "a", "b"], text.distinct_in_order, "array<string>") == ["b", "a"]
 
 
 def test_context_and_times(spark):
