@@ -302,9 +302,9 @@ def page_model(records: DataFrame, fields: list[str], min_count: int = 5) -> Dat
     """``key, value, n``: everything that the repair of a text looks up, and how often the corpus has it. Keys:
 
     ``v:`` word: its count if it is known, what it stands for if it is misread, and its marks, between bars. Marks:
-    ``n`` / ``m`` numbers are usual after / before it, ``a`` / ``b`` it is the first / second word of a ``t:`` or
-    ``x:`` pair, ``T`` it begins a running title. ``c:`` compound and its count; ``t:`` torn pair; ``x:`` pair
-    of words that is 50 times rarer than the whole, and torn where ``k:`` holds the whole with the word before and
+    ``n`` / ``m`` numbers are usual after / before it, ``f`` it is mostly a fragment, ``a`` / ``b`` it is the first /
+    second word of an ``x:`` pair, ``T`` it begins a running title. ``c:`` compound and its count; ``t:`` torn pair, one
+    word of which is mostly a fragment; ``x:`` pair of words that is 50 times rarer than the whole, and torn where ``k:`` holds the whole with the word before and
     the one after; ``h:`` running title. Every word with ``min_count`` occurrences has a row.
     """
     counts = materialise(corpus_counts(records, fields))
@@ -321,14 +321,15 @@ def page_model(records: DataFrame, fields: list[str], min_count: int = 5) -> Dat
     known = single.where(F.col("n") >= min_count).join(fixes.select(F.col("t").alias("w")), "w", "left_anti").join(parts.where("f >= 0.5"), "w", "left_anti")
     none, zero = F.lit(None).cast("string"), F.lit(0).cast("long")
     mark = lambda df, word, flag: df.select(F.col(word).alias("w"), zero.alias("n"), none.alias("fix"), F.lit(flag).alias("mark"))
-    both = torn.select("a", "b").union(loose.select("a", "b"))
     facts = [
         known.select("w", "n", none, F.lit("")),
         fixes.select(F.col("t"), zero, F.col("w"), F.lit("")),
         mark(counts.where("b = '#' AND a <> '#'").join(uni.select("a", F.col("n").alias("all")), "a").where("n >= 0.02 * all"), "a", "n"),
         mark(counts.where("a = '#' AND b <> '#'").join(uni.select(F.col("a").alias("b"), F.col("n").alias("all")), "b").where("n >= 0.02 * all"), "b", "m"),
-        mark(both, "a", "a"),
-        mark(both, "b", "b"),
+        mark(torn.where("fa >= 0.5"), "a", "f"),
+        mark(torn.where("fb >= 0.5"), "b", "f"),
+        mark(loose, "a", "a"),
+        mark(loose, "b", "b"),
         mark(titles.select(F.substring_index("title", " ", 1).alias("w")), "w", "T"),
     ]
     word = facts[0].toDF("w", "n", "fix", "mark")
@@ -383,15 +384,16 @@ def _spaced_form(title: str) -> str:
     return r"[ ]{1,6}(?:[-–/&.,][ ]{1,6})?".join(r"[ ]".join(re.escape(c) for c in w) for w in title.split())
 
 
-def _header_of(key: tuple[str, tuple[str, ...]]) -> re.Pattern:
-    """Running lines of a document: its company's name and the titles, alone or together, in plain or spaced letters."""
-    name, titles = key
-    plain = _plain_form(name)
-    some = "|".join(map(_plain_form, titles)) or r"(?!)"
-    report, spaced_report = rf"(?:{some})(?:\s+\d{{4}})?", rf"(?:{'|'.join(map(_spaced_form, titles)) or '(?!)'})(?:[ ]{{2,6}}\d[ ]\d[ ]\d[ ]\d)?"
-    line = rf"(?:{plain}(?:\s+and\s+Subsidiaries|\s*[·|]?\s*{report})?|{report}(?:[ \t]*\|[ \t]*{plain})?)(?:[ \t]*\|[^\n]{{1,120}}$)?"
-    wide = rf"(?:{_spaced_form(name)}(?:[ ]{{2,6}}{_spaced_form('and Subsidiaries')}|[ ]{{2,8}}(?:[·|][ ]{{2,6}})?{spaced_report})?|{spaced_report}(?:[ ]{{2,6}}\|[ ]{{2,6}}{_spaced_form(name)})?)"
-    return re.compile(rf"(?<!\w)(?:{wide}|{line})(?!\w)", re.I | re.M)
+def _name_form(name: str) -> re.Pattern:
+    """A company's name in plain or spaced letters."""
+    spaced = rf"{_spaced_form(name)}(?:[ ]{{2,6}}{_spaced_form('and Subsidiaries')})?"
+    return re.compile(rf"(?<!\w)(?:{spaced}|{_plain_form(name)}(?:\s+and\s+Subsidiaries)?)(?!\w)", re.I)
+
+
+def _title_form(titles: tuple[str, ...]) -> re.Pattern:
+    """Any of the titles in plain or spaced letters, with a year."""
+    plain, spaced = "|".join(map(_plain_form, titles)), "|".join(map(_spaced_form, titles))
+    return re.compile(rf"(?<!\w)(?:(?:{spaced})(?:[ ]{{2,6}}\d[ ]\d[ ]\d[ ]\d)?|(?:{plain})(?:\s+\d{{4}})?)(?!\w)", re.I)
 
 
 def _name_line(name: str) -> re.Pattern:
@@ -399,7 +401,22 @@ def _name_line(name: str) -> re.Pattern:
     return re.compile(rf"^[ \t]*{_plain_form(name)}(?:[ \t]+(?:[A-Z][\w&-]*|\d{{4}}|on|of|and|the|for|to|in))+[ \t]*$", re.M)
 
 
-_HEADER, _NAMED = Memo(_header_of), Memo(_name_line)
+_NAMES, _TITLES, _NAMED = Memo(_name_form), Memo(_title_form), Memo(_name_line)
+_BETWEEN, _REST = re.compile(r"[ \t]{0,8}(?:[·|][ \t]{0,8})?"), re.compile(r"[ \t]*\|[^\n]{1,120}$", re.M)
+
+
+def running_lines(text: str, name: str, titles: tuple[str, ...]) -> list[tuple[int, int]]:
+    """Where the company's name and the titles stand, alone or together, with what follows them after a bar."""
+    at = [m.span() for m in _NAMES[name].finditer(text) if not m[0].islower()] if name else []
+    if titles:
+        at += [m.span() for m in _TITLES[titles].finditer(text) if not m[0].islower()]
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(at):
+        if out and (a <= out[-1][1] or _BETWEEN.fullmatch(text, out[-1][1], a)):
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return [(a, m.end() if (m := _REST.match(text, b)) else b) for a, b in out]
 _LETTERS = frozenset("abcdefghijklmnopqrstuvwxyz")
 _LONGEST_TITLE = 12  # words of a running title that are looked for
 
@@ -447,7 +464,10 @@ class Repair:
         self.rest = {k: v for k, v in model.items() if k[:2] != "v:"}
         self.words = {k[2:]: _entry(v) for k, v in model.items() if k[:2] == "v:"}
         self.wrong = frozenset(w for w, e in self.words.items() if e[1])
-        self.marked = {x: frozenset(w for w, e in self.words.items() if x in e[2]) for x in "abT"}
+        self.marked = {x: frozenset(w for w, e in self.words.items() if x in e[2]) for x in "fabT"}
+        self.loose: dict[str, set[str]] = {}
+        for a, b in (k[2:].split(" ") for k in self.rest if k[:2] == "x:"):
+            self.loose.setdefault(a, set()).add(b)
         self.mixed = frozenset(filter(_mixed, self.words))
         self.known: tuple[str, list[str], set[str]] = ("", [], set())
         self.answer({})
@@ -511,10 +531,11 @@ class Repair:
         """The text without running headers and page numbers, and which of them it held."""
         kinds, cuts = set(), []
         name, low = _COMPANY[doc_name or ""], text.lower()
-        titles = self.titles(text)
+        own = " ".join(words(name))
+        titles = tuple(t for t in self.titles(text) if t not in (own, own + " and subsidiaries"))
         named = bool(name) and (name.lower() in low or " ".join(name.lower().split(" ")[0]) in low)
         if named or titles:
-            at = [m.span() for m in _HEADER[name or "\0", titles].finditer(text) if not m[0].islower()]
+            at = running_lines(text, name if named else "", titles)
             if named and "\n" in text:
                 at += [m.span() for m in _NAMED[name].finditer(text) if _AFTER.match(text, m.end()) or _BEFORE.search(text, max(0, m.start() - 24), m.start())]
             for a, b in sorted(at):
@@ -629,9 +650,15 @@ class Repair:
             text = _NUMERIC.sub(lambda m: m[0].translate(_DIGITS), text)
         if wrong:
             in_order, here = self.words_of(text)
-        firsts = self.with_mark("a", here)
-        seconds = self.with_mark("b", here) if firsts else firsts
-        pairs = {x for x in zip(in_order, in_order[1:]) if x[1] in seconds and x[0] in firsts} if seconds else ()
+        pairs: set[tuple[str, str]] = set()
+        if parts := self.with_mark("f", here):
+            pairs.update((x, y) for x, y in zip(in_order, in_order[1:]) if x in parts or y in parts)
+        if (firsts := self.with_mark("a", here)) and (seconds := self.with_mark("b", here)):
+            if self.complete:
+                low = text.lower()
+                pairs.update((x, y) for x in firsts for y in self.loose[x] & seconds if f"{x} {y}" in low)
+            else:
+                pairs.update((x, y) for x, y in zip(in_order, in_order[1:]) if x in firsts and y in seconds)
         pairs = {(a, b) for a, b in pairs if self.value(f"t:{a} {b}") is not None or self.value(f"x:{a} {b}") is not None}
         if pairs:
 

@@ -125,7 +125,7 @@ def test_twice_misread_and_torn_into_common_words(spark):
 
 
 def test_joined_model_follows_its_answers(spark):
-    model = {"v:measurement": "50||", "c:mea-surernent": "2", "v:measurernent": "0|measurement|", "v:fiscai": "0|fiscal|", "v:fiscal": "50||", "t:sett lement": "", "v:sett": "0||a", "v:lement": "0||b", "v:shareholder": "20||", "v:outcome": "30||", "v:outcorne": "0|outcome|"}
+    model = {"v:measurement": "50||", "c:mea-surernent": "2", "v:measurernent": "0|measurement|", "v:fiscai": "0|fiscal|", "v:fiscal": "50||", "t:sett lement": "", "v:sett": "0||f", "v:lement": "0||f", "v:shareholder": "20||", "v:outcome": "30||", "v:outcorne": "0|outcome|"}
     rows = [("a", "The mea-\nsurernent rose."), ("b", "The ﬁscai reserve rose."), ("c", "The long reserve of the plan and the sett\n\n- 17 -\n\nlement rose."), ("d", "Each share-\nF-12\nholder votes the share."), ("e", "The out-\ncorne was")]
     df = spark.createDataFrame([(k, None, t) for k, t in rows], "chunk_id string, doc_name string, text string")
     known = spark.createDataFrame([(k, v, 1) for k, v in model.items()], "key string, value string, n long")
