@@ -16,12 +16,20 @@ from leafmill.operators import trees
 from leafmill.session import materialise
 
 # ---------------------------------------------------------------- fixed values
-EXACT, PREFIX, INSIDE = 100, 75, 20
-LONG_REST, LONG_LINE, SENTENCE_END = 50, 40, 15
+#: Score of a line that is the title, begins with it, holds it; of a title glued to other text.
+EXACT, PREFIX, INSIDE, GLUED = 100, 75, 20, 35
+#: What a line loses for more than 8 words after the title, for a long rest, for its length, for a sentence's end.
+MANY_WORDS, LONG_REST, LONG_LINE, SENTENCE_END = 50, 50, 40, 15
+#: Title before its phrase, within the window: 90 less a twentieth of the distance, 20 at least; beyond it 50 less.
+#: After it, within 250 characters: 30 less a twentieth, 5 at least; beyond them 40 less.
 BEFORE_PHRASE, AFTER_PHRASE = 1500, 250
+NEAR_BEFORE, FADE_BEFORE, FAR_BEFORE, NEAR_AFTER, FADE_AFTER, FAR_AFTER = 90, 70, 50, 30, 25, 40
 LEAST_HEADING, LEAST_TITLE = 75, 45
 # -----------------------------------------------------------------------------
 
+_NUMBERING = re.compile(r"^\s*\d+(?:\.\d+)*\.?\s*")
+_WORD = re.compile(r"[A-Za-z0-9]+")
+
 
 def keyed(text: str) -> tuple[str, list[int]]:
     """Letters and digits of a text, lower-cased, and the place of each in it."""
@@ -34,23 +42,54 @@ def keyed(text: str) -> tuple[str, list[int]]:
     return "".join(out), at
 
 
+def _key(text: str) -> str:
+    return "".join(_WORD.findall(text.lower().replace("ﬁ", "fi").replace("ﬂ", "fl")))
+
+
+def _held_as_words(line: str, title: str) -> bool:
+    """Whether the words of the title follow each other in the line, between blanks and light punctuation; of titles of
+    more than 18 words or 180 characters one key must begin the other."""
+    w = _WORD.findall(title)
+    if len(w) > 18 or len(title) > 180:
+        a, b = _key(line), _key(title)
+        return bool(a and b) and (a.startswith(b) or b.startswith(a))
+    return bool(w) and re.search(r"\b" + r"\s*[-–—:./]?\s*".join(map(re.escape, w)) + r"\b", line, re.I) is not None
+
+
 def line_score(line: str, title: str) -> int:
-    """How much a line looks like the heading ``title``: 100 the same, 75 begins with it, 20 holds it; less for long
-    lines and rests and for sentence ends; never below 0."""
-    a, b = keyed(line)[0], keyed(re.sub(r"^\s*[\d.]+\s*", "", title))[0] or keyed(title)[0]
-    a = a if a.startswith(b) else keyed(re.sub(r"^\s*[\d.]+\s*", "", line))[0]
-    if not b or b not in a:
+    """How much a line, its numbering aside, looks like the heading ``title``: 100 the same, 75 begins with it, 20 holds it
+    as words; less for a rest that goes on, for long lines and for sentence ends; never below 0."""
+    plain = _NUMBERING.sub("", line or "").strip()
+    a, b = _key(plain), _key(title or "")
+    if not a or not b or not _held_as_words(plain, title):
         return 0
     score = EXACT if a == b else PREFIX if a.startswith(b) else INSIDE
-    if score == PREFIX and len(a) > 2 * len(b) + 20:
-        score -= LONG_REST
-    if score != EXACT and len(line) > 160:
-        score -= LONG_LINE
-    if score != EXACT and line.rstrip().endswith((".", ";", ",")):
-        score -= SENTENCE_END
+    if score == PREFIX:
+        score -= MANY_WORDS * (len(_WORD.findall(plain[len(title) :])) > 8)
+        score -= LONG_REST * (len(plain) > max(4 * len(title), len(title) + 160))
+    score -= LONG_LINE * (len(plain) > max(5 * len(title), len(title) + 220))
+    score -= SENTENCE_END * plain.endswith((".", ",", ";"))
     return max(0, score)
 
 
+def proximity_score(text: str, at: int, title: str, phrase_at: int | None = None, window: int = BEFORE_PHRASE) -> float:
+    """Score of a title at a place of a text: that of its line, or 35 if the title stands there glued to other text; more
+    if its phrase follows within ``window`` characters or ends just before, less if the phrase is far."""
+    end = text.find("\n", at)
+    score: float = line_score(text[text.rfind("\n", 0, at) + 1 : end if end >= 0 else len(text)], title)
+    if not score:
+        if not _key(title) or not _key(text[at : at + 2 * len(title) + 20]).startswith(_key(title)):
+            return 0
+        score = GLUED
+    if phrase_at is not None:
+        far = abs(phrase_at - at)
+        if at <= phrase_at:
+            score += NEAR_BEFORE - min(FADE_BEFORE, far / 20) if far <= window else -FAR_BEFORE
+        else:
+            score += NEAR_AFTER - min(FADE_AFTER, far / 20) if far <= AFTER_PHRASE else -FAR_AFTER
+    return max(score, 0)
+
+
 def heading_candidates(text: str, title: str) -> list[tuple[int, int]]:
     """(place, score) of one to four joined lines that look like the title."""
     lines, at = text.split("\n"), 0
@@ -58,10 +97,11 @@ def heading_candidates(text: str, title: str) -> list[tuple[int, int]]:
     for x in lines:
         starts.append(at)
         at += len(x) + 1
-    first = keyed(re.sub(r"^\s*[\d.]+\s*", "", title))[0][:4] or keyed(title)[0][:4]
+    title = _NUMBERING.sub("", title).strip() or title
+    first = _key(title)[:4]
     out = []
     for i, x in enumerate(lines):
-        if not x.strip() or first and first not in keyed(x)[0]:
+        if not x.strip() or first and first not in _key(x):
             continue
         best = max(line_score(" ".join(lines[i : i + n]), title) for n in range(1, 5))
         if best >= LEAST_HEADING:
@@ -171,16 +211,82 @@ def start_audit(chunks: DataFrame, within: int = 250) -> DataFrame:
     return chunks.where((F.length(k) > 0) & ~F.contains(match_key(F.left(F.coalesce("text", F.lit("")), F.lit(within))), k))
 
 
-def packed_paragraphs(text: Column, most: int) -> Column:
-    """Paragraphs packed in order into parts of up to ``most`` tokens each (a longer paragraph is a part of its own)."""
-    paras = F.filter(F.split(text, r"\r?\n[ \t]*(?:\r?\n[ \t]*)+"), lambda x: F.trim(x) != "")
+def _packed(units: Column, separator: str, most: int) -> Column:
+    """Texts packed in order into parts of up to ``most`` tokens each; a longer one is a part of its own."""
 
     def step(acc: Column, x: Column) -> Column:
         last = F.element_at(acc, -1)
-        joined = F.concat(last, F.lit("\n\n"), x)
+        joined = F.concat(last, F.lit(separator), x)
         return F.when((F.size(acc) > 0) & (token_count(joined) <= most), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(joined))).otherwise(F.concat(acc, F.array(x)))
 
-    return F.aggregate(paras, F.expr("CAST(array() AS array<string>)"), step)
+    return F.aggregate(units, F.expr("CAST(array() AS array<string>)"), step)
+
+
+def packed_paragraphs(text: Column, most: int) -> Column:
+    """Paragraphs packed in order into parts of up to ``most`` tokens each. A longer paragraph is divided at its lines, a
+    longer line at its sentences, a longer sentence between words, so that no part is over the limit."""
+    filled = lambda parts: F.filter(parts, lambda x: F.trim(x) != "")
+    small = lambda x: token_count(x) <= most
+
+    def by_words(x: Column) -> Column:
+        w = F.regexp_extract_all(x, F.lit(r"[^ \t\r\n]+"), F.lit(0))
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w)), F.lit(most))
+        return F.transform(starts, lambda i: F.array_join(F.slice(w, i, F.lit(most)), " "))
+
+    def divided(x: Column, pattern: str, separator: str, deeper) -> Column:
+        parts = F.flatten(F.transform(filled(F.split(x, pattern)), lambda y: F.when(small(y), F.array(y)).otherwise(deeper(y))))
+        return _packed(parts, separator, most)
+
+    by_sentences = lambda x: divided(x, r"(?<=[.!?])\s+", " ", by_words)
+    by_lines = lambda x: divided(x, r"\r?\n", "\n", by_sentences)
+    return divided(text, r"\r?\n[ \t]*(?:\r?\n[ \t]*)+", "\n\n", by_lines)
+
+
+def intro_texts(parents: DataFrame, children: DataFrame, pages: DataFrame, around: int = 3) -> DataFrame:
+    """``doc_id, node_id, start_page, end_page, text``: what stands between a section's own start and its first child's.
+
+    ``parents``: ``doc_id, node_id, title, start_phrase, start_index``; ``children``: the first child of each, with
+    ``parent_id`` and the same fields. The section starts as ``section_start`` finds it on its page. The child's start is
+    the best of its candidates up to ``around`` pages from the page it is said to start on: on that page before
+    others, with its phrase found before without, by score, then the earliest. Without a candidate the introduction ends
+    with the page before the child's. A start after that end gives an empty text.
+    """
+    kid = children.select("doc_id", F.col("parent_id").alias("node_id"), F.col("title").alias("c_title"), F.col("start_phrase").alias("c_phrase"), F.col("start_index").alias("c_page"))
+    both = parents.where("start_index IS NOT NULL").select("doc_id", "node_id", "title", "start_phrase", F.col("start_index").alias("p_page")).join(kid.where("c_page IS NOT NULL"), ["doc_id", "node_id"])
+    near = both.withColumn("page", F.explode(F.sequence(F.least("p_page", F.col("c_page") - around), F.greatest("p_page", F.col("c_page") + around))))
+    tried = near.join(pages.select("doc_id", "page", F.coalesce("text", F.lit("")).alias("text")), ["doc_id", "page"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            start, found, phrased, score = [], [], [], []
+            for page, p_page, c_page, text, title, phrase, c_title, c_phrase in zip(*(batch[c].to_pylist() for c in ("page", "p_page", "c_page", "text", "title", "start_phrase", "c_title", "c_phrase"))):
+                own = section_start(text, title, phrase) if page == p_page else None
+                start.append(own[0] if own else 0 if page == p_page else None)
+                best = None
+                if abs(page - c_page) <= around:
+                    at = find_phrase(text, c_phrase)
+                    heads = {a for a, _ in heading_candidates(text, c_title)} if c_title else set()
+                    ranked = [(at is not None, proximity_score(text, a, c_title, at), -a) for a in heads] + ([(True, 0.0, -at)] if at is not None else [])
+                    ranked = [x for x in ranked if page > p_page or own is None or -x[2] > own[0]]
+                    best = max(ranked, default=None)
+                found.append(-best[2] if best else None), phrased.append(best[0] if best else None), score.append(best[1] if best else None)
+            names = [c for c in batch.schema.names if c not in ("title", "start_phrase", "c_title", "c_phrase")]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(start, pa.int32()), pa.array(found, pa.int32()), pa.array(phrased, pa.bool_()), pa.array(score, pa.float64())], names=[*names, "start", "found", "phrased", "score"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in tried.schema}
+    kept = [c for c in tried.columns if c not in ("title", "start_phrase", "c_title", "c_phrase")]
+    scored = materialise(tried.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in kept) + ", start int, found int, phrased boolean, score double"))
+    best = F.max_by(F.struct("page", "found"), F.struct(F.col("page") == F.col("c_page"), "phrased", "score", -F.col("page"), -F.col("found")))
+    ends = scored.where("found IS NOT NULL").groupBy("doc_id", "node_id").agg(best.alias("e"))
+    spans = scored.groupBy("doc_id", "node_id").agg(F.max("p_page").alias("a"), F.max("c_page").alias("c"), F.max("start").alias("at")).join(ends, ["doc_id", "node_id"], "left")
+    spans = spans.select("doc_id", "node_id", "a", "at", F.coalesce("e.page", F.col("c") - 1).alias("b"), F.col("e.found").alias("to"))
+    rows = scored.select("doc_id", "node_id", "page", "text").join(spans, ["doc_id", "node_id"]).where(F.col("page").between(F.col("a"), F.col("b")))
+    first = F.when(F.col("page") == F.col("a"), F.col("at")).otherwise(0)
+    last = F.when((F.col("page") == F.col("b")) & F.col("to").isNotNull(), F.col("to")).otherwise(F.length("text"))
+    part = F.when(last > first, F.substr("text", first + 1, last - first)).otherwise("")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", part.alias("t")))), lambda x: x["t"]), "\n")
+    out = rows.groupBy("doc_id", "node_id").agg(F.min("page").alias("start_page"), F.max("page").alias("end_page"), F.trim(whole).alias("text"))
+    return spans.select("doc_id", "node_id", "a").join(out, ["doc_id", "node_id"], "left").select("doc_id", "node_id", F.coalesce("start_page", "a").alias("start_page"), F.coalesce("end_page", "a").alias("end_page"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def build_chunks(nodes: DataFrame, pages: DataFrame, most_tokens: int = 1000) -> DataFrame:

@@ -193,32 +193,105 @@ def oversized(nodes: DataFrame, pages: DataFrame, tokens: Column, most_pages: in
     return nodes.join(sums.where((F.col("n") > most_pages) & (F.col("tokens") >= most_tokens)).select("doc_id", "node_id", "tokens"), ["doc_id", "node_id"])
 
 
-def build_index(pages: DataFrame, accept: float = 1.0, repair_above: float = 0.6) -> DataFrame:
+def divided(nodes: DataFrame, pages: DataFrame, tokens: Column, most_pages: int = 10, most_tokens: int = 20_000, rounds: int = 10) -> DataFrame:
+    """``nodes`` with the leaves over both limits divided by the headings on their pages, and these again.
+
+    The new children are named after their parent; one that repeats its parent's title and comes first goes; the parent
+    then ends where its first child starts. A leaf without headings stays as it is, and so does what is still over
+    the limits after ``rounds``.
+    """
+    kept = ["doc_id", "node_id", "parent_id", "ord", "structure", "title", "start_index", "end_index"]
+    rest = [c for c in nodes.columns if c not in kept]
+    now = materialise(nodes.withColumn("ord", F.col("ord").cast("double")))
+    tried = None
+    for _ in range(rounds):
+        big = oversized(trees.leaves(now), pages, tokens, most_pages, most_tokens)
+        big = materialise(big if tried is None else big.join(tried, ["doc_id", "node_id"], "left_anti"))
+        if big.isEmpty():
+            break
+        tried = big.select("doc_id", "node_id") if tried is None else tried.union(big.select("doc_id", "node_id"))
+        spans = big.select(F.col("doc_id").alias("_doc"), "node_id", F.explode(F.sequence("start_index", "end_index")).alias("page"))
+        own = spans.join(pages, (spans["_doc"] == pages["doc_id"]) & (spans["page"] == pages["page"])).select(F.concat_ws("\x01", "_doc", "node_id").alias("doc_id"), pages["page"], "text")
+        heads = heading_items(own).select(F.split("doc_id", "\x01").alias("_k"), F.col("ord").alias("i"), F.col("structure").alias("s"), F.col("title").alias("t"), "physical_index").select(F.col("_k")[0].alias("doc_id"), F.col("_k")[1].alias("node_id"), "i", "s", "t", "physical_index")
+        items = heads.join(big.select("doc_id", "node_id", F.col("ord").alias("p_ord"), F.col("title").alias("p_title"), F.col("end_index").alias("p_end")), ["doc_id", "node_id"])
+        items = items.where(~((F.col("i") == 0) & (F.trim("t") == F.trim("p_title"))))
+        w = Window.partitionBy("doc_id", "node_id").orderBy("i")
+        new = items.withColumns({"n": F.row_number().over(w), "to": F.coalesce(F.greatest("physical_index", F.lead("physical_index").over(w)), "p_end")})
+        new = materialise(new.select("doc_id", F.concat("node_id", F.lit("."), F.col("n").cast("string")).alias("new_id"), F.col("node_id").alias("parent_id"), (F.col("p_ord") + F.col("n") / F.lit(1e6)).alias("ord"), F.col("s").alias("structure"), F.col("t").alias("title"), F.col("physical_index").alias("start_index"), F.col("to").alias("end_index")))
+        first = new.groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(F.min("start_index").alias("_first"))
+        now = now.join(first, ["doc_id", "node_id"], "left").withColumn("end_index", F.coalesce("_first", "end_index")).drop("_first")
+        added = new.withColumnRenamed("new_id", "node_id")
+        now = materialise(now.unionByName(added, allowMissingColumns=True))
+    w = Window.partitionBy("doc_id").orderBy("ord", "node_id")
+    return now.withColumn("ord", (F.row_number().over(w) - 1).cast(nodes.schema["ord"].dataType)).select(*kept, *rest)
+
+
+def title_pages(items: DataFrame, pages: DataFrame) -> DataFrame:
+    """``doc_id, ord, seen``: the pages on which each item's title stands. A document's titles go to each of its pages as
+    one array: the pages' texts aren't repeated."""
+    key = heading_key(F.col("title"))
+    titles = items.where(F.length(key) >= 2).groupBy("doc_id").agg(F.collect_list(F.struct("ord", key.alias("k"))).alias("titles"))
+    on = pages.select("doc_id", "page", match_key(F.coalesce("text", F.lit(""))).alias("_t")).join(titles, "doc_id")
+    hits = on.select("doc_id", "page", F.explode(F.filter("titles", lambda x: F.contains(F.col("_t"), x["k"]))).alias("x"))
+    return hits.groupBy("doc_id", F.col("x.ord").alias("ord")).agg(F.array_sort(F.collect_set("page")).alias("seen"))
+
+
+def placed_by_title(items: DataFrame, pages: DataFrame) -> DataFrame:
+    """``physical_index`` of items without printed pages: the first page with the title that isn't before the page of
+    the item before; null where there is none."""
+    rows = items.drop("physical_index").join(title_pages(items, pages), ["doc_id", "ord"], "left")
+    lists = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", F.coalesce("seen", F.array().cast("array<int>")).alias("seen")))).alias("p"))
+    ord_type = items.schema["ord"].dataType.simpleString()
+    start = F.struct(F.lit(1).alias("last"), F.expr(f"CAST(array() AS array<struct<ord:{ord_type},at:int>>)").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        at = F.get(F.filter(x["seen"], lambda p: p >= acc["last"]), 0).cast("int")
+        return F.struct(F.coalesce(at, acc["last"]).alias("last"), F.concat(acc["out"], F.array(F.struct(x["ord"].alias("ord"), at.alias("at")))).alias("out"))
+
+    placed = lists.select("doc_id", F.explode(F.aggregate("p", start, step)["out"]).alias("o")).select("doc_id", "o.ord", F.col("o.at").alias("physical_index"))
+    return items.drop("physical_index").join(placed, ["doc_id", "ord"], "left")
+
+
+def _accepted(placed: DataFrame, body: DataFrame, pages: DataFrame, accept: float, repair_above: float) -> DataFrame:
+    """Items of the documents of which a share of ``accept`` checks out, and, mended, of those over ``repair_above``."""
+    last = pages.groupBy("doc_id").agg(F.max("page").alias("pages"))
+    inside = placed.join(last, "doc_id").withColumn("physical_index", F.when(F.col("physical_index").between(1, F.col("pages")), F.col("physical_index"))).drop("pages")
+    checked = materialise(verified(inside.where("physical_index IS NOT NULL"), body))
+    share = materialise(accuracy(checked, pages))
+    right = checked.join(share.where(F.col("accuracy") >= accept).select("doc_id"), "doc_id", "left_semi")
+    wrong = share.where((F.col("accuracy") < accept) & (F.col("accuracy") > repair_above)).select("doc_id")
+    mended = repaired(checked.drop("ok").join(wrong, "doc_id", "left_semi"), body)
+    return materialise(right.unionByName(mended.select(*right.columns)))
+
+
+def build_index(pages: DataFrame, accept: float = 1.0, repair_above: float = 0.6, tokens: Column | None = None, most_pages: int = 10, most_tokens: int = 20_000) -> DataFrame:
     """Pages to tree rows: ``doc_id, node_id, parent_id, ord, structure, title, start_index, end_index, mode``.
 
-    Contents with printed pages first; a document whose items check out below ``repair_above`` goes on by headings in
-    the text. A document with neither has one node over all its pages.
+    A ladder: contents with printed pages; the same titles sought without their pages; headings in the text. A step
+    stands if a share of ``accept`` of its items checks out, or, after mending, if more than ``repair_above`` did;
+    otherwise the document goes on to the next. A document that no step serves has one node over all its pages. With
+    ``tokens`` (of a page's text) large leaves are divided further (see ``divided``).
     """
     pages = materialise(pages)
     last = pages.groupBy("doc_id").agg(F.max("page").alias("pages"))
     contents = toc_pages(pages, looks_like_toc(F.col("text")))
     body = pages.join(contents.select("doc_id", "page"), ["doc_id", "page"], "left_anti")
     items = materialise(toc_items(toc_text(contents)))
-    on = items.select("doc_id", "ord", "title").join(body, "doc_id").where(title_on_page(F.col("title"), F.col("text"))).groupBy("doc_id", "title").agg(F.min("page").alias("physical_index"))
-    placed = with_moving_offset(items, body, page_offset(items, on))
-    checked = repaired(placed.join(last, "doc_id").withColumn("physical_index", F.when(F.col("physical_index") <= F.col("pages"), F.col("physical_index"))).drop("pages", "found"), body)
-    good = accuracy(checked, pages).where(F.col("accuracy") > repair_above).select("doc_id")
-    by_toc = checked.join(good, "doc_id", "left_semi").where("physical_index IS NOT NULL").withColumn("mode", F.lit("contents"))
-    rest = pages.join(good, "doc_id", "left_anti")
-    by_heading = heading_items(rest).withColumn("mode", F.lit("headings"))
-    both = by_toc.select("doc_id", "ord", "structure", "title", "physical_index", "mode").unionByName(by_heading.select("doc_id", "ord", "structure", "title", "physical_index", "mode"))
+    on = items.join(title_pages(items, body), ["doc_id", "ord"]).select("doc_id", "title", F.array_min("seen").alias("physical_index"))
+    fields = ["doc_id", "ord", "structure", "title", "physical_index"]
+    by_page = _accepted(with_moving_offset(items, body, page_offset(items, on)).select(*fields), body, pages, accept, repair_above)
+    open_ = items.join(by_page.select("doc_id").distinct(), "doc_id", "left_anti")
+    by_title = _accepted(placed_by_title(open_, body).select(*fields), body, pages, accept, repair_above)
+    served = by_page.withColumn("mode", F.lit("contents")).unionByName(by_title.withColumn("mode", F.lit("titles")))
+    by_heading = heading_items(pages.join(served.select("doc_id").distinct(), "doc_id", "left_anti")).withColumn("mode", F.lit("headings"))
+    both = served.select(*fields, "mode").unionByName(by_heading.select(*fields, "mode"))
     bare = last.join(both.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", F.lit(0).alias("ord"), F.lit("1").alias("structure"), F.col("doc_id").alias("title"), F.lit(1).alias("physical_index"), F.lit("whole").alias("mode"))
     every = trees.with_preface(both.unionByName(bare)).withColumn("mode", F.coalesce("mode", F.lit("preface")))
     flagged = starts_page(every, pages).join(last, "doc_id")
     spans = trees.code_parents(materialise(trees.page_spans(flagged)))
     name = lambda c: F.concat(F.lit("n"), F.col(c).cast("string"))
     rows = spans.select("doc_id", name("ord").alias("node_id"), name("parent_ord").alias("parent_id"), "ord", "structure", "title", "start_index", "end_index", "mode")
-    return trees.numbered(rows)
+    return trees.numbered(rows if tokens is None else divided(rows, pages, tokens, most_pages, most_tokens))
 
 
 def build_markdown_index(texts: DataFrame, thin_below: int | None = None) -> DataFrame:
