@@ -652,7 +652,9 @@ class Repair:
             in_order, here = self.words_of(text)
         pairs: set[tuple[str, str]] = set()
         if parts := self.with_mark("f", here):
-            pairs.update((x, y) for x, y in zip(in_order, in_order[1:]) if x in parts or y in parts)
+            for i in [i for i, x in enumerate(in_order) if x in parts]:
+                near = in_order[max(0, i - 1) : i + 2]
+                pairs.update(zip(near, near[1:]))
         if (firsts := self.with_mark("a", here)) and (seconds := self.with_mark("b", here)):
             if self.complete:
                 low = text.lower()
