@@ -463,6 +463,7 @@ class Repair:
         self.complete = complete
         self.rest = {k: v for k, v in model.items() if k[:2] != "v:"}
         self.words = {k[2:]: _entry(v) for k, v in model.items() if k[:2] == "v:"}
+        self.vocabulary = frozenset(self.words)
         self.wrong = frozenset(w for w, e in self.words.items() if e[1])
         self.marked = {x: frozenset(w for w, e in self.words.items() if x in e[2]) for x in "fabT"}
         self.loose: dict[str, set[str]] = {}
@@ -508,7 +509,7 @@ class Repair:
 
     def with_mark(self, mark: str, here: set[str]) -> set[str]:
         out = here & self.marked[mark]
-        return out if self.complete else out | {w for w in here - self.words.keys() if mark in self.entry(w)[2]}
+        return out if self.complete else out | {w for w in here - self.vocabulary if mark in self.entry(w)[2]}
 
     # ---- page breaks
     def titles(self, text: str) -> tuple[str, ...]:
@@ -641,11 +642,11 @@ class Repair:
         in_order, here = self.words_of(text)
         wrong = here & self.wrong
         if not self.complete:
-            wrong |= {w for w in here - self.words.keys() if self.entry(w)[1]}
+            wrong |= {w for w in here - self.vocabulary if self.entry(w)[1]}
         if wrong:
             kinds.add("misread")
             text = re.sub(r"(?<![^\W_])(?:" + "|".join(map(re.escape, sorted(wrong, key=len, reverse=True))) + r")(?![^\W_])", lambda m: _cased(self.fixed(m[0].lower()), m[0]), text, flags=re.I)
-        if (any(x in here for x in "lio|") or here & self.mixed or any(map(_mixed, here - self.words.keys()))) and _NUMERIC.search(text):
+        if (any(x in here for x in "lio|") or here & self.mixed or any(map(_mixed, here - self.vocabulary))) and _NUMERIC.search(text):
             kinds.add("misread")
             text = _NUMERIC.sub(lambda m: m[0].translate(_DIGITS), text)
         if wrong:
@@ -670,7 +671,8 @@ class Repair:
                     return m[1]
                 return m[0]
 
-            text = re.sub(r"(?<![\w-])([^\W\d_]+) (?=([^\W\d_]+)(?!\w))", glue, text)
+            some = "|".join(sorted({re.escape(a) for a, _ in pairs}))
+            text = re.sub(rf"(?<![\w-])({some}) (?=([^\W\d_]+)(?!\w))", glue, text, flags=re.I)
         return text, kinds
 
     def text(self, text: str, doc_name: str | None) -> tuple[str, set[str]]:
