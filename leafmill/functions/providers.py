@@ -136,6 +136,67 @@ def hashed_vectors(rows: DataFrame, key: str, text: str, dimensions: int = 64) -
     return rows.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, vector array<double>").withColumnRenamed("key", key)
 
 
+def parent_summaries(nodes: DataFrame, provider: Provider | None = None, most_depth: int = 64) -> DataFrame:
+    """``doc_id, node_id, summary`` of a whole tree (``doc_id, node_id, parent_id, ord, summary``, the leaves' summaries
+    given): a parent's is made from its children's, in order, level by level from below. Existing ones stay."""
+    from leafmill.operators.trees import with_paths
+    from leafmill.session import materialise
+
+    rows = materialise(with_paths(nodes).select("doc_id", "node_id", "parent_id", "ord", "depth", "summary"))
+    deepest = rows.agg(F.max("depth")).first()[0] or 0
+    if deepest > most_depth:
+        raise RuntimeError(f"trees deeper than {most_depth} levels")
+    done = rows.where(F.col("depth") == deepest)
+    out = done
+    for depth in range(deepest - 1, 0, -1):
+        below = done.where("parent_id IS NOT NULL AND summary IS NOT NULL").groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "summary"))), lambda x: x["summary"]), "\n").alias("_b"))
+        level = rows.where(F.col("depth") == depth).join(below, ["doc_id", "node_id"], "left").withColumn("request_id", F.concat_ws("\x01", "doc_id", "node_id"))
+        asked = complete(level.where("summary IS NULL AND _b IS NOT NULL").select("request_id", F.concat(F.lit("summary:"), "_b").alias("prompt")), provider)
+        done = materialise(level.join(asked.select("request_id", "answer"), "request_id", "left").select("doc_id", "node_id", "parent_id", "ord", "depth", F.coalesce("summary", "answer").alias("summary")))
+        out = out.unionByName(done)
+    return out.select("doc_id", "node_id", "summary")
+
+
 def missing_vectors(rows: DataFrame, cache: DataFrame, key: str, model: str) -> DataFrame:
     """Rows without a vector of the model in the cache (``key, model, vector``)."""
     return rows.join(cache.where(F.col("model") == model).select(key), key, "left_anti")
+
+
+def encoded(rows: DataFrame, key: str, text: str, encode: Callable[[list[str]], list[list[float]]], batch: int = 256) -> DataFrame:
+    """``key, vector`` by an encoder that takes a list of texts; texts without content have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            texts = part["text"].to_pylist()
+            out: list = [None] * len(texts)
+            asked = [i for i, t in enumerate(texts) if t and t.strip()]
+            for i in range(0, len(asked), batch):
+                own = asked[i : i + batch]
+                for j, v in zip(own, encode([texts[j] for j in own])):
+                    out[j] = [float(x) for x in v]
+            yield pa.record_batch({"key": part["key"], "vector": pa.array(out, pa.list_(pa.float64()))})
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, vector array<double>").withColumnRenamed("key", key)
+
+
+def cached_vectors(rows: DataFrame, key: str, text: str, path: str, model: str, encode: Callable[[list[str]], list[list[float]]]) -> DataFrame:
+    """``key, vector`` of all rows, those known from the table at ``path`` not encoded again; new ones are added to it.
+
+    Vectors are kept by the hash of the text, so that a changed text is encoded anew. At the end every distinct text must
+    have one row for the model in the table, or this raises.
+    """
+    spark = rows.sparkSession
+    hashed = rows.select(key, F.sha2(F.coalesce(text, F.lit("")), 256).alias("text_id"), F.coalesce(text, F.lit("")).alias("t"))
+    schema = "text_id string, model string, vector array<double>"
+    path_ = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = path_.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path_)
+    known = spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+    new = missing_vectors(hashed.dropDuplicates(["text_id"]), known, "text_id", model)
+    encoded(new, "text_id", "t", encode).withColumn("model", F.lit(model)).select("text_id", "model", "vector").write.mode("append").parquet(path)
+    held = spark.read.schema(schema).parquet(path).where(F.col("model") == model)
+    wanted = hashed.select("text_id").distinct()
+    n, have = wanted.count(), wanted.join(held, "text_id").count()
+    if n != have:
+        raise RuntimeError(f"vectors at {path}: {have} rows for {n} texts")
+    return hashed.select(key, "text_id").join(held.select("text_id", "vector"), "text_id").drop("text_id")

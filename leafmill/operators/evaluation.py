@@ -38,6 +38,76 @@ def aggregate_metrics(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.countDistinct("query_id").alias("queries"), *(F.avg(c).alias(f"mean_{c}") for c in ("correct_at_1", "hit_at_k", "reciprocal_rank")))
 
 
+# ---------------------------------------------------------------- fixed values
+#: What tells configurations apart.
+CONFIG = ["dataset", "result_file", "method", "model", "variant", "top_m"]
+#: (mean, of which column), in the order of the report.
+MEANS = [
+    ("accuracy_at_1", "correct_at_1"), ("hit_at_5", "hit_at_5"), ("mrr_at_5", "reciprocal_rank_at_5"), ("document_accuracy_at_1", "document_correct_at_1"),
+    ("avg_latency_seconds", "latency_seconds"), ("avg_top1_latency_seconds", "top1_latency_seconds"), ("avg_top5_latency_seconds", "top5_latency_seconds"),
+    ("avg_input_tokens", "input_tokens"), ("avg_output_tokens", "output_tokens"), ("avg_total_tokens", "total_tokens"),
+    ("avg_top1_input_tokens", "top1_input_tokens"), ("avg_top1_output_tokens", "top1_output_tokens"), ("avg_top1_total_tokens", "top1_total_tokens"),
+    ("avg_top5_input_tokens", "top5_input_tokens"), ("avg_top5_output_tokens", "top5_output_tokens"), ("avg_top5_total_tokens", "top5_total_tokens"),
+]
+PERCENTAGES = ["accuracy_at_1", "hit_at_5", "mrr_at_5", "document_accuracy_at_1"]
+# -----------------------------------------------------------------------------
+
+
+def config_aggregate(rows: DataFrame, keys: list[str] | None = None, extra: list[str] | None = None) -> DataFrame:
+    """Distinct queries, the sixteen means, successful rows and the shares as percentages, for each configuration (and
+    ``extra`` columns). Null keys form groups; nulls don't count in means; a column that is missing has a null mean."""
+    keys = [*(CONFIG if keys is None else keys), *(extra or [])]
+    of = lambda c: F.col(c).cast("double") if c in rows.columns else F.lit(None).cast("double")
+    success = F.sum(F.col("run_success").cast("int")) if "run_success" in rows.columns else F.lit(None).cast("long")
+    out = rows.groupBy(*keys).agg(F.countDistinct("query_id").alias("n_queries"), *(F.avg(of(c)).alias(name) for name, c in MEANS), success.alias("successful_rows"))
+    return out.withColumns({f"{c}_pct": F.col(c) * 100.0 for c in PERCENTAGES})
+
+
+def document_correct(rows: DataFrame, documents: DataFrame, doc_column: str = "doc_name") -> DataFrame:
+    """Adds ``retrieved_doc`` and ``document_correct_at_1`` to results (``top1_doc, top1_chunk_id, doc_name``): the
+    document stored with the top result, else the longest known one (``documents``) whose name begins its chunk's id."""
+    found = document_of(rows, documents, "top1_chunk_id", doc_column)
+    out = found.withColumn("retrieved_doc", F.coalesce(F.nullif("top1_doc", F.lit("")), "document")).drop("document")
+    return out.withColumn("document_correct_at_1", F.coalesce((F.col("retrieved_doc") == F.col("doc_name")).cast("int"), F.lit(0)))
+
+
+def page_totals(documents: DataFrame, keys: list[str], pages: str = "page_count") -> DataFrame:
+    """Documents whose pages could be counted, those whose couldn't (null), pages in all and on average."""
+    return documents.groupBy(*keys).agg(F.count("*").alias("documents"), F.count(pages).alias("counted"), F.count_if(F.col(pages).isNull()).alias("failed"), F.coalesce(F.sum(pages), F.lit(0)).cast("long").alias("pages"), F.avg(pages).alias("mean_pages"))
+
+
+def funnel(chunks: DataFrame, keys: list[str]) -> DataFrame:
+    """How many chunks each step of question planning leaves: all, not marked as copies, eligible (selected, or left out for
+    no other reason than not being selected), selected, and the questions planned for these."""
+    selected = F.coalesce("generate_queries", F.lit(False))
+    own = ~F.coalesce("is_duplicate_chunk", F.lit(False))
+    open_ = selected | F.coalesce("skip_query_reason", F.lit("")).isin("", "not_selected")
+    return chunks.groupBy(*keys).agg(F.count("*").alias("chunks"), F.count_if(own).alias("own"), F.count_if(own & open_).alias("eligible"), F.count_if(selected).alias("selected"), F.coalesce(F.sum(F.when(selected, F.coalesce("num_queries", F.lit(0)))), F.lit(0)).alias("questions"))
+
+
+def join_named(left: DataFrame, right: DataFrame, on: dict[str, str], suffix: str = "_right") -> DataFrame:
+    """Left join on columns of different names (left name: right name); columns of the right that the left has, too, get the
+    suffix, and its key columns go."""
+    other = right.select(*(F.col(c).alias(f"_{c}") for c in on.values()), *(F.col(c).alias(c + suffix if c in left.columns else c) for c in right.columns if c not in on.values()))
+    condition = None
+    for a, b in on.items():
+        e = left[a] == other[f"_{b}"]
+        condition = e if condition is None else condition & e
+    return left.join(other, condition, "left").drop(*(f"_{b}" for b in on.values()))
+
+
+def first_rows(rows: DataFrame, order: str, n: int) -> DataFrame:
+    """The first n rows by ``order``, with their places from 0: a prefix that doesn't depend on the partitions. Each
+    partition sends on its own first n."""
+    first = rows.orderBy(order).limit(n)
+    return first.withColumn("place", F.row_number().over(Window.orderBy(order)).cast("long") - 1)
+
+
+def preview(issues: DataFrame, n: int = 10, *order: str) -> DataFrame:
+    """The first n issues in a fixed order, for a report."""
+    return issues.orderBy(*(order or issues.columns)).limit(n)
+
+
 def latency_statistics(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Count, mean, median, sample deviation (0 for one row) and 95th percentile, exact and interpolated; a
     group of nulls only has null statistics."""

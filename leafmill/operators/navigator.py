@@ -127,22 +127,26 @@ class Walk:
         return {"top1": first or (ranked[0] if ranked else None), "top5": ranked, "read": len(read), "sufficient": first is not None}
 
 
-def walk_trees(queries: DataFrame, nodes: DataFrame, navigator: Navigator | None = None, mode: str = "combined", enough: int = 5, most: int = 10) -> DataFrame:
+def walk_trees(queries: DataFrame, nodes: DataFrame, navigator: Navigator | None = None, mode: str = "combined", enough: int = 5, most: int = 10, block: int = 500) -> DataFrame:
     """``query_id, doc_id, top1, top5, read, sufficient`` for questions (``query_id, doc_id, query``) on trees (``doc_id,
-    node_id, parent_id, ord, chunk_id, text``). A question without a tree has null and empty results."""
+    node_id, parent_id, ord, chunk_id, text``). A question without a tree has null and empty results. A task takes one
+    tree with up to ``block`` of its questions: the tree isn't repeated for each of them."""
     navigator = navigator or OverlapNavigator()
-    tree = nodes.groupBy("doc_id").agg(F.collect_list(F.struct("node_id", "parent_id", "ord", "chunk_id", F.coalesce("text", F.lit("")).alias("text"))).alias("tree"))
-    both = queries.join(tree, "doc_id", "left").select("query_id", "doc_id", F.coalesce("query", F.lit("")).alias("query"), F.to_json("tree").alias("tree"))
+    tree = nodes.groupBy("doc_id").agg(F.to_json(F.collect_list(F.struct("node_id", "parent_id", "ord", "chunk_id", F.coalesce("text", F.lit("")).alias("text")))).alias("tree"))
+    sizes = queries.groupBy(F.col("doc_id").alias("_d")).agg(F.count("*").alias("_n"))
+    asked = queries.join(sizes, F.col("doc_id").eqNullSafe(F.col("_d"))).select("query_id", "doc_id", F.coalesce("query", F.lit("")).alias("query"), F.pmod(F.xxhash64("query_id"), F.ceil(F.col("_n") / F.lit(block))).alias("_part"))
+    packs = asked.groupBy("doc_id", "_part").agg(F.collect_list(F.struct("query_id", "query")).alias("asked"))
+    both = packs.join(tree, "doc_id", "left").select("doc_id", "asked", "tree")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, held = [], (None, None)
-            for q, t in zip(batch["query"].to_pylist(), batch["tree"].to_pylist()):
-                if held[0] != t:
-                    rows = json.loads(t) if t else []
-                    held = t, [{"chunk_id": None, "parent_id": None, "text": "", **r} for r in rows]
-                out.append(Walk(held[1], navigator).retrieve(q, mode, enough, most))
-            yield pa.record_batch({"query_id": batch["query_id"], "doc_id": batch["doc_id"], "top1": pa.array([o["top1"] for o in out], pa.string()), "top5": pa.array([o["top5"] for o in out], pa.list_(pa.string())), "read": pa.array([o["read"] for o in out], pa.int32()), "sufficient": pa.array([o["sufficient"] for o in out], pa.bool_())})
+            ids, docs, out = [], [], []
+            for doc, asked, t in zip(*(batch[c].to_pylist() for c in ("doc_id", "asked", "tree"))):
+                rows = [{"chunk_id": None, "parent_id": None, "text": "", **r} for r in (json.loads(t) if t else [])]
+                for q in asked:
+                    ids.append(q["query_id"]), docs.append(doc)
+                    out.append(Walk(rows, navigator).retrieve(q["query"], mode, enough, most))
+            yield pa.record_batch({"query_id": pa.array(ids, pa.string()), "doc_id": pa.array(docs, pa.string()), "top1": pa.array([o["top1"] for o in out], pa.string()), "top5": pa.array([o["top5"] for o in out], pa.list_(pa.string())), "read": pa.array([o["read"] for o in out], pa.int32()), "sufficient": pa.array([o["sufficient"] for o in out], pa.bool_())})
 
     return both.mapInArrow(run, "query_id string, doc_id string, top1 string, top5 array<string>, read int, sufficient boolean")
 

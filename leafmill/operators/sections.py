@@ -285,7 +285,7 @@ def intro_texts(parents: DataFrame, children: DataFrame, pages: DataFrame, aroun
     last = F.when((F.col("page") == F.col("b")) & F.col("to").isNotNull(), F.col("to")).otherwise(F.length("text"))
     part = F.when(last > first, F.substr("text", first + 1, last - first)).otherwise("")
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", part.alias("t")))), lambda x: x["t"]), "\n")
-    out = rows.groupBy("doc_id", "node_id").agg(F.min("page").alias("start_page"), F.max("page").alias("end_page"), F.trim(whole).alias("text"))
+    out = rows.groupBy("doc_id", "node_id").agg(F.min("page").alias("start_page"), F.max("page").alias("end_page"), F.regexp_replace(whole, r"^\s+|\s+$", "").alias("text"))
     return spans.select("doc_id", "node_id", "a").join(out, ["doc_id", "node_id"], "left").select("doc_id", "node_id", F.coalesce("start_page", "a").alias("start_page"), F.coalesce("end_page", "a").alias("end_page"), F.coalesce("text", F.lit("")).alias("text"))
 
 

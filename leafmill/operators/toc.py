@@ -79,7 +79,7 @@ def page_offset(items: DataFrame, placed: DataFrame, first_page: int = 1) -> Dat
     first seen."""
     pairs = items.where("page IS NOT NULL").select("doc_id", "ord", "title", "page").join(placed.where(F.col("physical_index") >= first_page).select("doc_id", "title", "physical_index"), ["doc_id", "title"])
     n = pairs.groupBy("doc_id", (F.col("physical_index") - F.col("page")).alias("offset")).agg(F.count("*").alias("n"), F.min("ord").alias("o"))
-    return n.groupBy("doc_id").agg(F.max_by("offset", F.struct("n", -F.col("o"))).alias("offset"))
+    return n.groupBy("doc_id").agg(F.max_by("offset", F.struct("n", -F.col("o"), -F.col("offset"))).alias("offset"))
 
 
 def with_offset(items: DataFrame, offsets: DataFrame) -> DataFrame:
@@ -216,7 +216,7 @@ def divided(nodes: DataFrame, pages: DataFrame, tokens: Column, most_pages: int
         items = heads.join(big.select("doc_id", "node_id", F.col("ord").alias("p_ord"), F.col("title").alias("p_title"), F.col("end_index").alias("p_end")), ["doc_id", "node_id"])
         items = items.where(~((F.col("i") == 0) & (F.trim("t") == F.trim("p_title"))))
         w = Window.partitionBy("doc_id", "node_id").orderBy("i")
-        new = items.withColumns({"n": F.row_number().over(w), "to": F.coalesce(F.greatest("physical_index", F.lead("physical_index").over(w)), "p_end")})
+        new = items.withColumns({"n": F.row_number().over(w), "to": F.greatest("physical_index", F.coalesce(F.lead("physical_index").over(w), "p_end"))})
         new = materialise(new.select("doc_id", F.concat("node_id", F.lit("."), F.col("n").cast("string")).alias("new_id"), F.col("node_id").alias("parent_id"), (F.col("p_ord") + F.col("n") / F.lit(1e6)).alias("ord"), F.col("s").alias("structure"), F.col("t").alias("title"), F.col("physical_index").alias("start_index"), F.col("to").alias("end_index")))
         first = new.groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(F.min("start_index").alias("_first"))
         now = now.join(first, ["doc_id", "node_id"], "left").withColumn("end_index", F.coalesce("_first", "end_index")).drop("_first")

@@ -3,6 +3,7 @@ checked in and changed about them."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -116,6 +117,46 @@ def tree_statistics(nodes: DataFrame, widths: tuple[int, ...] = (5, 7, 10)) -> D
     return level.groupBy("doc_id").agg(F.sum("width").alias("nodes"), F.max("depth").alias("max_depth"), F.max("width").alias("max_width"), *kept).join(low, "doc_id", "left")
 
 
+def tree_levels(nodes: DataFrame, widths: tuple[int, ...] = (5, 7, 10)) -> DataFrame:
+    """For each document and level its width and the share of it that a beam of each width keeps."""
+    level = with_paths(nodes).groupBy("doc_id", "depth").agg(F.count("*").alias("width"))
+    return level.withColumns({f"retained_{m}": F.least(F.lit(m), F.col("width")) / F.col("width") for m in widths})
+
+
+def with_children_flag(paths: DataFrame) -> DataFrame:
+    """Adds ``has_children``."""
+    inner = paths.select("doc_id", F.col("parent_id").alias("node_id")).where("node_id IS NOT NULL").distinct().withColumn("_c", F.lit(True))
+    return paths.join(inner, ["doc_id", "node_id"], "left").withColumn("has_children", F.coalesce("_c", F.lit(False))).drop("_c")
+
+
+def clean_outline(nodes: DataFrame) -> DataFrame:
+    """What a description of a tree is made from: title, id and summary of each node, in order."""
+    return nodes.select("doc_id", "ord", "node_id", "parent_id", *(F.col(c) if c in nodes.columns else F.lit(None).cast("string").alias(c) for c in ("title", "summary")))
+
+
+def without_fields(df: DataFrame, column: str, fields: tuple[str, ...]) -> DataFrame:
+    """A JSON column without the given fields at any depth; text that isn't JSON stays as it is. (Of flat rows these are
+    columns: drop them.)"""
+    gone = frozenset(fields)
+
+    def strip(value):
+        if isinstance(value, dict):
+            return {k: strip(v) for k, v in value.items() if k not in gone}
+        return [strip(v) for v in value] if isinstance(value, list) else value
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        def one(text):
+            try:
+                return json.dumps(strip(json.loads(text)), ensure_ascii=False)
+            except (TypeError, ValueError, RecursionError):
+                return text
+
+        return texts.map(one)
+
+    return df.withColumn(column, run(F.col(column)))
+
+
 # ----------------------------------------------------------------------------------------- checking
 def _issues(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Order issues along ``ord`` within the keys; a row without indexes isn't anybody's predecessor."""
@@ -376,4 +417,11 @@ def apply_corrections(nodes: DataFrame, operations: DataFrame) -> DataFrame:
         out["ord"] = range(len(order))
         return out.reset_index(drop=True)
 
-    return nodes.groupBy("doc_id").cogroup(operations.groupBy("doc_id")).applyInPandas(run, nodes.schema)
+    # names of their own: both sides may come from one frame, whose columns Spark would take for the same
+    names = operations.columns
+    renamed = operations.toDF(*(f"op_{c}" for c in names))
+
+    def both(tree: pd.DataFrame, ops: pd.DataFrame) -> pd.DataFrame:
+        return run(tree, ops.set_axis(names, axis=1))
+
+    return nodes.groupBy("doc_id").cogroup(renamed.groupBy("op_doc_id")).applyInPandas(both, nodes.schema)

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from leafmill.functions import providers, text
 from leafmill.functions.words import token_count, word_array
-from leafmill.operators import evaluation, matching, navigator, nested, retrieval, trees
+from leafmill.operators import answers, evaluation, matching, navigator, nested, retrieval, trees
 from leafmill.plans.queries import Registry
 from leafmill.session import materialise, table
 from leafmill.streaming import results
@@ -379,7 +379,11 @@ def _matching(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 @query("ev_ground_truth")
 def ev_ground_truth(spark: SparkSession, d: str) -> DataFrame:
-    best = matching.best_matches(matching.match_scores(*_matching(spark, d), every=False))
+    """Copies are left out before evidence is matched; ids are those under which chunks are retrieved."""
+    e, _ = _matching(spark, d)
+    own = retrieval.canonical(current_chunks(spark, d))
+    chunks = own.select(answers.retrieval_id(F.col("retrieval_chunk_id"), F.col("canonical_chunk_id"), F.col("chunk_id")).alias("chunk_id"), F.col("doc_name").alias("doc"), "text")
+    best = matching.best_matches(matching.match_scores(e, chunks, every=False))
     questions = current_evidence(spark, d).select("evidence_id", F.col("financebench_id").alias("question"))
     return matching.ground_truth(questions, best)
 
@@ -525,7 +529,7 @@ def st_windows(spark: SparkSession, d: str) -> DataFrame:
     path = f"{d}/events.parquet"
     reader = spark.readStream.schema(schema)
     stream = reader.parquet(path) if os.path.isdir(path) else reader.option("pathGlobFilter", "events.parquet").parquet(d)
-    return results.run_to_table(results.windowed(stream), "st_windows_result")
+    return results.run_to_table(results.windowed(stream))
 
 
 @query(

@@ -32,13 +32,29 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+_WRITTEN: list[str] = []
+
+
+def clear_tables(spark: SparkSession) -> int:
+    """Removes the intermediate tables that this process wrote so far, and tells how many. Frames that still read them
+    can't be evaluated any more: call it between independent queries."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    n = 0
+    while _WRITTEN:
+        path = hadoop(_WRITTEN.pop())
+        n += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def materialise(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Write ``df`` as parquet into the shared folder and read it back.
 
-    The written table outlives executors, cuts the lineage and is read by any number of consumers.
+    The written table outlives executors, cuts the lineage and is read by any number of consumers;
+    ``clear_tables`` removes it.
     """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"table-{uuid.uuid4().hex}")
+    _WRITTEN.append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     return out.select(*columns) if columns else out

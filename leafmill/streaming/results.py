@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from leafmill.session import shared_dir
+
 
 def still_open(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows whose key has no finished result (``error`` null or empty) yet."""
@@ -63,14 +66,21 @@ def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     return events.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("session_start"), "n")
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over all that is there and returns the result held in memory (for small results)."""
+def run_to_table(stream: DataFrame, mode: str = "complete") -> DataFrame:
+    """Runs a stream over all that is there and returns its result as a table in the shared folder: the last one of
+    ``complete`` mode, all changes otherwise. Nothing passes through the driver; a repeated batch replaces its own files."""
     spark: SparkSession = stream.sparkSession
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    kept = f"{path}/rows"
+
+    def write(df: DataFrame, number: int) -> None:
+        df.write.mode("overwrite").parquet(kept if mode == "complete" else f"{kept}/batch={number}")
+
+    q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     try:
         q.awaitTermination()
         if q.exception():
             raise q.exception()
     finally:
         q.stop()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(kept).select(*stream.columns)

@@ -147,7 +147,7 @@ def test_streams(spark, tmp_path):
     schema = "query_id string, value double, error string, ord long"
     spark.createDataFrame([("q", None, "boom", 1), ("p", 1.0, "", 1)], schema).write.parquet(str(src))
     stream = spark.readStream.schema(schema).parquet(str(src))
-    got = {(r["query_id"], r["value"]) for r in results.run_to_table(results.corrected(stream), "t_corrected", "update").collect()}
+    got = {(r["query_id"], r["value"]) for r in results.run_to_table(results.corrected(stream), "update").collect()}
     assert got == {("q", None), ("p", 1.0)} or {g[0] for g in got} == {"q", "p"}
     done = spark.createDataFrame([("p", "")], "query_id string, error string")
     assert [r["query_id"] for r in results.still_open(spark.read.parquet(str(src)), done, "query_id").collect()] == ["q"]
