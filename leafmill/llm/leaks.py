@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions.rolling import rolling_hashes
-from leafmill.functions.words import WordHash, words
+from leafmill.functions.words import WordHash, word_array, words
+from leafmill.session import materialise
 
 
 def tiles(text: np.ndarray, item: np.ndarray, size: int) -> list[tuple[int, int, int]]:
@@ -83,19 +84,20 @@ def _seeds(size: int, key: str):
     return run
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, doc: str = "doc_id", item: str = "item_id", doc_text: str = "text", item_text: str = "text", min_tile: int = 12, broadcast_seeds: int = 2_000_000) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, doc: str = "doc_id", item: str = "item_id", doc_text: str = "text", item_text: str = "text", min_tile: int = 12, broadcast_seeds: int = 2_000_000, split: int = 10_000) -> DataFrame:
     """``doc, item, longest, covered, item_words, tiles, coverage``: every pair with a common run of at least
     ``min_tile`` words, however reordered the rest: longest tile, words of the item under tiles, their share.
 
     Null texts and items under ``min_tile`` words have no rows; rows repeated with the same ids count once. The
-    items' seeds go to every executor if there are at most ``broadcast_seeds``; otherwise seeds of both sides
-    are joined. The corpus is scanned once and not shuffled in the first case.
+    items go to every executor if they have at most ``broadcast_seeds`` words, so that there are no more seeds;
+    otherwise seeds of both sides are joined, those that more than ``split`` documents have in several tasks. The corpus
+    is scanned once and not shuffled in the first case.
     """
     texts = docs.select(F.col(doc).cast("long").alias("doc"), F.col(doc_text).alias("text")).where("doc IS NOT NULL AND text IS NOT NULL")
     tests = items.select(F.col(item).cast("long").alias("item"), F.col(item_text).alias("text")).where("item IS NOT NULL AND text IS NOT NULL").distinct()
     seeds = tests.mapInArrow(_seeds(min_tile, "item"), "h long, item long")
-    size = tests.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    if size <= 6 * broadcast_seeds:  # a seed can't come from fewer characters than its word has
+    size = tests.agg(F.sum(F.size(word_array(F.col("text")))).alias("n")).first()["n"] or 0
+    if size <= broadcast_seeds:
         spark = docs.sparkSession
         held = tests.collect()
         sent = spark.sparkContext.broadcast([(r["item"], r["text"]) for r in held])
@@ -125,7 +127,13 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc: str = "doc_id", item: str
 
         out = texts.mapInArrow(scan, _OUT)
     else:
-        pairs = texts.mapInArrow(_seeds(min_tile, "doc"), "h long, doc long").join(seeds, "h").select("doc", "item").distinct()
+        seeds = materialise(seeds)
+        mine = materialise(texts.mapInArrow(_seeds(min_tile, "doc"), "h long, doc long").join(seeds.select("h").distinct(), "h", "left_semi"))
+        parts = F.ceil(F.col("df") / F.lit(split)).cast("int")
+        df = mine.groupBy("h").agg(F.count("*").alias("df"))
+        left = mine.join(df, "h").withColumn("salt", F.pmod(F.xxhash64("doc"), parts).cast("int"))
+        right = seeds.join(df, "h").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1)))
+        pairs = left.join(right, ["h", "salt"]).select("doc", "item").distinct()
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes = WordHash()

@@ -75,7 +75,20 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_pairs(table(spark, d, "evidence_report"), "evidence_id", "evidence_text").toDF("evidence_id_a", "evidence_id_b")
 
 
-@query("p3_shared")
+@query(
+    "p3_shared",
+    """
+WITH u AS (SELECT evidence_id, evidence_text AS t FROM evidence_report QUALIFY row_number() OVER (PARTITION BY evidence_id ORDER BY length(coalesce(evidence_text, '')) DESC, md5(coalesce(evidence_text, '')) DESC) = 1),
+e AS (SELECT DISTINCT evidence_id, evidence_text AS t FROM evidence_report WHERE length(evidence_text) >= 150),
+g AS (SELECT evidence_id, t, unnest(range(0, length(t) - 149)) AS i FROM e), w AS (SELECT evidence_id, t, i, substr(t, i + 1, 150) AS s FROM g),
+c AS (SELECT s FROM w GROUP BY s HAVING count(DISTINCT evidence_id) > 1),
+h AS (SELECT DISTINCT w.evidence_id, i AS a, i + 150 AS b FROM w JOIN c USING (s) JOIN u ON u.evidence_id = w.evidence_id AND u.t = w.t),
+n AS (SELECT *, CASE WHEN a > coalesce(max(b) OVER (PARTITION BY evidence_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) THEN 1 ELSE 0 END AS new FROM h),
+k AS (SELECT *, sum(new) OVER (PARTITION BY evidence_id ORDER BY a ROWS UNBOUNDED PRECEDING) AS k FROM n), m AS (SELECT evidence_id, k, min(a) AS a, max(b) AS b FROM k GROUP BY ALL),
+o AS (SELECT evidence_id, string_agg(a || '-' || b, ',' ORDER BY a) AS spans, sum(b - a)::INT AS shared_chars FROM m GROUP BY evidence_id),
+l AS (SELECT evidence_id, lcs_ratio, line_coverage FROM evidence_report QUALIFY row_number() OVER (PARTITION BY evidence_id ORDER BY matched_at DESC NULLS LAST, lcs_ratio DESC NULLS LAST, line_coverage DESC NULLS LAST) = 1)
+SELECT u.evidence_id, length(coalesce(u.t, ''))::INT AS chars, coalesce(spans, '') AS spans, coalesce(shared_chars, 0) AS shared_chars, CASE WHEN length(u.t) > 0 THEN coalesce(shared_chars, 0) / length(u.t) ELSE 0.0 END AS shared, lcs_ratio, line_coverage FROM u LEFT JOIN o USING (evidence_id) LEFT JOIN l USING (evidence_id)""",
+)
 def p3_shared(spark: SparkSession, d: str) -> DataFrame:
     """Each evidence with its recurring spans, beside the stored scores of its latest delivery."""
     rows = table(spark, d, "evidence_report")
@@ -85,6 +98,17 @@ def p3_shared(spark: SparkSession, d: str) -> DataFrame:
     return out.join(stored, "id", "left").select(F.col("id").alias("evidence_id"), "chars", shown.alias("spans"), "shared_chars", "shared", "s.lcs_ratio", "s.line_coverage")
 
 
+@query(
+    "p3_classes",
+    """
+WITH e AS (SELECT DISTINCT evidence_id, evidence_text AS t FROM evidence_report WHERE length(evidence_text) >= 150), c AS (SELECT t, min(evidence_id) AS class_id, count(*) AS copies FROM e GROUP BY t)
+SELECT evidence_id, class_id, copies FROM e JOIN c USING (t) QUALIFY row_number() OVER (PARTITION BY evidence_id ORDER BY class_id, copies) = 1""",
+)
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Which evidence stands for each one among exact copies."""
+    return spans.text_classes(table(spark, d, "evidence_report"), "evidence_id", "evidence_text").withColumnRenamed("id", "evidence_id")
+
+
 # ------------------------------------------------ 4: splitting oversized items at natural boundaries
 @query(
     "p4_found",

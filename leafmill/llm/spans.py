@@ -489,6 +489,14 @@ def shared_share(records: DataFrame, key: str, text: str, length: int = 150, **h
     return out.select("id", "chars", F.coalesce("spans", empty).alias("spans"), shared.alias("shared_chars"), F.when(F.col("chars") > 0, shared / F.col("chars")).otherwise(0.0).alias("shared"))
 
 
+def text_classes(records: DataFrame, key: str, text: str, length: int = 150) -> DataFrame:
+    """``id, class_id, copies``: for each key with a text of ``length`` characters the least key that has the same text, and
+    how many have it: the membership behind pairs of classes. Null keys and shorter texts have none."""
+    of = members(records.where(F.length(text) >= length), key, text)
+    per = of.groupBy("md5").agg(F.min("id").alias("class_id"), F.count("*").alias("copies"))
+    return of.join(per, "md5").select("id", "class_id", "copies").groupBy("id").agg(F.min(F.struct("class_id", "copies")).alias("c")).select("id", "c.*")
+
+
 def shared_pairs(records: DataFrame, key: str, text: str, length: int = 150, expand_copies: int = 64, **how) -> DataFrame:
     """``a, b`` (a < b): pairs of records whose texts have a common run of ``length`` characters, copies of one
     text of that length included (see ``expand`` for texts with very many keys)."""

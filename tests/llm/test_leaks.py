@@ -16,8 +16,8 @@ def rows(spark):
 def test_reordered_passages_and_both_paths(spark):
     docs, items = rows(spark)
     want = {(1, 10), (1, 11), (2, 10), (2, 11), (6, 10), (6, 11)}
-    for seeds in (2_000_000, 0):
-        got = {(r["doc"], r["item"]): r for r in leaks.find_leaks(docs, items, broadcast_seeds=seeds).collect()}
+    for how in ({}, {"broadcast_seeds": 0}, {"broadcast_seeds": 0, "split": 1}):
+        got = {(r["doc"], r["item"]): r for r in leaks.find_leaks(docs, items, **how).collect()}
         assert set(got) == want
         assert got[2, 10]["tiles"] == 2 and got[2, 10]["covered"] == 28 and got[2, 10]["coverage"] == 1.0
         assert got[1, 10]["longest"] == 14 and got[1, 10]["coverage"] == 0.5

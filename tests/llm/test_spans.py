@@ -66,6 +66,12 @@ def test_share_is_that_of_brute_force(spark):
             assert {i for a, b in got[k]["spans"] for i in range(a, b)} == covered
 
 
+def test_classes_of_copies(spark):
+    df = spark.createDataFrame([(3, "abcdef"), (1, "abcdef"), (1, "abcdef"), (2, "other text"), (4, "abc"), (5, None), (None, "abcdef")], "evidence_id long, evidence_text string")
+    got = {(r["id"], r["class_id"], r["copies"]) for r in spans.text_classes(df, "evidence_id", "evidence_text", 5).collect()}
+    assert got == {(1, 1, 2), (3, 1, 2), (2, 2, 1)}
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "evidence_id long, evidence_text string")
     assert spans.shared_pairs(df, "evidence_id", "evidence_text").count() == 0
