@@ -209,7 +209,7 @@ def dot(a: Column, b: Column) -> Column:
 
 
 # -------------------------------------------------------------------------------- hierarchical beam
-INDEX = "doc_id string, root array<double>, node_id array<string>, up array<int>, chunk_id array<string>, vectors array<float>, dimensions int"
+INDEX = "doc_id string, root array<double>, node_id array<string>, up array<int>, chunk_id array<string>, vectors array<double>, dimensions int"
 
 
 def beam_index(nodes: DataFrame) -> DataFrame:
@@ -234,7 +234,7 @@ def beam_index(nodes: DataFrame) -> DataFrame:
                 size = max((len(x["vector"]) for x in held if x["vector"] is not None), default=0)
                 flat = [v for x in held for v in (x["vector"] if x["vector"] is not None else [float("nan")] * size)]
                 cols = [[doc], [top["vector"]], [[x["node_id"] for x in held]], [up], [[x["chunk_id"] for x in held]], [flat], [size]]
-                kinds = [pa.string(), pa.list_(pa.float64()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.float32()), pa.int32()]
+                kinds = [pa.string(), pa.list_(pa.float64()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.float64()), pa.int32()]
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds)], names=[f.split(" ")[0] for f in INDEX.split(", ")])
 
     return both.mapInArrow(run, INDEX)

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from leafmill.functions import providers, text
 from leafmill.functions.words import token_count, word_array
 from leafmill.operators import answers, evaluation, matching, navigator, nested, retrieval, trees
+from leafmill.plans.nested_queries import NODES_SQL
 from leafmill.plans.queries import Registry
 from leafmill.session import materialise, table
 from leafmill.streaming import results
@@ -183,24 +184,62 @@ def tree_nodes(spark: SparkSession, d: str) -> DataFrame:
     return own.select("doc_id", "doc_description", name("node_ord").alias("node_id"), F.when(F.col("parent_ord") >= 0, name("parent_ord")).alias("parent_id"), F.col("node_ord").alias("ord"), *(F.col("fields")[c].alias(c) for c in ("structure", "title", "summary", "chunk_id")), number("start_index"), number("end_index"))
 
 
-@query("tr_statistics")
+TREE_SQL = (
+    NODES_SQL
+    + """, lt AS (SELECT tree_id, doc_name, doc_description FROM trees QUALIFY row_number() OVER (PARTITION BY doc_name ORDER BY built_at DESC NULLS LAST, tree_id DESC) = 1),
+tn AS (SELECT doc_name AS doc_id, 'n' || node_ord AS node_id, CASE WHEN parent_ord >= 0 THEN 'n' || parent_ord END AS parent_id, node_ord AS ord, """
+    + ", ".join(f"CASE WHEN json_type(node->'$.{c}') NOT IN ('ARRAY', 'OBJECT') THEN node->>'$.{c}' END AS {c}" for c in ("title", "summary", "chunk_id"))
+    + ", "
+    + ", ".join(f"TRY_CAST(nullif(regexp_extract(CASE WHEN json_type(node->'$.{c}') NOT IN ('ARRAY', 'OBJECT') THEN node->>'$.{c}' END, '([0-9]+)', 1), '') AS INT) AS {c}" for c in ("start_index", "end_index"))
+    + """ FROM nodes JOIN lt USING (tree_id)),
+pt AS (SELECT *, 1 AS depth, [node_id] AS path FROM tn WHERE parent_id IS NULL UNION ALL SELECT tn.*, pt.depth + 1, list_append(pt.path, tn.node_id) FROM pt JOIN tn ON tn.doc_id = pt.doc_id AND tn.parent_id = pt.node_id),
+lo AS (SELECT tn.* FROM tn ANTI JOIN (SELECT doc_id, parent_id AS node_id FROM tn WHERE parent_id IS NOT NULL) USING (doc_id, node_id))"""
+)
+
+
+@query(
+    "tr_statistics",
+    TREE_SQL
+    + """, lv AS (SELECT doc_id, depth, count(*) AS width FROM pt GROUP BY ALL), lc AS (SELECT doc_id, count(*) AS leaves FROM lo GROUP BY doc_id)
+SELECT doc_id, sum(width)::BIGINT AS nodes, max(depth) AS max_depth, max(width) AS max_width, """
+    + ", ".join(f"round(avg(least({m}, width) / width), 9) AS retained_{m}" for m in (5, 7, 10))
+    + ", max(leaves) AS leaves FROM lv LEFT JOIN lc USING (doc_id) GROUP BY doc_id",
+)
 def tr_statistics(spark: SparkSession, d: str) -> DataFrame:
-    return trees.tree_statistics(tree_nodes(spark, d))
+    out = trees.tree_statistics(tree_nodes(spark, d))
+    return out.withColumns({f"retained_{m}": F.round(f"retained_{m}", 9) for m in (5, 7, 10)})
 
 
-@query("tr_collection")
+@query(
+    "tr_collection",
+    TREE_SQL
+    + """ SELECT doc_id, node_id AS local_id, doc_id || '_' || node_id AS node_id, coalesce(doc_id || '_' || parent_id, doc_id) AS parent_id, title, 'section' AS node_type, ord + 1 AS ord FROM tn
+UNION ALL SELECT DISTINCT doc_id, NULL, doc_id, 'collection', replace(doc_id, '_', ' '), 'document_node', 0 FROM tn UNION ALL SELECT NULL, NULL, 'collection', NULL, 'collection', 'collection_root', 0""",
+)
 def tr_collection(spark: SparkSession, d: str) -> DataFrame:
     return trees.collection(tree_nodes(spark, d))
 
 
-@query("tr_descendant_chunks")
+@query(
+    "tr_descendant_chunks",
+    TREE_SQL
+    + """, an AS (SELECT doc_id, unnest(path) AS a, node_id FROM pt)
+SELECT an.doc_id, an.a AS node_id, string_agg(lo.chunk_id, ',' ORDER BY lo.ord, lo.chunk_id) AS chunks, count(*) AS unseen FROM an JOIN lo USING (doc_id, node_id) WHERE lo.chunk_id IS NOT NULL GROUP BY ALL""",
+)
 def tr_descendant_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return trees.descendant_chunks(materialise(tree_nodes(spark, d)))
+    return trees.descendant_chunks(materialise(tree_nodes(spark, d))).withColumn("chunks", F.array_join("chunks", ","))
 
 
-@query("te_sibling_issues")
+@query(
+    "te_sibling_issues",
+    TREE_SQL
+    + """, g AS (SELECT *, start_index IS NOT NULL AND end_index IS NOT NULL AS good FROM tn),
+p AS (SELECT *, last_value(CASE WHEN good THEN start_index END IGNORE NULLS) OVER w AS ps, last_value(CASE WHEN good THEN end_index END IGNORE NULLS) OVER w AS pe FROM g WINDOW w AS (PARTITION BY doc_id, parent_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT doc_id, node_id, 'missing_index' AS issue FROM p WHERE NOT good UNION ALL SELECT doc_id, node_id, 'start_after_end' FROM p WHERE good AND start_index > end_index
+UNION ALL SELECT doc_id, node_id, 'start_index_goes_backwards' FROM p WHERE good AND start_index < ps UNION ALL SELECT doc_id, node_id, 'start_before_previous_end' FROM p WHERE good AND start_index < pe""",
+)
 def te_sibling_issues(spark: SparkSession, d: str) -> DataFrame:
-    return trees.sibling_issues(tree_nodes(spark, d))
+    return trees.sibling_issues(tree_nodes(spark, d)).select("doc_id", "node_id", "issue")
 
 
 # -------------------------------------------------------------------------------------------- retrieval
@@ -297,10 +336,30 @@ def _asked_vectors(spark: SparkSession, d: str) -> DataFrame:
     return materialise(providers.hashed_vectors(table(spark, d, "queries").select("query_id", "query").distinct(), "query_id", "query", 256))
 
 
-@query("rt_beam")
+BEAM_SQL = (
+    TREE_SQL
+    + r""", rt AS (SELECT DISTINCT doc_id FROM tn), ds AS (SELECT doc_name AS doc_id, doc_description FROM lt),
+tx AS (SELECT doc_id, node_id, coalesce(parent_id, 'root') AS up, ord, chunk_id, concat_ws(chr(10), nullif(trim(title), ''), nullif(trim(summary), '')) AS t FROM tn
+  UNION ALL SELECT doc_id, 'root', NULL, -1, NULL, concat_ws(chr(10), trim(replace(replace(doc_id, '_', ' '), '-', ' ')), nullif(trim(doc_description), '')) FROM rt JOIN ds USING (doc_id)),
+wd AS (SELECT doc_id, node_id, unnest(regexp_extract_all(lower(t), '[\p{L}\p{N}]+')) AS w FROM tx), nb AS (SELECT doc_id, node_id, ('0x' || left(md5(w), 8))::BIGINT % 256 AS b, count(*)::DOUBLE AS c FROM wd GROUP BY ALL),
+nv AS (SELECT doc_id, node_id, b, c / sqrt(sum(c * c) OVER (PARTITION BY doc_id, node_id)) AS x FROM nb),
+qw AS (SELECT query_id, unnest(regexp_extract_all(lower(coalesce(query, '')), '[\p{L}\p{N}]+')) AS w FROM (SELECT DISTINCT query_id, query FROM queries)), qb AS (SELECT query_id, ('0x' || left(md5(w), 8))::BIGINT % 256 AS b, count(*)::DOUBLE AS c FROM qw GROUP BY ALL),
+qv AS (SELECT query_id, b, c / sqrt(sum(c * c) OVER (PARTITION BY query_id)) AS y FROM qb), qi AS (SELECT DISTINCT query_id FROM qv),
+rs AS (SELECT query_id, doc_id, round(sum(x * y), 9) AS score FROM nv JOIN qv USING (b) WHERE node_id = 'root' GROUP BY ALL),
+bd AS (SELECT query_id, doc_id FROM (SELECT query_id, d.doc_id, coalesce(score, 0) AS score FROM qi CROSS JOIN (SELECT DISTINCT doc_id FROM nv WHERE node_id = 'root') d LEFT JOIN rs USING (query_id, doc_id)) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) = 1),
+sc AS (SELECT bd.query_id, tx.doc_id, tx.node_id, tx.up, tx.ord, tx.chunk_id, CASE WHEN tx.node_id IN (SELECT node_id FROM nv n WHERE n.doc_id = tx.doc_id) THEN coalesce(round((SELECT sum(x * y) FROM nv JOIN qv USING (b) WHERE nv.doc_id = tx.doc_id AND nv.node_id = tx.node_id AND qv.query_id = bd.query_id), 9), 0) ELSE -1 END AS score,
+  EXISTS (SELECT 1 FROM tx c WHERE c.doc_id = tx.doc_id AND c.up = tx.node_id) AS inner_ FROM bd JOIN tx USING (doc_id)),
+fr AS (SELECT query_id, doc_id, node_id, chunk_id, score, inner_, 0 AS level, 1::BIGINT AS place FROM sc WHERE node_id = 'root'
+  UNION ALL SELECT query_id, doc_id, node_id, chunk_id, score, inner_, level, place FROM (SELECT s.query_id, s.doc_id, s.node_id, s.chunk_id, s.score, s.inner_, f.level + 1 AS level, row_number() OVER (PARTITION BY s.query_id ORDER BY s.score DESC, f.place, s.ord, s.node_id) AS place FROM fr f JOIN sc s ON s.query_id = f.query_id AND s.up = f.node_id WHERE f.inner_) WHERE place <= 10),
+cd AS (SELECT * FROM fr WHERE NOT inner_ QUALIFY row_number() OVER (PARTITION BY query_id, coalesce(chunk_id, 'node ' || node_id) ORDER BY score DESC, level, place) = 1),
+beam AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, level, place)::INT AS rank, node_id, chunk_id, score FROM cd QUALIFY rank <= 5)"""
+)
+
+
+@query("rt_beam", BEAM_SQL + " SELECT query_id, doc_id, rank, node_id, chunk_id, round(score, 6) AS score FROM beam")
 def rt_beam(spark: SparkSession, d: str) -> DataFrame:
     """Hierarchical beam over section trees with hashed word vectors."""
-    return retrieval.beam_search(section_index(spark, d), _asked_vectors(spark, d))
+    return retrieval.beam_search(section_index(spark, d), _asked_vectors(spark, d)).withColumn("score", F.round("score", 6))
 
 
 @query("rt_beam_rerank")
@@ -322,11 +381,17 @@ def rt_walk(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("top5", F.array_join("top5", ","))
 
 
-@query("rt_beam_eval")
+@query(
+    "rt_beam_eval",
+    BEAM_SQL
+    + """, ids AS (SELECT query_id, list(chunk_id ORDER BY rank) FILTER (chunk_id IS NOT NULL) AS ids FROM beam GROUP BY query_id), g AS (SELECT DISTINCT query_id, bank_name, ground_truth_chunk_id AS gold FROM queries),
+mt AS (SELECT g.query_id, bank_name, nullif(list_position(ids, gold), 0) AS r FROM g LEFT JOIN ids USING (query_id))
+SELECT bank_name, count(DISTINCT query_id) AS queries, avg(CASE WHEN r = 1 THEN 1 ELSE 0 END) AS mean_correct_at_1, avg(CASE WHEN r IS NULL THEN 0 ELSE 1 END) AS mean_hit_at_k, avg(coalesce(1.0 / r, 0)) AS mean_reciprocal_rank FROM mt GROUP BY bank_name""",
+)
 def rt_beam_eval(spark: SparkSession, d: str) -> DataFrame:
     """Accuracy, hit rate and mean reciprocal rank of the beam for each bank."""
     gold = table(spark, d, "queries").select("query_id", "bank_name", F.col("ground_truth_chunk_id").alias("gold")).distinct()
-    hits = rt_beam(spark, d).select("query_id", "rank", F.col("chunk_id").alias("id"))
+    hits = rt_beam(spark, d).where("chunk_id IS NOT NULL").select("query_id", "rank", F.col("chunk_id").alias("id"))
     return evaluation.aggregate_metrics(evaluation.retrieval_metrics(gold.join(evaluation.ranked_ids(hits), "query_id", "left")), ["bank_name"])
 
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.functions import text
-from leafmill.operators import answers, assistant, evaluation, trees
+from leafmill.functions import providers, text
+from leafmill.operators import answers, assistant, evaluation, retrieval, trees
 from leafmill.plans.core_queries import BM25_SQL, CLEAN_ID_SQL, CURRENT_SQL, EVIDENCE_SQL, MATCH_KEY_SQL, RUN_TIME_SQL, RUNS_SQL, _bm25, current_chunks, current_evidence, latest_runs
 from leafmill.plans.queries import Registry
-from leafmill.session import materialise, table
+from leafmill.session import materialise, shared_dir, table
+from leafmill.streaming import results as streams
 
 REGISTRY = Registry()
 query = REGISTRY.query
@@ -296,3 +299,86 @@ def rt_preferences(spark: SparkSession, d: str) -> DataFrame:
     """Questions with the advice of the topics that they name."""
     known = spark.createDataFrame([("Credit", "Read the notes on credit risk first."), ("million", "Amounts stand in the tables."), ("unheard", None)], "topic string, advice string")
     return assistant.with_preferences(table(spark, d, "queries").select("query_id", "query").distinct(), known)
+
+
+# ------------------------------------------------------------------------------- labels, replies, members
+@query(
+    "sc_top_m",
+    r"""SELECT run_id, coalesce(CASE WHEN run_id % 4 = 0 THEN num_chunks END, TRY_CAST(nullif(regexp_extract('beam_top_m_' || run_id || '.jsonl', '_top_m_(\d+)', 1), '') AS INT)) AS top_m FROM (SELECT DISTINCT run_id, num_chunks FROM chunk_runs)""",
+)
+def sc_top_m(spark: SparkSession, d: str) -> DataFrame:
+    """The width of a beam by its field, else by the name of its result file."""
+    runs = table(spark, d, "chunk_runs").select("run_id", "num_chunks").distinct()
+    name = F.concat(F.lit("beam_top_m_"), F.col("run_id").cast("string"), F.lit(".jsonl"))
+    return runs.select("run_id", text.top_m(F.when(F.col("run_id") % 4 == 0, F.col("num_chunks")), name).alias("top_m"))
+
+
+@query(
+    "sc_fenced",
+    f"WITH {CURRENT_SQL} SELECT chunk_id, start_index, end_index FROM cur",
+)
+def sc_fenced(spark: SparkSession, d: str) -> DataFrame:
+    """JSON out of replies with fences, ``None``, broken lines and trailing commas."""
+    n = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
+    body = F.concat(F.lit('{\n  "a": '), n("start_index"), F.lit(',\n  "b": '), n("end_index"), F.lit(",\n}"))
+    reply = F.when(F.length("chunk_id") % 2 == 0, F.concat(F.lit("Here it is:\n```json\n"), body, F.lit("\n```\nDone."))).otherwise(body)
+    got = current_chunks(spark, d).select("chunk_id", F.from_json(text.fenced_json(reply), "a int, b int").alias("x"))
+    return got.select("chunk_id", F.col("x.a").alias("start_index"), F.col("x.b").alias("end_index"))
+
+
+@query(
+    "sc_titles",
+    f"SELECT doc_name, trim(regexp_replace(regexp_replace({CLEAN_ID_SQL.format('doc_name')}, '^_+|_+$', '', 'g'), '_+', ' ', 'g')) AS title FROM (SELECT DISTINCT doc_name FROM chunks)",
+)
+def sc_titles(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "chunks").select("doc_name").distinct().select("doc_name", text.clean_title(F.col("doc_name")).alias("title"))
+
+
+@query(
+    "jn_open",
+    f"WITH {EVIDENCE_SQL}, done AS (SELECT DISTINCT evidence_id FROM ev WHERE evidence_id % 5 = 0 AND kept) SELECT evidence_id FROM ev WHERE evidence_id NOT IN (SELECT evidence_id FROM done)",
+)
+def jn_open(spark: SparkSession, d: str) -> DataFrame:
+    """Evidences without a finished result: every fifth has one, which counts where it is kept."""
+    ev = current_evidence(spark, d).select("evidence_id", "kept")
+    done = ev.where("evidence_id % 5 = 0").select("evidence_id", F.when(~F.coalesce("kept", F.lit(False)), "failed").alias("error"))
+    return streams.still_open(ev.select("evidence_id"), done, "evidence_id")
+
+
+@query(
+    "so_answers",
+    """SELECT financebench_id, company, evidence_id FROM evidence_report WHERE financebench_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY financebench_id, company ORDER BY coalesce(same_doc, false) DESC, matched_at DESC NULLS LAST, evidence_id DESC) = 1""",
+)
+def so_answers(spark: SparkSession, d: str) -> DataFrame:
+    """For each question and company the latest success, else the latest."""
+    rows = table(spark, d, "evidence_report").where("financebench_id IS NOT NULL")
+    return evaluation.keep_best(rows, ["financebench_id", "company"], F.col("same_doc"), F.struct("matched_at", "evidence_id")).select("financebench_id", "company", "evidence_id")
+
+
+@query(
+    "tk_best_document",
+    """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, r.vec_id AS id, round(list_dot_product(q.v, r.v), 9) AS score FROM v q CROSS JOIN v r WHERE q.vec_id % 50 = 0 AND r.vec_id <> q.vec_id)
+SELECT query_id, id, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) = 1""",
+)
+def tk_best_document(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest other row of every row whose id is divisible by 50."""
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    out = retrieval.dense_top_k(rows, rows.where("id % 50 = 0").withColumnRenamed("id", "query_id"), 1, exclude_self=True)
+    return out.select("query_id", "id", F.round("score", 6).alias("score"))
+
+
+@query("rt_cached")
+def rt_cached(spark: SparkSession, d: str) -> DataFrame:
+    """Questions' vectors through the cache, every second one known from an earlier run."""
+
+    def encode(texts: list[str]) -> list[list[float]]:
+        return [[float(len(t)), float(t.count(" ") + 1)] for t in texts]
+
+    path = f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}"
+    q = table(spark, d, "queries").select("query_id", "query").distinct()
+    providers.cached_vectors(q.where("length(query) % 2 = 0"), "query_id", "query", path, "lengths", encode)
+    return providers.cached_vectors(q, "query_id", "query", path, "lengths", encode).select("query_id", F.get("vector", 0).alias("chars"))
+
+
+REGISTRY.sql["rt_cached"] = "SELECT DISTINCT query_id, CASE WHEN trim(coalesce(query, '')) <> '' THEN length(query)::DOUBLE END AS chars FROM queries"
