@@ -60,6 +60,13 @@ def materialise(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return out.select(*columns) if columns else out
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` (scans and projections) over all cores where a few files would keep most of them idle: for steps that work
+    much on each byte. Input with half as many partitions as there are cores, or more, stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if 2 * df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
