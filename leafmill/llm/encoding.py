@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions.memo import Memo
-from leafmill.session import materialise
+from leafmill.session import materialise, spread
 
 # ---------------------------------------------------------------- fixed values
 #: Encodings in which UTF-8 bytes are read by mistake.
@@ -145,7 +145,7 @@ def garbled_words(docs: DataFrame, text: str = "text") -> DataFrame:
     replaced by its own original. A token that no word explains is mended by the garbled characters in it, and if
     it holds control characters, by what their bytes are in cp1252.
     """
-    tokens = materialise(docs.select(F.col(text).alias("text")).mapInArrow(_tokens, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")))
+    tokens = materialise(spread(docs.select(F.col(text).alias("text"))).mapInArrow(_tokens, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")))
     forms = tokens.mapInArrow(_forms, "token string, word string, m long, chain string, sure boolean")
     letters = F.length(F.regexp_replace("token", r"[^A-Za-z]", ""))
     foreign = F.col("token").rlike(r"^[^\x00-\x{BF}]{4,}$") & F.col("word").rlike(r"^[\p{L}]{4,}$")
@@ -184,7 +184,7 @@ def garbled_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text")
     """
     own = docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text")).where("doc IS NOT NULL AND text IS NOT NULL")
     words = garbled_words(docs, text)
-    hits = own.mapInArrow(_doc_tokens, "doc long, token string").join(words, "token")
+    hits = spread(own).mapInArrow(_doc_tokens, "doc long, token string").join(words, "token")
     per = hits.groupBy("doc", "chain").agg(F.collect_set(F.struct("token", "word")).alias("s"), F.max("sure").alias("sure"))
     sums = per.groupBy("doc").agg(F.flatten(F.collect_list("s")).alias("swaps"), F.max("sure").alias("sure"), F.max(F.size("s")).alias("most"))
     found = sums.where("sure OR most >= 2").select("doc", "swaps")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions.rolling import rolling_hashes
 from leafmill.functions.words import WordHash, word_array, words
-from leafmill.session import materialise
+from leafmill.session import materialise, spread
 
 
 def tiles(text: np.ndarray, item: np.ndarray, size: int) -> list[tuple[int, int, int]]:
@@ -125,7 +125,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc: str = "doc_id", item: str
                             rows.append(_row(d, i, found, len(known[i])))
                 yield _batch(rows)
 
-        out = texts.mapInArrow(scan, _OUT)
+        out = spread(texts).mapInArrow(scan, _OUT)
     else:
         seeds = materialise(seeds)
         mine = materialise(texts.mapInArrow(_seeds(min_tile, "doc"), "h long, doc long").join(seeds.select("h").distinct(), "h", "left_semi"))

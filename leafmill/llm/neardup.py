@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions.memo import Memo
 from leafmill.functions.words import WordHash, mix64, window_hashes, words
-from leafmill.session import materialise
+from leafmill.session import materialise, spread
 
 def mix32(h: np.ndarray) -> np.ndarray:
     """A bijection of 32-bit words that spreads every input bit, in place."""
@@ -204,7 +204,7 @@ def _checked(pairs: DataFrame, base: DataFrame, shingle: int, threshold: float)
 
 def _keyed(records: DataFrame, text: str, shingle: int, min_words: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
     base = records.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("cid"), F.col(text).alias("text"))
-    return base, base.mapInArrow(_bands(shingle, bands, rows, min_words), "key long, cid long")
+    return base, spread(base).mapInArrow(_bands(shingle, bands, rows, min_words), "key long, cid long")
 
 
 def similar_classes(records: DataFrame, text: str = "text", shingle: int = 5, threshold: float = 0.8, min_words: int = 0, bands: int = 48, rows: int = 4, bucket_limit: int = 512) -> DataFrame:

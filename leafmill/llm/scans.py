@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions.memo import Memo
 from leafmill.functions.words import words
-from leafmill.session import materialise
+from leafmill.session import materialise, spread
 
 # ---------------------------------------------------------------- fixed values
 #: Look-alikes of print and scan: (what was read, what was printed, cost).
@@ -780,6 +780,7 @@ def repair_pages(records: DataFrame, key: str, doc_name: str, fields: list[str],
     them comes by joins: its repair is run with what is known and asks for what it misses, until it misses nothing,
     so that its result is that of the whole model.
     """
+    records = spread(records.select(*dict.fromkeys([key, doc_name, *fields])))
     model = page_model(records, fields) if model is None else model
     rows = records.select(F.col(key).cast("string").alias("key"), F.col(doc_name).alias("doc"), *fields)
     body = fields[0]
