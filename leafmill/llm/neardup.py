@@ -291,7 +291,7 @@ def near_duplicate_groups(records: DataFrame, key: str = "chunk_id", text: str =
     texts are then in different components have these paired, across components only.
     """
     base, keyed = _keyed(records, text, shingle, min_words, bands, rows)
-    keyed = materialise(keyed.distinct())
+    keyed = materialise(keyed)
     first = keyed.groupBy("key").agg(F.min("cid").alias("a"), F.max("cid").alias("z")).where("a < z").select("key", "a")
     star = materialise(keyed.join(first, "key").where("cid <> a").select("a", F.col("cid").alias("b")).distinct())
     linked = materialise(_checked(star, base, shingle, threshold).select(F.col("ma").alias("a"), F.col("mb").alias("b")).where("a <> b"))
@@ -310,16 +310,15 @@ def near_duplicate_groups(records: DataFrame, key: str = "chunk_id", text: str =
         apart = hot.select(F.col("b").alias("cid")).distinct().join(label, "cid")
         pairs = pairs.union(_prefix_candidates(apart, base, shingle, threshold)).distinct()
     pairs = materialise(pairs.join(star, ["a", "b"], "left_anti"))
-    linked = linked.union(_checked(pairs, base, shingle, threshold).select("ma", "mb").where("ma <> mb"))
-    # edges between keys: similar texts by their first keys, and a text's keys to its first one
-    of = materialise(members(records, key, text))
-    firsts = of.groupBy("md5").agg(F.min("id").alias("first"), F.count("*").alias("n"))
-    x, y = firsts.select(F.col("md5").alias("a"), F.col("first").alias("x")), firsts.select(F.col("md5").alias("b"), F.col("first").alias("y"))
-    edges = linked.join(x, "a").join(y, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    long = named.join(keyed.select("cid").distinct(), "cid", "left_semi").select("md5")
-    copies = of.join(firsts.where("n > 1").join(long, "md5", "left_semi"), "md5").where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
-    roots = components(edges.union(copies))
+    # classes of texts: what is left are edges between the components found so far, and keys with several texts
+    to_root = lambda df, c: df.join(roots.select(F.col("id").alias(c), F.col("root").alias(f"r{c}")), c, "left").withColumn(c, F.coalesce(f"r{c}", c)).drop(f"r{c}")
+    cross = _checked(pairs, base, shingle, threshold).select(F.col("ma").alias("a"), F.col("mb").alias("b"))
+    long = named.join(keyed.select("cid").distinct(), "cid", "left_semi").select("md5").distinct()
+    of = materialise(members(records, key, text).join(long, "md5", "left_semi").join(roots.select(F.col("id").alias("md5"), "root"), "md5", "left").select("id", F.coalesce("root", "md5").alias("root")).distinct())
+    several = of.groupBy("id").agg(F.min("root").alias("a"), F.max("root").alias("z")).where("a < z").join(of, "id").select("a", F.col("root").alias("b"))
+    again = components(to_root(to_root(cross, "a"), "b").union(several))
+    placed = of.join(again.select(F.col("id").alias("root"), F.col("root").alias("top")), "root", "left").select("id", F.coalesce("top", "root").alias("root")).distinct()
+    groups = placed.groupBy("root").agg(F.min("id").alias("group_id"), F.count("*").alias("group_size"))
     every = records.where(F.col(key).isNotNull()).select(F.col(key).alias("id")).distinct()
-    out = every.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("group_id"))
-    sizes = out.groupBy("group_id").agg(F.count("*").alias("group_size"))
-    return out.join(sizes, "group_id").select("id", "group_id", "group_size")
+    out = every.join(placed.join(groups, "root").select("id", "group_id", "group_size"), "id", "left")
+    return out.select("id", F.coalesce("group_id", "id").alias("group_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"))
