@@ -362,14 +362,25 @@ def rt_beam(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.beam_search(section_index(spark, d), _asked_vectors(spark, d)).withColumn("score", F.round("score", 6))
 
 
-@query("rt_beam_rerank")
+@query(
+    "rt_beam_rerank",
+    BEAM_SQL
+    + r""", cn AS (SELECT query_id, doc_id, node_id, chunk_id, score AS node_score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, level, place) AS node_rank FROM cd),
+cc AS (SELECT chunk_id, concat_ws(chr(10), nullif(trim(title), ''), nullif(trim(heading), ''), nullif(trim(text), '')) AS t FROM chunks WHERE chunk_id IN (SELECT chunk_id FROM cn) QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY ingested_at DESC NULLS FIRST) = 1),
+cw AS (SELECT chunk_id, unnest(regexp_extract_all(lower(t), '[\p{L}\p{N}]+')) AS w FROM cc), cb AS (SELECT chunk_id, ('0x' || left(md5(w), 8))::BIGINT % 256 AS b, count(*)::DOUBLE AS c FROM cw GROUP BY ALL),
+cv AS (SELECT chunk_id, b, c / sqrt(sum(c * c) OVER (PARTITION BY chunk_id)) AS x FROM cb),
+cs AS (SELECT cn.query_id, cn.chunk_id, round(sum(x * y), 9) AS s FROM (SELECT DISTINCT query_id, chunk_id FROM cn) cn JOIN cv USING (chunk_id) JOIN qv USING (query_id, b) GROUP BY ALL),
+fi AS (SELECT cn.*, CASE WHEN chunk_id IN (SELECT chunk_id FROM cv) THEN coalesce(cs.s, 0) ELSE node_score END AS score, CASE WHEN chunk_id IN (SELECT chunk_id FROM cv) THEN 'chunk' ELSE 'node' END AS scored_by FROM cn LEFT JOIN cs USING (query_id, chunk_id))
+SELECT query_id, doc_id, node_id, chunk_id, round(node_score, 6) AS node_score, round(score, 6) AS score, scored_by, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_rank) AS rank FROM fi QUALIFY rank <= 5""",
+)
 def rt_beam_rerank(spark: SparkSession, d: str) -> DataFrame:
     """All candidates of the beam, ordered anew by the texts of their chunks."""
     asked = _asked_vectors(spark, d)
     chunks = current_chunks(spark, d).select("chunk_id", text.joined_text(F.col("title"), F.col("heading"), F.col("text")).alias("t"))
     found = materialise(retrieval.beam_search(section_index(spark, d), asked, k=None))
     wanted = chunks.join(found.select("chunk_id").distinct(), "chunk_id", "left_semi")
-    return retrieval.rerank(found, asked, providers.hashed_vectors(wanted, "chunk_id", "t", 256))
+    out = retrieval.rerank(found, asked, providers.hashed_vectors(wanted, "chunk_id", "t", 256))
+    return out.withColumns({"node_score": F.round("node_score", 6), "score": F.round("score", 6), "rank": F.col("rank").cast("long")})
 
 
 @query("rt_walk")

@@ -199,13 +199,31 @@ def tc_subtree_tokens(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", F.col("ord").cast("long").alias("ord"), "subtree_tokens")
 
 
-@query("tc_markdown")
-def tc_markdown(spark: SparkSession, d: str) -> DataFrame:
-    """Each document written as Markdown and read back as a tree, small headings thinned."""
+def _markdown(spark: SparkSession, d: str) -> DataFrame:
+    """Each document written as Markdown."""
     heads = _levels(chunk_pages(spark, d))
     line = F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), F.coalesce("title", F.lit("untitled")), F.lit("\n"), F.regexp_replace("text", r"(?m)^#", " #"))
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("t")))), lambda x: x["t"]), "\n")
-    return toc.build_markdown_index(heads.groupBy("doc_id").agg(whole.alias("text")), 50).drop("text")
+    return heads.groupBy("doc_id").agg(whole.alias("text"))
+
+
+@query(
+    "tc_markdown",
+    LEVEL_SQL
+    + r""", ln AS (SELECT doc_id, page AS ord, coalesce(title, 'untitled') AS title, 2 + len(regexp_extract_all(text, '\n')) AS lines FROM pg),
+ps AS (SELECT *, 1 + coalesce(sum(lines) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line_num FROM ln),
+up AS (SELECT h.doc_id, h.ord, h.level, max(p.ord) AS parent FROM hd h LEFT JOIN hd p ON p.doc_id = h.doc_id AND p.ord < h.ord AND p.level < h.level GROUP BY ALL)
+SELECT doc_id, lpad((ord - 1)::VARCHAR, 4, '0') AS node_id, lpad((parent - 1)::VARCHAR, 4, '0') AS parent_id, trim(title) AS title, line_num::INT AS line_num, level::INT AS level FROM ps JOIN up USING (doc_id, ord)""",
+)
+def tc_markdown(spark: SparkSession, d: str) -> DataFrame:
+    """Each document written as Markdown and read back as a tree."""
+    return toc.build_markdown_index(_markdown(spark, d)).select("doc_id", "node_id", "parent_id", "title", "line_num", "level")
+
+
+@query("tc_thinned")
+def tc_thinned(spark: SparkSession, d: str) -> DataFrame:
+    """The same, headings under fifty words taken together."""
+    return toc.build_markdown_index(_markdown(spark, d), 50).drop("text")
 
 
 # ------------------------------------------------------------------------------- trees over the chunks

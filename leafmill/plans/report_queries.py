@@ -253,7 +253,15 @@ def ev_judged(spark: SparkSession, d: str) -> DataFrame:
     return answers.judged(rows, done=done).select("answer_id", "category")
 
 
-@query("ev_answers")
+@query(
+    "ev_answers",
+    BM25_SQL
+    + r""", ct AS (SELECT chunk_id, text FROM chunks QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY ingested_at DESC NULLS FIRST) = 1),
+cx AS (SELECT query_id, string_agg('[Retrieved chunk ' || rank || ']' || chr(10) || trim(ct.text), chr(10) || chr(10) ORDER BY rank) FILTER (trim(coalesce(ct.text, '')) <> '') AS x FROM hits JOIN ct ON ct.chunk_id = hits.id GROUP BY query_id),
+cut AS (SELECT query_id, CASE WHEN length(x) > 4000 THEN left(x, 4000) || chr(10) || '[Context truncated]' ELSE x END AS x FROM cx)
+SELECT 'bm25__' || query_id || '__top5' AS answer_id, md5(CASE WHEN coalesce(x, '') = '' THEN 'Insufficient information to answer the question.' ELSE regexp_replace(coalesce(query, '') || chr(10) || chr(10) || x, '^\s+|\s+$', '', 'g') END) AS answer, NULL::VARCHAR AS error
+FROM (SELECT DISTINCT query_id, query FROM queries) LEFT JOIN cut USING (query_id)""",
+)
 def ev_answers(spark: SparkSession, d: str) -> DataFrame:
     """Answers by the offline provider from the texts of the chunks that lexical retrieval found."""
     texts = current_chunks(spark, d).select(F.col("chunk_id").alias("id"), "text")
