@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions.memo import Memo
+from leafmill.functions.rolling import rolling_hashes
 from leafmill.functions.words import WordHash, mix64, window_hashes, words
 from leafmill.session import materialise, spread
 
@@ -33,13 +34,20 @@ def mix32(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def _keys(seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).integers(0, 2**32, 2, dtype=np.uint32)
+
+
+KEYS = Memo(_keys, 16)
+
+
 def signature(shingles: np.ndarray, size: int, seed: int = 11) -> np.ndarray:
     """``size`` coordinates of a set of 64-bit shingle hashes.
 
     Both permutations are keyed bijections of the 2^32 buckets, computed and not stored: ``sigma`` of a bucket is
     shifted circularly (modulo 2^32) by the coordinate's number before ``pi`` ranks it.
     """
-    keys = np.random.default_rng(seed).integers(0, 2**32, 2, dtype=np.uint32)
+    keys = KEYS[seed]
     at = mix32(np.unique((shingles >> np.uint64(32)).astype(np.uint32)) ^ keys[0]) ^ keys[1]
     shifts = np.arange(size, dtype=np.uint32)
     best = np.full(size, 2**32 - 1, dtype=np.uint32)
@@ -49,19 +57,19 @@ def signature(shingles: np.ndarray, size: int, seed: int = 11) -> np.ndarray:
 
 
 def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
-    """One 64-bit key for each band of ``rows`` coordinates."""
-    parts = sig.reshape(-1, rows).astype(np.uint64)
-    key = np.zeros(len(parts), dtype=np.uint64)
+    """One 64-bit key for each band of ``rows`` coordinates, of one signature or of each row of signatures."""
+    parts = sig.reshape(*sig.shape[:-1], -1, rows).astype(np.uint64)
+    key = np.zeros(parts.shape[:-1], dtype=np.uint64)
     for i in range(rows):
-        key = mix64(key + parts[:, i] + np.uint64(1))
-    return mix64(key + np.arange(len(parts), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        key = mix64(key + parts[..., i] + np.uint64(1))
+    return mix64(key + np.arange(key.shape[-1], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def _bands(shingle: int, bands: int, rows: int, min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = WordHash(), {}
         for batch in batches:
-            keys, ids = [], []
+            sigs, ids = [], []
             for cid, text in zip(batch["cid"].to_pylist(), batch["text"].to_pylist()):
                 # a text met twice in a task is known to have copies; more rows of it add nothing
                 n = seen.get(cid, 0)
@@ -71,10 +79,11 @@ def _bands(shingle: int, bands: int, rows: int, min_words: int):
                 if len(w) < max(min_words, shingle):
                     continue
                 seen[cid] = n + 1
-                keys.append(band_keys(signature(window_hashes(hashes.of(w), shingle), bands * rows), rows))
-                ids.append(np.full(bands, cid, dtype=np.int64))
-            if keys:
-                yield pa.record_batch({"key": pa.array(np.concatenate(keys).view(np.int64)), "cid": pa.array(np.concatenate(ids))})
+                sigs.append(signature(rolling_hashes(hashes.of(w), shingle), bands * rows))
+                ids.append(cid)
+            if sigs:
+                keys = band_keys(np.stack(sigs), rows)
+                yield pa.record_batch({"key": pa.array(keys.ravel().view(np.int64)), "cid": pa.array(np.repeat(np.array(ids, dtype=np.int64), bands))})
 
     return run
 
