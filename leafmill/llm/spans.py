@@ -178,6 +178,12 @@ class FMIndex:
             hi += np.where(low[hi] >= length, step, 0)
         return lo, hi
 
+    def bounds(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each suffix the first and the end of the interval of those that have ``length`` characters in common with
+        it: ``widen`` for one length, by a look-up."""
+        at, low = np.arange(len(self.least[0])), self.least[0] < length
+        return np.maximum.accumulate(np.where(low, at, 0)), np.minimum.accumulate(np.where(low, at, self.n)[::-1])[::-1]
+
     def statistics(self, text: np.ndarray, ends: np.ndarray, two: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         """Matching statistics of pieces (codes one after another, a piece ends before each of ``ends``; 0 for
         characters that the index lacks), place by place from the right: (piece, place in ``text``, lo, hi, length)
@@ -351,6 +357,8 @@ def _stream(length: int, pairs: bool):
         own = np.array([number.get(x[0], -1) for x in lanes])
         begins = np.r_[0, ends[:-1]]
         hits: list[tuple] = []
+        if pairs:
+            (first, end), (first_more, end_more) = index.bounds(length), index.bounds(length + 1)
         for piece, place, lo, hi, depth in index.statistics(codes, ends, own >= 0):
             far = depth >= length
             if not far.any():
@@ -361,10 +369,9 @@ def _stream(length: int, pairs: bool):
                 continue
             # all suffixes with ``length`` characters in common, but for those that have the next one, too
             lo, hi, depth = lo[far], hi[far], depth[far]
-            a, b = index.widen(lo, hi, np.full(len(lo), length))
+            a, b = first[lo], end[hi]
             more = (depth > length) & (place + length < ends[piece])
-            x, y = index.widen(lo, hi, np.full(len(lo), length + 1))
-            x, y = np.where(more, x, b), np.where(more, y, b)
+            x, y = np.where(more, first_more[lo], b), np.where(more, end_more[hi], b)
             n = (x - a) + (b - y)
             if not n.any():
                 continue
@@ -387,10 +394,10 @@ def _stream(length: int, pairs: bool):
         order = np.lexsort((second, piece))
         piece, place = piece[order], second[order]
         new = np.r_[True, (piece[1:] != piece[:-1]) | (place[1:] > place[:-1] + length)]
-        first = np.flatnonzero(new)
-        last = np.r_[first[1:], len(place)] - 1
-        shift = np.array([x[1] for x in lanes])[piece[first]] - begins[piece[first]]
-        yield [lanes[i][0] for i in piece[first].tolist()], (place[first] + shift).tolist(), (place[last] + length + shift).tolist()
+        head = np.flatnonzero(new)
+        last = np.r_[head[1:], len(place)] - 1
+        shift = np.array([x[1] for x in lanes])[piece[head]] - begins[piece[head]]
+        yield [lanes[i][0] for i in piece[head].tolist()], (place[head] + shift).tolist(), (place[last] + length + shift).tolist()
 
     kinds = {"ma": pa.string(), "mb": pa.string()} if pairs else {"md5": pa.string(), "start": pa.int32(), "end": pa.int32()}
 
