@@ -13,7 +13,7 @@ from leafmill.functions.words import token_count, word_array
 from leafmill.operators import answers, evaluation, matching, navigator, nested, retrieval, trees
 from leafmill.plans.nested_queries import NODES_SQL
 from leafmill.plans.queries import Registry
-from leafmill.session import materialise, table
+from leafmill.session import cleared, materialise, table
 from leafmill.streaming import results
 
 REGISTRY = Registry()
@@ -316,12 +316,12 @@ def rt_dense(spark: SparkSession, d: str) -> DataFrame:
     return out.select("query_id", F.col("rank").cast("long").alias("rank"), "id", F.round("score", 6).alias("score"))
 
 
-_INDEXES: dict[tuple[str, str], DataFrame] = {}
+_INDEXES: dict[tuple[str, str, int], DataFrame] = {}
 
 
 def section_index(spark: SparkSession, d: str) -> DataFrame:
     """The beam's index over the trees of a data folder, written once for each session."""
-    held = spark.sparkContext.applicationId, d
+    held = spark.sparkContext.applicationId, d, cleared()
     if held not in _INDEXES:
         nodes = materialise(tree_nodes(spark, d))
         tops = nodes.groupBy("doc_id").agg(F.first("doc_description").alias("s")).select("doc_id", F.lit("root").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.lit(-1).alias("ord"), F.lit(None).cast("string").alias("chunk_id"), text.joined_text(F.translate("doc_id", "_-", "  "), F.col("s")).alias("text"))

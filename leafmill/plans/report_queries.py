@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from leafmill.functions import providers, text
 from leafmill.operators import answers, assistant, evaluation, retrieval, trees
 from leafmill.plans.core_queries import BM25_SQL, CLEAN_ID_SQL, CURRENT_SQL, EVIDENCE_SQL, MATCH_KEY_SQL, RUN_TIME_SQL, RUNS_SQL, _bm25, current_chunks, current_evidence, latest_runs
 from leafmill.plans.queries import Registry
-from leafmill.session import materialise, shared_dir, table
+from leafmill.session import materialise, scratch, table
 from leafmill.streaming import results as streams
 
 REGISTRY = Registry()
@@ -383,7 +381,7 @@ def rt_cached(spark: SparkSession, d: str) -> DataFrame:
     def encode(texts: list[str]) -> list[list[float]]:
         return [[float(len(t)), float(t.count(" ") + 1)] for t in texts]
 
-    path = f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}"
+    path = scratch(spark, "vectors")
     q = table(spark, d, "queries").select("query_id", "query").distinct()
     providers.cached_vectors(q.where("length(query) % 2 = 0"), "query_id", "query", path, "lengths", encode)
     return providers.cached_vectors(q, "query_id", "query", path, "lengths", encode).select("query_id", F.get("vector", 0).alias("chars"))

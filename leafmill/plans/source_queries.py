@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from leafmill.functions import text
 from leafmill.functions.words import word_array
 from leafmill.plans.core_queries import CLEAN_ID_SQL, CURRENT_SQL, EVIDENCE_SQL, current_chunks, current_evidence
 from leafmill.plans.queries import Registry
-from leafmill.session import shared_dir, table
+from leafmill.session import scratch, table
 from leafmill.sources import io
 from leafmill.sources.workspace import Workspace
 
@@ -19,14 +17,10 @@ REGISTRY = Registry()
 query = REGISTRY.query
 
 
-def _place(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 @query("io_jsonl", f"WITH {CURRENT_SQL} SELECT chunk_id, title, start_index, is_duplicate_chunk FROM cur")
 def io_jsonl(spark: SparkSession, d: str) -> DataFrame:
     """Chunks written as JSON lines and read under a declared schema."""
-    path = _place(spark, "jsonl")
+    path = scratch(spark, "jsonl")
     io.write_jsonl(current_chunks(spark, d), path)
     return io.read_jsonl(spark, path, "chunk_id string, title string, start_index int, is_duplicate_chunk boolean")
 
@@ -34,7 +28,7 @@ def io_jsonl(spark: SparkSession, d: str) -> DataFrame:
 @query("io_lenient", f"WITH {CURRENT_SQL} SELECT chunk_id, token_count FROM cur WHERE token_count IS NULL OR token_count % 3 <> 0")
 def io_lenient(spark: SparkSession, d: str) -> DataFrame:
     """JSON lines of which every line with a size that three divides is cut off; these are left out."""
-    path = _place(spark, "lines")
+    path = scratch(spark, "lines")
     line = F.to_json(F.struct("chunk_id", "token_count"))
     cut = F.coalesce(F.col("token_count") % 3 == 0, F.lit(False))
     current_chunks(spark, d).select(F.when(cut, F.left(line, F.length(line) - 2)).otherwise(line).alias("value")).write.text(path)
@@ -44,7 +38,7 @@ def io_lenient(spark: SparkSession, d: str) -> DataFrame:
 @query("io_runs", "SELECT run_id::VARCHAR AS run_id, coalesce(try_cast(num_chunks AS DOUBLE), 0) AS num_chunks, coalesce(try_cast(latency_seconds AS DOUBLE), 0) AS latency_seconds FROM chunk_runs")
 def io_runs(spark: SparkSession, d: str) -> DataFrame:
     """The run table written as CSV and read back; unreadable numbers are 0."""
-    path = _place(spark, "runs")
+    path = scratch(spark, "runs")
     table(spark, d, "chunk_runs").select("run_id", "run_timestamp", "num_chunks", "latency_seconds").write.option("header", True).csv(path)
     return io.read_runs(spark, path, ["num_chunks", "latency_seconds"]).select("run_id", "num_chunks", "latency_seconds")
 
@@ -52,7 +46,7 @@ def io_runs(spark: SparkSession, d: str) -> DataFrame:
 @query("io_append", f"WITH {CURRENT_SQL} SELECT chunk_id, CASE WHEN doc_name < 'M' THEN 1 ELSE 2 END AS run FROM cur")
 def io_append(spark: SparkSession, d: str) -> DataFrame:
     """A table that a second run completes: what the first has written stays as it is."""
-    path, schema = _place(spark, "append"), "chunk_id string, run int"
+    path, schema = scratch(spark, "append"), "chunk_id string, run int"
     rows = current_chunks(spark, d).select("chunk_id", "doc_name")
     io.append_new(rows.where("doc_name < 'M'").select("chunk_id", F.lit(1).alias("run")), path, "chunk_id", schema)
     io.append_new(rows.select("chunk_id", F.lit(2).alias("run")), path, "chunk_id", schema)
@@ -62,7 +56,7 @@ def io_append(spark: SparkSession, d: str) -> DataFrame:
 @query("io_issues", "SELECT 'No issues found.' AS message")
 def io_issues(spark: SparkSession, d: str) -> DataFrame:
     """An empty table of issues as CSV."""
-    path = _place(spark, "issues")
+    path = scratch(spark, "issues")
     io.write_issues(current_chunks(spark, d).select(F.col("chunk_id").alias("message")).where("false"), path)
     return spark.read.option("header", True).csv(path)
 
@@ -110,7 +104,7 @@ def ws_documents(spark: SparkSession, d: str) -> DataFrame:
 
     w = Window.partitionBy("doc_name").orderBy("chunk_id")
     pages = current_chunks(spark, d).select(F.col("doc_name").alias("doc_id"), F.row_number().over(w).alias("page"), F.coalesce("text", F.lit("")).alias("text"))
-    ws = Workspace(spark, _place(spark, "workspace"))
+    ws = Workspace(spark, scratch(spark, "workspace"))
     ws.index_pages(pages)
     return ws.search("type = 'pdf'").select("doc_id", "type", "doc_name", "page_count")
 

@@ -33,6 +33,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _WRITTEN: list[str] = []
+_CLEARED = [0]
+
+
+def cleared() -> int:
+    """How often tables were cleared: what is kept between queries must not outlive that."""
+    return _CLEARED[0]
 
 
 def clear_tables(spark: SparkSession) -> int:
@@ -40,12 +46,20 @@ def clear_tables(spark: SparkSession) -> int:
     can't be evaluated any more: call it between independent queries."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     n = 0
+    _CLEARED[0] += 1
     while _WRITTEN:
         path = hadoop(_WRITTEN.pop())
         n += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
     return n
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, which ``clear_tables`` removes."""
+    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    _WRITTEN.append(path)
+    return path
+
+
 def materialise(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Write ``df`` as parquet into the shared folder and read it back.
 
@@ -53,8 +67,7 @@ def materialise(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     ``clear_tables`` removes it.
     """
     spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), f"table-{uuid.uuid4().hex}")
-    _WRITTEN.append(path)
+    path = scratch(spark, "table")
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     return out.select(*columns) if columns else out

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from leafmill.session import shared_dir
+from leafmill.session import scratch
 
 
 def still_open(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
@@ -70,7 +69,7 @@ def run_to_table(stream: DataFrame, mode: str = "complete") -> DataFrame:
     """Runs a stream over all that is there and returns its result as a table in the shared folder: the last one of
     ``complete`` mode, all changes otherwise. Nothing passes through the driver; a repeated batch replaces its own files."""
     spark: SparkSession = stream.sparkSession
-    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    path = scratch(spark, "stream")
     kept = f"{path}/rows"
 
     def write(df: DataFrame, number: int) -> None:
