@@ -290,7 +290,7 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY shared DESC,
 )
 def rt_documents(spark: SparkSession, d: str) -> DataFrame:
     """Documents by the words that their names and descriptions share with a question."""
-    latest = evaluation.keep_latest(table(spark, d, "trees"), ["doc_name"], F.struct("built_at", "tree_id"))
+    latest = evaluation.keep_latest(table(spark, d, "trees"), ["doc_name"], F.col("built_at"), F.col("tree_id").desc_nulls_last())
     docs = latest.select(F.col("doc_name").alias("doc_id"), F.concat_ws(" ", "doc_name", "doc_description").alias("description"))
     out = assistant.documents_by_description(table(spark, d, "queries").select("query_id", "query").distinct(), docs)
     return out.withColumn("rank", F.col("rank").cast("long"))

@@ -1,11 +1,14 @@
+import datetime
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from leafmill.functions import providers
-from leafmill.functions.words import token_count
+from leafmill.functions.words import token_count, words
 from leafmill.operators import answers, assistant, evaluation, sections, toc, trees
+from leafmill.plans import report_queries
 from leafmill.sources.workspace import Workspace
 
 CHUNK = "chunk_id string, retrieval_chunk_id string, canonical_chunk_id string, doc_name string, bank_name string, title string, heading string, text string, generate_queries boolean, num_queries int"
@@ -55,6 +58,53 @@ def test_documents_and_preferences(spark):
     assert got == {"q1": "Credit risk of Acme\nLook at note 5.\nMind the cover.", "q2": "", "q3": "nothing"} or got["q2"] in ("", None)
 
 
+def _plain_documents(q, d, k):
+    asked, held = {}, {}
+    for rows, to in ((q, asked), (d, held)):
+        for i, t in rows:
+            to.setdefault(i, []).extend(set(words(t)))
+    out = []
+    for i, own in asked.items():
+        best = sorted((-sum(own.count(w) * h.count(w) for w in set(own)), doc is None, doc or "", doc) for doc, h in held.items())
+        out += [(i, r, doc, -n) for r, (n, _, _, doc) in enumerate(best[:k], 1) if n < 0]
+    return sorted(out, key=str)
+
+
+def test_documents_as_counted_plainly(spark):
+    rnd = random.Random(5)
+    text = lambda n: " ".join(rnd.choices(["the", "of", "Ä", "risk", *"bcdefghijklmnop"], k=rnd.randrange(n)))
+    q = [(f"q{i}", text(9)) for i in range(60)] + [("q1", "the risk of the risk"), (None, "the b"), ("none", None), ("long", " ".join(f"w{i}" for i in range(300)))]
+    d = [(f"d{i}", text(30)) for i in range(50)] + [("d1", "the risk"), (None, "the b of c"), ("e", None), ("z", " ".join(f"w{i}" for i in range(5, 290)))]
+    asked, held = spark.createDataFrame(q, "query_id string, query string"), spark.createDataFrame(d, "doc_id string, description string")
+    for k, split, sent in ((5, 10_000, 2_000_000), (5, 3, 100), (1, 7, 2_000_000), (100, 2, 2_000_000)):
+        out = assistant.documents_by_description(asked, held, k, split, sent)
+        assert sorted((tuple(r) for r in out.collect()), key=str) == _plain_documents(q, d, k)
+    assert assistant.documents_by_description(asked.limit(0), held).count() == 0 and assistant.documents_by_description(asked, held.limit(0)).count() == 0
+
+
+def test_documents_of_common_words_make_no_pairs(spark):
+    """Words that all questions and documents have don't move a row for each pair of them."""
+    n = 500
+    asked = spark.createDataFrame([(f"q{i}", f"What was the name of x{i}?") for i in range(n)], "query_id string, query string")
+    held = spark.createDataFrame([(f"d{i:03}", f"What was the price of x{i}") for i in range(n)], "doc_id string, description string")
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    moved = lambda: sum((x := it.next()).shuffleWriteRecords() for it in [store.stageList(None, False, False, none, None).iterator()] for _ in iter(it.hasNext, False))
+    before = moved()
+    got = assistant.documents_by_description(asked, held).collect()
+    assert len(got) == 5 * n and {(r["query_id"][1:], r["doc_id"]) for r in got if r["rank"] == 1} == {(str(i), f"d{i:03}") for i in range(n)}
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert moved() - before < n * n / 5
+
+
+def test_documents_with_nulls_as_in_sql(spark, tmp_path):
+    """A tree of unknown time is the latest; of equals a document without a name comes last."""
+    at = datetime.datetime(2024, 1, 1)
+    spark.createDataFrame([(1, "d", "red", at), (2, "d", "blue", None), (3, None, "blue", at), (None, "e", "blue", at), (4, "e", "red", at)], "tree_id bigint, doc_name string, doc_description string, built_at timestamp").write.parquet(str(tmp_path / "trees.parquet"))
+    spark.createDataFrame([("q", "blue?"), ("q", "blue?"), ("r", "red?")], "query_id string, query string").write.parquet(str(tmp_path / "queries.parquet"))
+    got = [(r["query_id"], r["rank"], r["doc_id"], r["shared"]) for r in report_queries.rt_documents(spark, str(tmp_path)).orderBy("query_id", "rank").collect()]
+    assert got == [("q", 1, "d", 1), ("q", 2, None, 1), ("r", 1, "e", 1)]
+
+
 def test_tools_loop(spark, tmp_path):
     ws = Workspace(spark, str(tmp_path / "ws"))
     ws.index_pages(spark.createDataFrame([("d", 1, "1 First part\nSome words"), ("d", 2, "2 Second part\nOther words")], "doc_id string, page int, text string"))
